@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, doubling, langid, lpf, mixing, packing, secrets, simhash, urls
+from . import decontam, doubling, itq, langid, lpf, mixing, packing, secrets, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op2_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_packing, op4_lm_scoring, op5_repeats, op6_simhash, op7_decontamination, op8_substring_dedup, op9_url_filter, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_itq_near_dedup, op3_packing, op4_lm_scoring, op5_repeats, op6_simhash, op7_decontamination, op8_substring_dedup, op9_url_filter, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {}
