@@ -1 +1 @@
-
+"""Column functions: text, numbers, URLs, keys, scores and extraction."""

@@ -1 +1 @@
-
+"""Jobs: DataFrame in, DataFrame out."""
