@@ -146,7 +146,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
     languages = sorted(rows.lang.unique())
     number = {k: i for i, k in enumerate(languages)}
     model, held = Ftrl(len(languages)), np.arange(len(rows)) % 5 == 4
-    data = [(np.asarray(a), np.asarray(v, float), number[k]) for a, v, k in zip(rows["at"], rows.value, rows.lang, strict=True)]
+    data = [(np.asarray(a, np.int64), np.asarray(v, float), number[k]) for a, v, k in zip(rows["at"], rows.value, rows.lang, strict=True)]
     for _ in range(EPOCHS):
         for row, out in zip(data, held, strict=True):
             if not out:

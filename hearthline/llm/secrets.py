@@ -3,7 +3,8 @@
 Fixed patterns find assignments, access keys and hexadecimal runs. Beyond them, every run of `[A-Za-z0-9+/_=-]` of `MIN_RUN` or more characters
 is scored by two order-2 character Markov models, of random strings and of ordinary identifiers; runs whose log-likelihood ratio passes a
 length-normalised and a total threshold are spans of kind `random`. The models learn from labelled samples: the values that the
-fixed patterns find are random strings, as are seeded strings over common alphabets; other runs of 8 or more characters are ordinary. The
+fixed patterns find are random strings, as are seeded strings over common alphabets; other runs of 8 or more characters that seldom change between cases and digits
+are ordinary, as are seeded identifiers of common words. The
 sample is bounded (`SAMPLE` documents by hash); its transition counts are summed per task, so the driver sees at most two tables of 65**3 counts.
 
 Defined results: null is empty; spans are code points, end exclusive; repeated rows get a row each; an empty table gives no rows; other columns are ignored.
@@ -90,6 +91,13 @@ def _seeded() -> list[bytes]:
     return [bytes(r.choice(a) for _ in range(r.randint(16, 64))) for a in sets for _ in range(_SYNTHETIC)]
 
 
+def _ordinary(codes: np.ndarray) -> bool:
+    """Few changes between lower case, upper case and digits, a capital before small letters aside: a label for the sample, not a verdict."""
+    kind = np.where(codes >= 97, 0, np.where(codes >= 65, 1, np.where(codes >= 48, 2, 3)))
+    changes = (kind[1:] != kind[:-1]) & ~((kind[:-1] == 1) & (kind[1:] == 0))
+    return int(changes.sum()) * 5 <= len(codes)
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """The log-likelihood ratio of each transition, a table of 66**3 numbers, from a bounded sample of documents."""
     order = F.xxhash64("doc_id", F.lit(3))
@@ -108,7 +116,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
                         raw = np.frombuffer(_ASSIGN.match(raw.tobytes())[2], np.uint8)
                     np.add.at(counts[1], _transitions(raw[_RUN[raw]]), 1)
                 for a, b in runs:
-                    np.add.at(counts[0], _transitions(text[a:b]), 1)
+                    if _ordinary(text[a:b]):
+                        np.add.at(counts[0], _transitions(text[a:b]), 1)
         kind, at = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(at), pa.array(counts[kind, at])], names=["kind", "at", "n"])
 
@@ -117,10 +126,31 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     counts[rows.kind.to_numpy(np.int64), rows["at"].to_numpy(np.int64)] = rows.n.to_numpy(float)
     for raw in _seeded():
         np.add.at(counts[1], _transitions(np.frombuffer(raw, np.uint8)), 1)
+    for raw in _seeded_plain():
+        np.add.at(counts[0], _transitions(np.frombuffer(raw, np.uint8)), 1)
     plain, rand = (_smoothed(c.reshape(_SIZE, _SIZE, _SIZE)) for c in counts)
     return np.log(rand / plain).ravel().astype(np.float32)
 
 
+#: Words of seeded ordinary identifiers.
+_PARTS = (
+    "get set make build read write load store user name value item list table index count total first last next price area room street city state source target config option default "
+    "request response server client session handler manager factory builder parser reader writer buffer stream string number length width height color image button window service account"
+).split()
+
+
+def _seeded_plain() -> list[bytes]:
+    """Identifiers of two to four common words, in snake, kebab and camel case."""
+    r = random.Random(12)
+    out = []
+    for _ in range(5 * _SYNTHETIC):
+        words = [r.choice(_PARTS) for _ in range(r.randint(2, 4))]
+        style = r.randrange(4)
+        camel = words[0] + "".join(w.capitalize() for w in words[1:])
+        out.append(("_".join(words), "-".join(words), camel, "_".join(words).upper())[style].encode())
+    return out
+
+
 def _smoothed(c: np.ndarray) -> np.ndarray:
     """Interpolated order-2 probabilities: each order's counts plus a weight of the order below."""
     zero = (c.sum(axis=(0, 1)) + 1) / (c.sum() + _SIZE)
