@@ -129,9 +129,13 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
     if not n:
         return None
     idf = np.log((1 + n) / (1 + df)) + 1
+    # the rows of a language with the least hashes; a common language is thinned by hash first, so that no task sorts all of it
     order = F.xxhash64("doc_id", F.lit(7))
-    ids = docs.select("doc_id", "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))).where(F.col("k") <= per_language)
-    ids = ids.orderBy("k", order, "doc_id", "lang").limit(sample).select("doc_id").distinct()
+    named = docs.select("doc_id", "lang", order.alias("h"))
+    share = named.groupBy("lang").agg((F.lit(2.0 * per_language) / F.count("*")).alias("share"))
+    thin = named.join(share, "lang").where(F.col("h").cast("double") < (F.col("share") - 0.5) * 2.0**64)
+    ids = thin.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= per_language)
+    ids = ids.orderBy("k", "h", "doc_id", "lang").limit(sample).select("doc_id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
