@@ -196,7 +196,10 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
         .where("n > 1 or c <> doc_id")
         .select("doc_id", F.when(F.col("c") != F.col("doc_id"), "drop").otherwise("repeated").alias("_mark"))
     )
-    marked = docs.join(cut(marks), "doc_id", "left").select(*[docs[c] for c in docs.columns], "_mark")
+    marks = cut(marks)
+    marked = docs.join(marks, "doc_id", "left").select(*[docs[c] for c in docs.columns], "_mark")
     single = marked.where("_mark is null").drop("_mark")
+    if marks.where("_mark = 'repeated'").isEmpty():  # no id comes twice: one pass over the documents will do
+        return single
     repeated = marked.where("_mark = 'repeated'").drop("_mark").dropDuplicates(["doc_id", "text"])
     return single.unionByName(repeated)
