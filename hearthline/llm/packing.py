@@ -33,7 +33,7 @@ END_ID = 2
 CLASSES = 256
 DEPTH = 3
 #: Words that a Python worker keeps with their ids; beyond that it starts anew.
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 1_000_000
 VOCABULARY = "word_bpe_49k.json"
 
 #: \s of the tokenizer isn't white space of str.split for these; the lower case of sigma depends on its place, that of dotted I isn't composed.
