@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .repeats import Lengths, covered, units, with_lists, with_row_id, word_values
+from .repeats import Lengths, covered, members, units, with_lists, with_row_id, word_values
 from .store import staged
 
 WINDOW = 50
@@ -61,9 +61,9 @@ def copied_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     first = rows.groupBy("hash").agg(F.min("least").alias("a"), F.max("least").alias("b")).where("a < b")
     late = rows.join(first, "hash").where("least > a").select("key", "context", "j").distinct()
     least = classes.select("key", "context", "least")
-    members = found.join(least, ["key", "context"])
-    whole = members.where("doc_id > least").select("rid", "lo", "n")
-    part = members.where("doc_id = least").join(late, ["key", "context"]).select("rid", (F.col("lo") + F.col("j")).alias("lo"), F.lit(1).alias("n"))
+    every = members(found.join(least, ["key", "context"]))
+    whole = every.where("doc_id > least").select("rid", "lo", "n")
+    part = every.where("doc_id = least").join(late, ["key", "context"]).select("rid", (F.col("lo") + F.col("j")).alias("lo"), F.lit(1).alias("n"))
     return whole.union(part)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .repeats import Lengths, byte_values, covered, units, with_lists, with_row_id
+from .repeats import Lengths, byte_values, covered, members, units, with_lists, with_row_id
 from .store import staged
 
 LENGTH = 400
@@ -136,7 +136,7 @@ def _lpf_shards(length: int):
 def repeated_windows(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
     """(rid, lo, n): starts of strings of `length` bytes that also start elsewhere (keep_first: at a smaller doc_id, row or place). docs: doc_id, text, rid."""
     found = staged(units(docs, byte_values, lengths(length)))
-    classes = found.groupBy("key", "context").agg(F.count("*").alias("members"), F.min(F.struct("doc_id", "rid", "lo")).alias("first"), F.first("n").alias("n"))
+    classes = found.groupBy("key", "context").agg(F.sum(F.when(F.col("more").isNull(), 1).otherwise(1 + F.size("more"))).alias("members"), F.min(F.struct("doc_id", "rid", "lo")).alias("first"), F.first("n").alias("n"))
     keys = classes.groupBy("key").agg(F.count("*").alias("contexts"), F.min("members").alias("least")).where("contexts > 1" + ("" if keep_first else " and least = 1"))
     mixed = staged(
         classes.join(keys, "key").select(F.col("first.rid").alias("rid"), F.col("first.lo").alias("lo"), "n", "key", "context", "first", (F.col("members") > 1).alias("many"), (F.col("contexts") > SHARD_CONTEXTS).alias("hot"))
@@ -165,14 +165,14 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, keep_first: bool = F
     counted = hot.groupBy("hash").agg(F.count("*").alias("n"), F.min("first").alias("least")).where("n > 1")
     far = hot.join(counted, "hash").select("key", "context", "j", (F.col("first") > F.col("least")).alias("earlier"))
     windows = near.union(far)
-    members = found.join(classes.select("key", "context", "members", "first"), ["key", "context"])
+    every = members(found.join(classes.select("key", "context", "members", "first"), ["key", "context"]))
     own = F.struct("doc_id", "rid", "lo")
     if keep_first:
         windows, whole, part = windows.where("earlier"), own > F.col("first"), own == F.col("first")
     else:
         whole, part = F.col("members") > 1, F.col("members") == 1
-    single = members.where(part).join(windows.select("key", "context", "j").distinct(), ["key", "context"])
-    return members.where(whole).select("rid", "lo", "n").union(single.select("rid", (F.col("lo") + F.col("j")).alias("lo"), F.lit(1).alias("n")))
+    single = every.where(part).join(windows.select("key", "context", "j").distinct(), ["key", "context"])
+    return every.where(whole).select("rid", "lo", "n").union(single.select("rid", (F.col("lo") + F.col("j")).alias("lo"), F.lit(1).alias("n")))
 
 
 _FETCHED = pa.schema(

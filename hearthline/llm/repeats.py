@@ -74,26 +74,60 @@ def unit_arrays(values: np.ndarray, first: np.ndarray, size: Lengths) -> tuple[n
     return tuple(np.concatenate(x) for x in zip(*sides, strict=True))
 
 
-_UNITS = "key bigint, context bigint, doc_id bigint, rid bigint, lo int, n int"
+_UNITS = "key bigint, context bigint, n int, doc_id bigint, rid bigint, lo int, more array<struct<doc_id: bigint, rid: bigint, lo: int>>, slot bigint, sure boolean"
+_MORE = [pa.field("doc_id", pa.int64()), pa.field("rid", pa.int64()), pa.field("lo", pa.int32())]
 
 
 def units(docs: DataFrame, values: Values, size: Lengths) -> DataFrame:
-    """Units of docs(doc_id, text, rid) whose key occurs more than once; starts count from the document's start."""
+    """Rows (key, context, n, doc_id, rid, lo, more) of docs(doc_id, text, rid): units whose key occurs more than once; starts count from the document's start.
+
+    Equal units of a chunk of documents are one row, the least (doc_id, rid, lo) first and the others in `more`, so a passage that very many
+    documents share is a row for each chunk. Keys that come twice in a chunk are sure to have company; but for one of them a chunk, such rows
+    are spread over the cluster instead of meeting at the key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in arrays.chunks(batches):
             got, first = values(*arrays.utf8(chunk.column("text")))
             doc, key, context, lo, n = unit_arrays(got, first, size)
-            at = pa.array(doc)
+            lo = (lo - first[doc]).astype(np.int32)
+            ids, rids = chunk.column("doc_id"), chunk.column("rid").to_numpy()
+            rank = ids.fill_null(np.iinfo(np.int64).min).to_numpy()
+            order = np.lexsort((lo, rids[doc], rank[doc], context, key))
+            doc, key, context, lo, n = doc[order], key[order], context[order], lo[order], n[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (context[1:] != context[:-1])
+            heads = np.flatnonzero(new)
+            rest = np.flatnonzero(~new)
+            extra = np.diff(np.concatenate((heads, [len(key)]))) - 1
+            more = pa.ListArray.from_arrays(
+                pa.array(np.concatenate(([0], np.cumsum(extra))).astype(np.int32)),
+                pa.StructArray.from_arrays([ids.take(pa.array(doc[rest])), pa.array(rids[doc[rest]]), pa.array(lo[rest])], fields=_MORE),
+                mask=pa.array(extra == 0),
+            )
+            key, doc = key[heads], doc[heads]
+            same = np.zeros(len(key), bool)
+            same[1:] = key[1:] == key[:-1]
+            sure = same | (extra > 0)
+            sure[:-1] |= same[1:]
+            slot = np.where(same, arrays.mix(context[heads] ^ rids[doc].view(np.uint64)), key)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), chunk.column("doc_id").take(at), chunk.column("rid").take(at), pa.array((lo - first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                names=["key", "context", "doc_id", "rid", "lo", "n"],
+                [pa.array(key.view(np.int64)), pa.array(context[heads].view(np.int64)), pa.array(n[heads].astype(np.int32)), ids.take(pa.array(doc)), pa.array(rids[doc]), pa.array(lo[heads]), more, pa.array(slot.view(np.int64)), pa.array(sure)],
+                names=["key", "context", "n", "doc_id", "rid", "lo", "more", "slot", "sure"],
             )
 
     # a row has company if the one before or behind it has its key: a look at neighbours, whatever the size of the group
-    near = Window.partitionBy("key").orderBy("doc_id")
-    company = F.lag("key").over(near).isNotNull() | F.lead("key").over(near).isNotNull()
-    return docs.select("doc_id", "text", "rid").mapInArrow(run, _UNITS).withColumn("_company", company).where("_company").drop("_company")
+    near = Window.partitionBy("slot").orderBy("key")
+    company = F.col("sure") | F.coalesce(F.lag("key").over(near) == F.col("key"), F.lit(False)) | F.coalesce(F.lead("key").over(near) == F.col("key"), F.lit(False))
+    return docs.select("doc_id", "text", "rid").mapInArrow(run, _UNITS).withColumn("_company", company).where("_company").drop("_company", "slot", "sure")
+
+
+def members(rows: DataFrame) -> DataFrame:
+    """A row (its own columns, doc_id, rid, lo) for each unit of units()' rows."""
+    own = F.array(F.struct("doc_id", "rid", "lo"))
+    every = F.when(F.col("more").isNull(), own).otherwise(F.concat(own, F.col("more")))
+    others = [c for c in rows.columns if c not in ("doc_id", "rid", "lo", "more")]
+    return rows.select(*others, F.explode(every).alias("m")).select(*others, "m.*")
 
 
 def with_row_id(docs: DataFrame) -> DataFrame:
