@@ -102,7 +102,9 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """The op9 rows: page_id, host, path, rule, verdict; and score, the method's figure (null where there is no address)."""
     rule, action = matched_rule(rules)
     urls = parse(pages).withColumn("address", F.concat("host", "path")).withColumns({"rule": rule, "action": action})
-    addresses = cut(urls.where("address <> ''").groupBy("address").agg(F.count("*").alias("n"), F.max("action").alias("action")).withColumn("held", F.substring(F.md5("address"), 1, 1) < "4"))
+    # few bytes turn into many grams: they are spread before that
+    partitions = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    addresses = cut(urls.where("address <> ''").repartition(partitions, "address").groupBy("address").agg(F.count("*").alias("n"), F.max("action").alias("action")).withColumn("held", F.substring(F.md5("address"), 1, 1) < "4"))
     scored = cut(addresses.join(score(addresses, model(addresses)), "address"))
     least = threshold(scored)
     verdict = F.coalesce("action", F.when(F.col("score") >= least, "allow").otherwise("block"))
