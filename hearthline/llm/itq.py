@@ -32,6 +32,8 @@ COSINE = 0.95
 SAMPLE, ROUNDS = 20_000, 25
 TABLES, ENERGY = 4, 0.0025
 BLOCK = 2048
+#: Large buckets that are broadcast at most (16 bytes each); more of them are joined.
+BROADCAST_BUCKETS = 100_000
 
 
 def usable(column: str = "embedding"):
@@ -81,8 +83,8 @@ def _spread(matrix: np.ndarray, tables: int, energy: float, vectors: bool):
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                x = _unit(part.column("embedding"), matrix.shape[0])
-                z = x @ matrix
+                raw = _padded(part.column("embedding"), matrix.shape[0])
+                z = _unit(raw.astype(float)) @ matrix
                 rows, buckets, homes = [], [], []
                 for t in range(tables):
                     own = z[:, t * width : (t + 1) * width]
@@ -94,27 +96,32 @@ def _spread(matrix: np.ndarray, tables: int, energy: float, vectors: bool):
                 at = np.concatenate(rows)
                 columns = [pa.array(np.concatenate(buckets).astype(np.int64)), pa.array(np.concatenate(homes))]
                 if vectors:
-                    columns += [part.column("node").take(pa.array(at)), part.column("n").take(pa.array(at)), pa.array([v.tobytes() for v in x], pa.binary()).take(pa.array(at))]
+                    columns += [part.column("node").take(pa.array(at)), part.column("n").take(pa.array(at)), pa.array([v.tobytes() for v in raw], pa.binary()).take(pa.array(at))]
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "home", "node", "n", "vector"][: len(columns)])
 
     return run
 
 
-def _unit(column: pa.Array, width: int) -> np.ndarray:
-    out = np.zeros((len(column), width))
+def _padded(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of the column's own float type."""
+    out = np.zeros((len(column), width), column.type.value_type.to_pandas_dtype())
     for i, v in enumerate(column.to_pylist()):
         out[i, : len(v)] = v
-    out /= np.abs(out).max(axis=1, keepdims=True)
-    return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return out
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def _compare(matrix: np.ndarray, tables: int, energy: float, cosine: float):
+def _compare(matrix: np.ndarray, tables: int, energy: float, cosine: float, kind: str):
     width = matrix.shape[1] // tables
 
     def solve(rows: list[dict]) -> pa.RecordBatch | None:
         home, ask = np.array([r["resident"] for r in rows]), np.array([r["asks"] for r in rows])
         node, n = np.array([r["node"] for r in rows]), np.array([r["n"] for r in rows])
-        x = np.frombuffer(b"".join(r["vector"] for r in rows)).reshape(len(rows), -1)
+        x = _unit(np.frombuffer(b"".join(r["vector"] for r in rows), kind).reshape(len(rows), -1).astype(float))
         table = int(rows[0]["bucket"]) % tables
         left, right = np.flatnonzero(ask), np.flatnonzero(home)
         if not len(left) or not len(right):
@@ -172,11 +179,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     tables = min(tables, facts.width)
     width = max(1, min(facts.width // tables, 16, max(6, int(np.ceil(np.log2(facts.n / 500 + 1))))))
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").toPandas()
-    matrix = learn_rotation(_unit(pa.array(sample.embedding), facts.width), tables * width)
+    matrix = learn_rotation(_unit(_padded(pa.array(sample.embedding), facts.width).astype(float)), tables * width)
 
     sizes = nodes.select("embedding").mapInArrow(_spread(matrix, tables, energy, False), "bucket bigint, home boolean").groupBy("bucket").agg(F.count("*").alias("entries"), F.sum(F.col("home").cast("int")).alias("homes"))
-    sizes = sizes.where("homes > 0 and entries > 1").select("bucket", F.ceil(F.col("entries") / block).alias("blocks"))
+    # large buckets are few: their number bounds the entries from above
+    large = cut(sizes.where((F.col("homes") > 0) & (F.col("entries") > block)).select("bucket", F.ceil(F.col("entries") / block).alias("blocks")))
     spread = nodes.select("node", "n", "embedding").mapInArrow(_spread(matrix, tables, energy, True), "bucket bigint, home boolean, node bigint, n bigint, vector binary")
+    n_large = large.count()
+    if n_large:
+        spread = spread.join(F.broadcast(large) if n_large <= BROADCAST_BUCKETS else large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("bigint")))
+    else:
+        spread = spread.withColumn("blocks", F.lit(1).cast("bigint"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     every = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
     # a unit is (bucket, block of residents, block of those who ask)
@@ -184,9 +197,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
         F.col("home"), F.concat(F.transform(every, lambda k: F.struct(F.col("own").alias("r"), k.alias("q"), F.lit(True).alias("resident"), (k == F.col("own")).alias("asks"))),
                                 F.filter(F.transform(every, lambda k: F.struct(k.alias("r"), F.col("own").alias("q"), F.lit(False).alias("resident"), F.lit(True).alias("asks"))), lambda s: s["r"] != F.col("own")))
     ).otherwise(F.transform(every, lambda k: F.struct(k.alias("r"), F.col("own").alias("q"), F.lit(False).alias("resident"), F.lit(True).alias("asks"))))
-    units = spread.join(sizes, "bucket").withColumn("own", own).withColumn("seat", F.explode(seats)).select(F.xxhash64("bucket", "seat.r", "seat.q").alias("unit"), "bucket", "seat.resident", "seat.asks", "node", "n", "vector")
+    units = spread.withColumn("own", own).withColumn("seat", F.explode(seats)).select(F.xxhash64("bucket", "seat.r", "seat.q").alias("unit"), "bucket", "seat.resident", "seat.asks", "node", "n", "vector")
+    kind = "float32" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "float64"
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = staged(units.repartition(partitions, "unit").sortWithinPartitions("unit").mapInArrow(_compare(matrix, tables, energy, cosine), "node bigint, links bigint, root bigint"))
+    found = staged(units.repartition(partitions, "unit").sortWithinPartitions("unit").mapInArrow(_compare(matrix, tables, energy, cosine, kind), "node bigint, links bigint, root bigint"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     member = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = nodes.select("node", "least", "n").join(links, "node", "left").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
