@@ -218,8 +218,8 @@ def test_scores(spark, corpus):
 
 def test_context_mixing_is_a_distribution():
     words = [b"ab", b"ba", b"abab", b"zq"]
-    counts = np.zeros((2, mixing.SLOTS))
-    mixing.count_bits(words, np.array([50, 30, 10, 1]), counts)
+    counts = mixing.Counts()
+    counts.add(words, np.array([50, 30, 10, 1]))
     model = mixing.train_mixer(counts, words, np.array([50.0, 30, 10, 1]))
     one = [bytes([c]) for c in range(256) if c != 0x20]
     assert (10 ** model.log10(one)).sum() < 1
