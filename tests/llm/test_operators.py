@@ -229,6 +229,16 @@ def test_context_mixing_is_a_distribution():
     assert np.isfinite(model.log10([b"x" * 1000]))[0]
 
 
+def test_context_mixing_sees_the_words_before(spark):
+    line = "red fox runs over green hill while blue bird sings under old tree".split()
+    mixed = line[:]
+    random.Random(1).shuffle(mixed)
+    rows = [(i, " ".join(line * 5)) for i in range(60)] + [(1000, " ".join(line)), (1001, " ".join(mixed)), (1002, "漢字仮名" * 40), (1003, "漢字仮名" * 40)]
+    got = {r.doc_id: r for r in mixing.score_documents(frame(spark, rows)).collect()}
+    assert round(got[1000].base_score, 9) == round(got[1001].base_score, 9)
+    assert got[1000].score > got[1001].score + 5
+
+
 # --- repeats ---
 @pytest.mark.parametrize("length", [400, 60])
 @pytest.mark.parametrize("contexts", [1500, 1])
