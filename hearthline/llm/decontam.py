@@ -6,7 +6,8 @@ words of the benchmark's vocabulary (a match holds no other word). Every test su
 around its place give its longest verbatim match, and those between its lower and upper bound are all its occurrences.
 
 The documents are never shuffled. The benchmark is read in blocks of at most `block_words` words (BLOCK_WORDS by default), so what a
-task holds is bounded; blocks beyond the first cost another pass each, whose hits are united per document.
+task holds is bounded; blocks reach the tasks as broadcast files, so the driver holds one at a time. Where there are more, rows get a key and are staged once; blocks
+beyond the first cost another pass each, whose hits are united per row.
 
 Defined results: a null or empty text has no words, hence no hits; a null item has none and matches nothing; repeated
 documents get a row each; an empty benchmark hits nothing; other columns of the tables are ignored, whatever their names.
@@ -19,10 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
+from .store import staged
 
 WINDOW = 10
 #: Words of the benchmark that are held in a task at once (about 40 bytes each).
@@ -150,9 +153,9 @@ class Benchmark:
         return counts, np.column_stack((doc[word], word - first[doc[word]], query, length, self.depth[query])) if len(word) else none
 
 
-def _finder(items: list[tuple[str, str | None]], window: int, spans: bool):
+def _finder(items: Broadcast, window: int, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(items, window)
+        bench = _loaded(items, window)
         for chunk in arrays.chunks(batches):
             counts, found = bench.matches(*arrays.utf8(chunk.column("text")))
             by_doc: dict[int, list] = {}
@@ -165,14 +168,21 @@ def _finder(items: list[tuple[str, str | None]], window: int, spans: bool):
                 names.append(sorted({bench.names[bench.item[r[2]]] for r in rows}))
                 if spans:
                     out.append([{"start": r[1], "end": r[1] + r[3], "item_id": bench.names[bench.item[r[2]]], "item_word": int(bench.at[r[2]]), "length": r[3]} for r in rows])
-            columns = [chunk.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hits, _SPANS), pa.array(names, pa.list_(pa.string()))]
+            columns = {c: chunk.column(c) for c in chunk.schema.names if c != "text"}
+            columns |= {"n_words": pa.array(counts, pa.int64()), "hits": pa.array(hits, _SPANS), "items": pa.array(names, pa.list_(pa.string()))}
             if spans:
-                columns.append(pa.array(out, _MATCHES))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "hits", "items", "matches"][: len(columns)])
+                columns["matches"] = pa.array(out, _MATCHES)
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
+def _loaded(items: Broadcast, window: int) -> Benchmark:
+    bench = Benchmark(items.value, window)
+    items.__dict__.pop("_value", None)  # a worker that sees many blocks keeps none of their texts
+    return bench
+
+
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _MATCHES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("item_id", pa.string()), ("item_word", pa.int64()), ("length", pa.int64())]))
 
@@ -203,22 +213,31 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str,
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, spans: bool = True) -> DataFrame:
     """Per document: doc_id, n_words, hits (united word spans under windows), items (those found, sorted), matches (all verbatim matches: word span, item, its word, length)."""
-    texts = docs.select("doc_id", "text")
+    send = docs.sparkSession.sparkContext.broadcast
+    blocks = [send(block) for block in _blocks(benchmark, block_words)] or [send([])]
     schema = "doc_id bigint, n_words bigint, hits array<struct<start: bigint, end: bigint>>, items array<string>" + (f", matches {_MATCH}" if spans else "")
-    passes = [texts.mapInArrow(_finder(block, window, spans), schema) for block in _blocks(benchmark, block_words)]
-    if not passes:
-        passes = [texts.mapInArrow(_finder([], window, spans), schema)]
-    if len(passes) == 1:
-        return passes[0]
-    # equal (doc_id, n_words) rows of one document meet; copies under one id with as many words would be one row
-    parts = passes[0]
-    for more in passes[1:]:
+    texts = docs.select("doc_id", "text")
+    if len(blocks) == 1:
+        return texts.mapInArrow(_finder(blocks[0], window, spans), schema)
+    # a key for each row, fixed by writing it: ids may be null or come twice
+    texts = staged(texts.select(F.monotonically_increasing_id().alias("row"), "*"))
+    parts, *others = (texts.mapInArrow(_finder(block, window, spans), f"row bigint, {schema}") for block in blocks)
+    for more in others:
         parts = parts.union(more.where("size(items) > 0"))
-    return parts.groupBy("doc_id", "n_words").agg(
+    found = parts.groupBy("row").agg(
+        F.first("doc_id", ignorenulls=True).alias("doc_id"),
+        F.first("n_words").alias("n_words"),
         F.flatten(F.collect_list("hits")).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         *([F.flatten(F.collect_list("matches")).alias("matches")] if spans else []),
     )
+    return found.drop("row").mapInArrow(_unite, schema)
+
+
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        hits = pa.array([_union([(s["start"], s["end"]) for s in row]) for row in b.column("hits").to_pylist()], _SPANS)
+        yield b.set_column(b.schema.get_field_index("hits"), "hits", hits)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -242,9 +261,9 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, window: int =
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without the documents that hold a window of a benchmark item. Rows, columns and types stay otherwise."""
 
-    def keeps(items):
+    def keeps(items: Broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(items, window)
+            bench = _loaded(items, window)
             for chunk in arrays.chunks(batches):
                 _, found = bench.matches(*arrays.utf8(chunk.column("text")))
                 clean = np.ones(chunk.num_rows, bool)
@@ -254,5 +273,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         return run
 
     for block in _blocks(benchmark, block_words):
-        docs = docs.mapInArrow(keeps(block), docs.schema)
+        docs = docs.mapInArrow(keeps(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
     return docs

@@ -378,6 +378,18 @@ def test_decontamination(spark, corpus):
     assert not any(r.contaminated for r in decontam.contaminated_documents(frame(spark, corpus), empty).collect())
 
 
+def test_decontamination_keeps_every_row_whatever_the_blocks(spark, corpus):
+    words = corpus[10][1].split()
+    bench = spark.createDataFrame([(k, " ".join(words[4 * k : 4 * k + 14])) for k in range(6)], "item_id long, text string")
+    swapped = " ".join(reversed(words))
+    rows = [*corpus, corpus[10], (None, corpus[10][1]), (None, swapped), (None, None), (None, None), (corpus[10][0], swapped)]
+    one = decontam.find_leaks(frame(spark, rows), bench)
+    many = decontam.find_leaks(frame(spark, rows), bench, block_words=20)
+    plain = lambda found: sorted(repr((r.doc_id, r.n_words, r.hits, r.items, sorted(map(tuple, r.matches)))) for r in found.collect())
+    assert plain(many) == plain(one)
+    assert len(plain(many)) == len(rows)
+
+
 def test_longest_matches(spark):
     text = " ".join(f"w{i}" for i in range(60))
     bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20, 45)))], "item_id long, text string")
