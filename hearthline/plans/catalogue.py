@@ -147,9 +147,9 @@ def compat_score_topk(spark, sf):
 
 @query("""SELECT search_id, 'status: ANY("ACTIVE") AND transactionTypes: ANY("' || transaction_type || '") AND city: ANY("' || city || '")' || coalesce(' AND propertyType: ANY("' || property_type || '")', '')
   || ' AND ' || CASE WHEN transaction_type = 'RENT' THEN 'rentalPrice' ELSE 'salePrice' END || ' >= ' || CAST(CAST(price_min AS BIGINT) AS VARCHAR) || ' AND ' || CASE WHEN transaction_type = 'RENT' THEN 'rentalPrice' ELSE 'salePrice' END || ' <= ' || CAST(CAST(price_max AS BIGINT) AS VARCHAR)
-  || coalesce(' AND usableArea >= ' || CAST(CAST(area_min AS BIGINT) AS VARCHAR), '') || ' AND bedrooms >= ' || CAST(bedrooms_min AS VARCHAR) AS filter FROM v_search""")
-def index_filter(spark, sf):
-    s = view(spark, sf, "v_search").withColumn("neighborhoods", F.array().cast("array<string>")).alias("s")
+  || coalesce(' AND usableArea >= ' || CAST(CAST(area_min AS BIGINT) AS VARCHAR), '') || ' AND bedrooms >= ' || CAST(bedrooms_min AS VARCHAR) AS filter FROM v_search""", every_search=True)
+def index_filter(spark, sf, searches="v_search"):
+    s = view(spark, sf, searches).withColumn("neighborhoods", F.array().cast("array<string>")).alias("s")
     return s.select("s.search_id", filters.index_filter("s").alias("filter"))
 
 
@@ -165,10 +165,10 @@ def collector_match(spark, sf):
     return p.join(s, F.lower("p.city") == F.lower("s.city")).where(filters.collector_match()).select("s.search_id", "p.id")
 
 
-@query("""SELECT CASE WHEN price_min > 20000 AND bedrooms_min > 1 THEN 'minimum area above maximum' WHEN bedrooms_min = 0 THEN 'bedrooms must be a whole number from 0' END AS error, count(*) AS n FROM v_search GROUP BY 1""")
-def criteria_errors(spark, sf):
+@query("""SELECT CASE WHEN price_min > 20000 AND bedrooms_min > 1 THEN 'minimum area above maximum' WHEN bedrooms_min = 0 THEN 'bedrooms must be a whole number from 0' END AS error, count(*) AS n FROM v_search GROUP BY 1""", every_search=True)
+def criteria_errors(spark, sf, searches="v_search"):
     bad_area = (F.col("price_min") > 20000) & (F.col("bedrooms_min") > 1)
-    rows = view(spark, sf, "v_search").select(
+    rows = view(spark, sf, searches).select(
         F.col("city"), F.col("state"), F.lit(" ").alias("neighborhood"), F.col("property_type"), F.lower("transaction_type").alias("transaction"), F.col("price_min").alias("min_price"), F.col("price_max").alias("max_price"),
         F.when(bad_area, 90).otherwise(10).alias("min_area"), F.lit(80).alias("max_area"), F.when(F.col("bedrooms_min") == 0, -1).otherwise(F.col("bedrooms_min")).alias("bedrooms"),
     )

@@ -9,8 +9,8 @@ from .registry import query
 from .views import table, view
 
 
-def _requests(spark, sf):
-    return view(spark, sf, "v_search").select(
+def _requests(spark, sf, searches="v_search"):
+    return view(spark, sf, searches).select(
         "search_id", "city", "state", F.lit(None).cast("string").alias("neighborhood"), F.col("transaction_type").alias("transaction"), "property_type", F.col("price_min").alias("min_price"), F.col("price_max").alias("max_price"), F.col("area_min").alias("min_area"),
         F.lit(None).cast("double").alias("max_area"), F.col("bedrooms_min").alias("bedrooms"),
     )
@@ -23,9 +23,9 @@ _SLUG = lambda c: f"regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g')"  # noqa:
 SELECT search_id, 'CASAMINEIRA' AS portal, 'https://www.casamineira.com.br/' || act || '/imovel/' || c || '_' || st AS url FROM s
 UNION ALL SELECT search_id, 'VIVAREAL', 'https://www.vivareal.com.br/' || act || '/' || {_SLUG('state')} || '/' || c || CASE property_type WHEN 'HOUSE' THEN '/casa_residencial' WHEN 'APARTMENT' THEN '/apartamento_residencial' ELSE '' END || '/?precoMinimo=' || CAST(CAST(price_min AS BIGINT) AS VARCHAR)
   || '&precoMaximo=' || CAST(CAST(price_max AS BIGINT) AS VARCHAR) || '&quartos=' || CAST(bedrooms_min AS VARCHAR) || coalesce('&areaMinima=' || CAST(CAST(area_min AS BIGINT) AS VARCHAR), '') FROM s
-UNION ALL SELECT search_id, 'OLX', 'https://www.olx.com.br/imoveis/' || act || CASE property_type WHEN 'HOUSE' THEN '/casas' WHEN 'APARTMENT' THEN '/apartamentos' ELSE '' END || '/estado-' || st || '/' || c || '-e-regiao' FROM s""")
-def frontier_urls(spark, sf):
-    return frontier.frontier(_requests(spark, sf), ("CASAMINEIRA", "VIVAREAL", "OLX")).select("search_id", "portal", "url")
+UNION ALL SELECT search_id, 'OLX', 'https://www.olx.com.br/imoveis/' || act || CASE property_type WHEN 'HOUSE' THEN '/casas' WHEN 'APARTMENT' THEN '/apartamentos' ELSE '' END || '/estado-' || st || '/' || c || '-e-regiao' FROM s""", every_search=True)
+def frontier_urls(spark, sf, searches="v_search"):
+    return frontier.frontier(_requests(spark, sf, searches), ("CASAMINEIRA", "VIVAREAL", "OLX")).select("search_id", "portal", "url")
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN n_name END AS municipality FROM customer JOIN nation ON n_nationkey = c_nationkey""")

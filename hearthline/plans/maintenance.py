@@ -26,15 +26,15 @@ def rows_after_purge(spark, sf):
 _URL = "CASE property_id % 3 WHEN 0 THEN 'https://x/-aluguel-' WHEN 1 THEN 'https://x/-venda-' ELSE 'https://x/y' END"
 
 
-@query("""SELECT r.search_id, r.property_id FROM v_result r JOIN v_search s ON s.search_id = r.search_id WHERE (r.property_id % 3 = 0 AND s.transaction_type = 'SALE') OR (r.property_id % 3 = 1 AND s.transaction_type = 'RENT')""")
-def mismatched_links(spark, sf):
+@query("""SELECT r.search_id, r.property_id FROM v_result r JOIN v_search s ON s.search_id = r.search_id WHERE (r.property_id % 3 = 0 AND s.transaction_type = 'SALE') OR (r.property_id % 3 = 1 AND s.transaction_type = 'RENT')""", every_search=True)
+def mismatched_links(spark, sf, searches="v_search"):
     properties = view(spark, sf, "v_property").select("property_id", F.expr(_URL).alias("url"))
-    return maintenance.mismatched_links(view(spark, sf, "v_result"), view(spark, sf, "v_search"), properties)
+    return maintenance.mismatched_links(view(spark, sf, "v_result"), view(spark, sf, searches), properties)
 
 
-@query("SELECT s.search_id, count(r.property_id) AS results_count FROM v_search s LEFT JOIN v_result r ON r.search_id = s.search_id GROUP BY s.search_id")
-def recount_results(spark, sf):
-    return maintenance.recount(view(spark, sf, "v_search"), view(spark, sf, "v_result"))
+@query("SELECT s.search_id, count(r.property_id) AS results_count FROM v_search s LEFT JOIN v_result r ON r.search_id = s.search_id GROUP BY s.search_id", every_search=True)
+def recount_results(spark, sf, searches="v_search"):
+    return maintenance.recount(view(spark, sf, searches), view(spark, sf, "v_result"))
 
 
 @query("""SELECT l.listing_id, CASE WHEN l.property_id % 4 = 3 THEN l.property_id - l.property_id % 16 % 4 WHEN l.property_id % 4 IN (1, 2) THEN l.property_id - l.property_id % 4 ELSE l.property_id END AS property_id FROM v_listing l""")

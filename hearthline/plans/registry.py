@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +13,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name; sql: what DuckDB must return for it."""
+def query(sql: str | None = None, every_search: bool = False):
+    """Registers a query under its function's name; sql: what DuckDB must return for it. every_search: also as NAME_all, over all searches."""
 
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
             ORACLE_SQL[f.__name__] = with_views(sql)
+        if every_search:
+
+            def run(spark: SparkSession, sf: str) -> DataFrame:
+                return f(spark, sf, "v_every_search")
+
+            run.__name__ = f"{f.__name__}_all"
+            QUERIES[run.__name__] = run
+            if sql:
+                ORACLE_SQL[run.__name__] = with_views(re.sub(r"\bv_search\b", "v_every_search", sql))
         return f
 
     return register

@@ -84,13 +84,13 @@ def newest_search_results(spark, sf):
 
 
 @query("""SELECT search_id, sha256('{"collectorVersion":"multi-portal-v9","city":"' || lower(city) || '","state":"' || lower(state) || '","neighborhood":null,"transaction":"' || transaction_type || '","propertyType":' || coalesce('"' || property_type || '"', 'null')
-  || ',"minPrice":' || CAST(CAST(price_min AS BIGINT) AS VARCHAR) || ',"maxPrice":' || CAST(CAST(price_max AS BIGINT) AS VARCHAR) || ',"minArea":' || coalesce(CAST(CAST(area_min AS BIGINT) AS VARCHAR), 'null') || ',"maxArea":null,"bedrooms":' || CAST(bedrooms_min AS VARCHAR) || '}') AS search_key FROM v_search""")
-def search_key(spark, sf):
+  || ',"minPrice":' || CAST(CAST(price_min AS BIGINT) AS VARCHAR) || ',"maxPrice":' || CAST(CAST(price_max AS BIGINT) AS VARCHAR) || ',"minArea":' || coalesce(CAST(CAST(area_min AS BIGINT) AS VARCHAR), 'null') || ',"maxArea":null,"bedrooms":' || CAST(bedrooms_min AS VARCHAR) || '}') AS search_key FROM v_search""", every_search=True)
+def search_key(spark, sf, searches="v_search"):
     c, none = F.col, F.lit(None)
     key = keys.search_key(
         city=c("city"), state=c("state"), neighborhood=none.cast("string"), transaction=c("transaction_type"), property_type=c("property_type"), min_price=c("price_min"), max_price=c("price_max"), min_area=c("area_min"), max_area=none.cast("double"), bedrooms=c("bedrooms_min")
     )
-    return view(spark, sf, "v_search").select("search_id", key.alias("search_key"))
+    return view(spark, sf, searches).select("search_id", key.alias("search_key"))
 
 
 @query("SELECT listing_id, lower(source_code) || '-' || external_id AS id FROM v_listing")

@@ -53,3 +53,10 @@ def test_entry(spark):
     if not os.path.isdir(SF):
         pytest.skip("no test tables here")
     assert entry.entry(spark).columns == ["search_id", "property_id", "price", "score", "position"]
+
+
+@pytest.mark.parametrize(("name", "rows"), [("search_key", 1), ("index_filter", 1), ("frontier_urls", 3), ("recount_results", 1)])
+def test_every_search_has_its_rows(spark, name, rows):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables here")
+    assert entry.queries()[f"{name}_all"](spark, SF).count() == rows * spark.read.parquet(f"{SF}/orders.parquet").count()
