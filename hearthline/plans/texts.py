@@ -83,3 +83,9 @@ def page_titles(spark, sf):
 def clean_texts(spark, sf):
     rows = table(spark, sf, "documents").where("not contains(text, '&')")
     return rows.select("doc_id", text.clean_text(F.col("text"), entities=False).alias("cleaned"))
+
+
+@query()
+def clean_texts_all(spark, sf):
+    """clean_texts with entities, over every document: no SQL decodes them."""
+    return table(spark, sf, "documents").select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
