@@ -1,6 +1,6 @@
-"""Substring dedup by level-wise doubling over words.
+"""Substring dedup by content-chosen anchors and one doubling over words.
 
-Windows are looked at by levels of about doubling length (7, 13, 25, 50 words): grams choose anchors, only anchors' extensions to 25 words
+7-word grams choose anchors (they aren't tested for repeats, and there is no 13-word level); only anchors' extensions to 25 words
 that occur more than once are carried on to 50, and there a window counts as a copy if a document with a smaller doc_id holds it. The last
 level is decided per class of equal contexts, and window by window only where contexts that share a key differ.
 
