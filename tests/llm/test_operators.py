@@ -216,17 +216,78 @@ def test_scores(spark, corpus):
     assert mixing.score_documents(frame(spark, [])).count() == 0
 
 
+def _model(texts, vocabulary=100):
+    """Codes, slot bits, packed table and a trained mixer from texts alone, without Spark."""
+    import pyarrow as pa
+
+    count = Counter(w for t in texts for w in t.encode().lower().split())
+    kept = count.most_common(vocabulary)
+    data = np.frombuffer(b"".join(w for w, _ in kept), np.uint8)
+    stop = np.cumsum([len(w) for w, _ in kept])
+    start = np.concatenate(([0], stop[:-1]))
+    letters = np.bincount(data, minlength=257) + 1
+    codes = mixing.Codes(arrays.word_hashes(data, start, stop), np.array([c for _, c in kept]), sum(count.values()) - sum(c for _, c in kept), len(texts), letters)
+    bits = (14, 14, 14)
+    into = mixing.Predictors(bits)
+    laid = lambda ts: mixing.Symbols(codes, *arrays.utf8(pa.array(ts, pa.string())))
+    into.add(laid(texts))
+    table, mixer = mixing.packed(into.counts), mixing.Mixer()
+    mixer.learn(laid(texts), table, bits, 256)
+    return laid, bits, table, mixer
+
+
 def test_context_mixing_is_a_distribution():
-    words = [b"ab", b"ba", b"abab", b"zq"]
-    counts = mixing.Counts()
-    counts.add(words, np.array([50, 30, 10, 1]))
-    model = mixing.train_mixer(counts, words, np.array([50.0, 30, 10, 1]))
-    one = [bytes([c]) for c in range(256) if c != 0x20]
-    assert (10 ** model.log10(one)).sum() < 1
-    lp = dict(zip(words, model.log10(words), strict=True))
-    assert lp[b"ab"] > lp[b"abab"] > lp[b"zq"] > model.log10([b"\xff\x01\x02"])[0]
-    # longer words than a piece
-    assert np.isfinite(model.log10([b"x" * 1000]))[0]
+    texts = ["ab ba ab", "ba", "abab ab", "zq ab"] * 20
+    laid, bits, table, mixer = _model(texts, 2)
+    p = lambda ts: 2.0 ** mixer.log2(laid(ts), table, bits)
+    # one word of one or two letters, or none: no more than 1 in all, though letters beyond ASCII are left out
+    one = [chr(c) for c in range(33, 127) if not chr(c).isupper()]
+    assert p(["", *one, *[a + b for a in one for b in one]]).sum() < 1
+    assert p(["ab"])[0] > p(["abab"])[0] > p(["qz"])[0] > p(["\u4e00\x01"])[0] > 0
+    # the codes are prefix-free and complete
+    codes = laid(["x"]).codes
+    for first, last in ((0, codes.letters), (codes.letters, len(codes.length))):
+        assert sum(2.0 ** -int(n) for n in codes.length[first:last]) == 1
+    assert np.isfinite(mixer.log2(laid(["x" * 1000]), table, bits))[0]
+
+
+def test_context_mixing_against_a_scalar_mixer():
+    r = random.Random(2)
+    texts = [prose(r, 400) for _ in range(30)]
+    laid, bits, table, mixer = _model(texts, 8)
+    together = mixer.log2(laid(texts[:5]), table, bits)
+    for text, got in zip(texts[:5], together, strict=True):
+        symbols = laid([text])
+        weights, total = mixer.weights.astype(float).copy(), 0.0
+        change, seen = np.zeros_like(weights), np.zeros(weights.shape[1])
+        for a, b, over in symbols.pieces():
+            slots, bit, _ = symbols.bits(a, b, bits)
+            for i in range(len(bit)):
+                code = [int(table[s[i]]) for s in slots]
+                zeros, ones = [mixing._COUNT[c >> 8] for c in code], [mixing._COUNT[c & 255] for c in code]
+                x = [np.log((o + mixing.DELTA) / (z + mixing.DELTA)) for z, o in zip(zeros, ones, strict=True)]
+                level = [sum(z + o > k for k in (0, 1, 3, 7, 31, 127, 1023)) for z, o in zip(zeros, ones, strict=True)]
+                gate = level[1] * 8 + level[2]
+                mixed = sum(weights[k, gate] * x[k] for k in range(mixing.ORDERS))
+                p = 1 / (1 + np.exp(-mixed))
+                both = (p + mixer.map[gate, int((min(max(mixed, -8), 8) + 8) * 2 + 0.5)]) / 2
+                total += np.log2(both if bit[i] else 1 - both)
+                seen[gate] += 1
+                change[:, gate] += (bit[i] - p) * np.array(x)
+            if over:
+                weights += mixing.RATE * change / (seen + 64)
+                change[:], seen[:] = 0, 0
+        assert abs(total - got) < 0.02 * abs(got) ** 0.5
+
+
+def test_bit_counts_are_whole(spark):
+    r = random.Random(3)
+    texts = [prose(r, r.randint(0, 300)) for _ in range(50)]
+    laid, bits, *_ = _model(texts, 20)
+    into = mixing.Predictors(bits)
+    into.add(laid(texts))
+    got = mixing.count_bits(frame(spark, list(enumerate(texts))).repartition(5), laid(["x"]).codes, bits, 5)
+    assert (got == into.counts).all()
 
 
 def test_context_mixing_sees_the_words_before(spark):
