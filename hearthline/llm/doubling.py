@@ -1,8 +1,10 @@
-"""Substring dedup by content-chosen anchors and one doubling over words.
+"""Substring dedup by level-wise doubling over words.
 
-7-word grams choose anchors (they aren't tested for repeats, and there is no 13-word level); only anchors' extensions to 25 words
-that occur more than once are carried on to 50, and there a window counts as a copy if a document with a smaller doc_id holds it. The last
-level is decided per class of equal contexts, and window by window only where contexts that share a key differ.
+Lengths rise by doubling: 7, 13, 25, 50 words for a window of 50. At the first length the windows are 7-word grams at content-chosen places (a
+50-word window's gram of least hash), so equal long windows are tested at the same places and nothing is lost. Each level counts only what was
+repeated at the level before, extended to about twice its length: grams that occur once never reach 13 words, and so on, until no
+candidate survives or the whole window is reached. There a window counts as a copy if a document with a smaller doc_id holds it, decided
+per class of equal contexts, and window by window only where contexts that share a key differ.
 
 Words are `[^\\x20\\x09-\\x0D]+`, unchanged. Defined results: a null text has no words; documents shorter than a window keep all; documents
 with a null id keep all and remove nothing elsewhere; repeated rows (same id and text) get the same result each; an empty table gives no
@@ -27,18 +29,20 @@ WINDOW = 50
 
 
 def lengths(window: int) -> Lengths:
-    half = -(-window // 2)
-    return Lengths(max(1, -(-half // 4)), half, window)
+    levels = [-(-window // 2)]
+    while len(levels) < 3 and levels[0] > 1:
+        levels.insert(0, -(-levels[0] // 2))
+    return Lengths(levels[0], tuple(levels), window)
 
 
 def copied_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(rid, lo, n): starts of windows that also start in a document with a smaller doc_id. docs: doc_id, text, rid."""
+    """(rid, doc_id, lo, n): starts of windows that also start in a document with a smaller doc_id. docs: doc_id, text, rid."""
     size = lengths(window)
-    found = staged(units(docs.where("doc_id is not null"), word_values, size))
+    found = units(docs.where("doc_id is not null"), word_values, size)
     classes = found.groupBy("key", "context").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "rid", "lo", "n")).alias("one"))
     keys = classes.groupBy("key").agg(F.count("*").alias("contexts"), F.min("least").alias("a"), F.max("least").alias("b"))
     # contexts with the same key but other first documents: these must be told apart window by window
-    mixed = staged(classes.join(keys.where("contexts > 1 and a < b"), "key").select(F.col("one.rid").alias("rid"), F.col("one.lo").alias("lo"), F.col("one.n").alias("n"), "key", "context", "least"))
+    mixed = staged(classes.join(keys.where("contexts > 1 and a < b"), "key").select("one.rid", "one.doc_id", "one.lo", "one.n", "key", "context", "least"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in arrays.chunks(batches):
@@ -58,12 +62,12 @@ def copied_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     texts = with_lists(docs, mixed, ["lo", "n", "key", "context", "least"], "inner").select("text", "found")
     rows = staged(texts.mapInArrow(windows, "hash bigint, key bigint, context bigint, least bigint, j int"))
-    first = rows.groupBy("hash").agg(F.min("least").alias("a"), F.max("least").alias("b")).where("a < b")
-    late = rows.join(first, "hash").where("least > a").select("key", "context", "j").distinct()
+    first = rows.groupBy("key", "hash").agg(F.min("least").alias("a"), F.max("least").alias("b")).where("a < b")
+    late = rows.join(first, ["key", "hash"]).where("least > a").select("key", "context", "j").distinct()
     least = classes.select("key", "context", "least")
     every = members(found.join(least, ["key", "context"]))
-    whole = every.where("doc_id > least").select("rid", "lo", "n")
-    part = every.where("doc_id = least").join(late, ["key", "context"]).select("rid", (F.col("lo") + F.col("j")).alias("lo"), F.lit(1).alias("n"))
+    whole = every.where("doc_id > least").select("rid", "doc_id", "lo", "n")
+    part = every.where("doc_id = least").join(late, ["key", "context"]).select("rid", "doc_id", (F.col("lo") + F.col("j")).alias("lo"), F.lit(1).alias("n"))
     return whole.union(part)
 
 

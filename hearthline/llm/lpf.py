@@ -30,7 +30,7 @@ SHARD_BYTES, SHARD_CONTEXTS = 1 << 20, 1500
 
 def lengths(length: int) -> Lengths:
     gram = max(1, min(64, length // 6))
-    return Lengths(gram, (length + gram + 1) // 2, length)
+    return Lengths(gram, ((length + gram + 1) // 2,), length)
 
 
 def _levels(text: np.ndarray, stop: np.ndarray, length: int) -> list[np.ndarray]:
@@ -134,12 +134,12 @@ def _lpf_shards(length: int):
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
-    """(rid, lo, n): starts of strings of `length` bytes that also start elsewhere (keep_first: at a smaller doc_id, row or place). docs: doc_id, text, rid."""
-    found = staged(units(docs, byte_values, lengths(length)))
+    """(rid, doc_id, lo, n): starts of strings of `length` bytes that also start elsewhere (keep_first: at a smaller doc_id, row or place). docs: doc_id, text, rid."""
+    found = units(docs, byte_values, lengths(length))
     classes = found.groupBy("key", "context").agg(F.sum(F.when(F.col("more").isNull(), 1).otherwise(1 + F.size("more"))).alias("members"), F.min(F.struct("doc_id", "rid", "lo")).alias("first"), F.first("n").alias("n"))
     keys = classes.groupBy("key").agg(F.count("*").alias("contexts"), F.min("members").alias("least")).where("contexts > 1" + ("" if keep_first else " and least = 1"))
     mixed = staged(
-        classes.join(keys, "key").select(F.col("first.rid").alias("rid"), F.col("first.lo").alias("lo"), "n", "key", "context", "first", (F.col("members") > 1).alias("many"), (F.col("contexts") > SHARD_CONTEXTS).alias("hot"))
+        classes.join(keys, "key").select("first.rid", "first.doc_id", "first.lo", "n", "key", "context", "first", (F.col("members") > 1).alias("many"), (F.col("contexts") > SHARD_CONTEXTS).alias("hot"))
     )
     struct = "struct<doc_id: bigint, rid: bigint, lo: int>"
 
@@ -162,8 +162,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, keep_first: bool = F
     shards = rows.where("piece is not null").select("key", "context", "n", "piece", "first").dropDuplicates(["key", "context"]).repartition(partitions, "key").sortWithinPartitions("key", "context")
     near = shards.mapInArrow(_lpf_shards(length), "key bigint, context bigint, j int, earlier boolean")
     hot = rows.where("hashes is not null").dropDuplicates(["key", "context"]).select("key", "context", "first", "many", F.posexplode("hashes").alias("j", "hash"))
-    counted = hot.groupBy("hash").agg(F.count("*").alias("n"), F.min("first").alias("least")).where("n > 1")
-    far = hot.join(counted, "hash").select("key", "context", "j", (F.col("first") > F.col("least")).alias("earlier"))
+    counted = hot.groupBy("key", "hash").agg(F.count("*").alias("n"), F.min("first").alias("least")).where("n > 1")
+    far = hot.join(counted, ["key", "hash"]).select("key", "context", "j", (F.col("first") > F.col("least")).alias("earlier"))
     windows = near.union(far)
     every = members(found.join(classes.select("key", "context", "members", "first"), ["key", "context"]))
     own = F.struct("doc_id", "rid", "lo")
@@ -172,7 +172,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, keep_first: bool = F
     else:
         whole, part = F.col("members") > 1, F.col("members") == 1
     single = every.where(part).join(windows.select("key", "context", "j").distinct(), ["key", "context"])
-    return every.where(whole).select("rid", "lo", "n").union(single.select("rid", (F.col("lo") + F.col("j")).alias("lo"), F.lit(1).alias("n")))
+    return every.where(whole).select("rid", "doc_id", "lo", "n").union(single.select("rid", "doc_id", (F.col("lo") + F.col("j")).alias("lo"), F.lit(1).alias("n")))
 
 
 _FETCHED = pa.schema(

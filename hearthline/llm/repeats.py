@@ -1,12 +1,13 @@
-"""Long windows (of bytes or words) that occur more than once, found through content-chosen anchors.
+"""Long windows (of bytes or words) that occur more than once, found level by level through content-chosen anchors.
 
 A window of W values has one anchor: the place of the least hash among its short grams, so equal windows have their anchors at the same
 place within. Consecutive windows with one anchor form a unit (at most two: windows that hold the gram's longer extension to the
-right, and the others, which hold the one to the left). A unit carries the hash of that extension (its key), the hash of all that its
-windows cover (its context), and where its windows start. Units whose key stands alone can hold no repeated window, and are
-dropped after one shuffle; equal contexts mean equal windows, so a group of copies is a few aggregated rows from then on.
+right, and the others, which hold the one to the left). A unit carries the hash of that extension at each level's length (its keys), the hash of all that its
+windows cover (its context), and where its windows start. Level by level, units whose key stands alone can hold no repeated window
+and are dropped; only the others go on to the next length, about twice as long. Equal contexts mean equal windows, so a group of copies is a few
+aggregated rows from then on.
 
-Hashes have 64 bits; a false match of one window has the odds of the number of windows to 2**64.
+Contexts and windows are told apart under one key, by two hashes of 64 bits: a false match needs both to collide.
 """
 
 from __future__ import annotations
@@ -21,14 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import arrays
+from .store import staged
 
 
 @dataclass(frozen=True)
 class Lengths:
-    """gram, half, window: each about twice the one before; 2 * half <= window + gram + 1."""
+    """gram: values of an anchor; levels: lengths at which units are tested, rising, about twice the one before each; window: at most twice the last. 2 * levels[-1] <= window + gram + 1."""
 
     gram: int
-    half: int
+    levels: tuple[int, ...]
     window: int
 
 
@@ -44,12 +46,13 @@ def word_values(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return arrays.word_hashes(data, starts, ends), first
 
 
-def unit_arrays(values: np.ndarray, first: np.ndarray, size: Lengths) -> tuple[np.ndarray, ...]:
-    """(document, key, context, first start, number of windows) of all units of a chunk; starts count from the chunk's start."""
-    n, (k, h, w) = len(values), (size.gram, size.half, size.window)
+def unit_arrays(values: np.ndarray, first: np.ndarray, size: Lengths) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(document, keys of each level, context, first start, number of windows) of all units of a chunk; starts count from the chunk's start."""
+    n, (k, h, w) = len(values), (size.gram, size.levels[-1], size.window)
     empty = np.zeros(0, np.int64)
+    none = (empty, [empty.view(np.uint64) for _ in size.levels], empty.view(np.uint64), empty, empty)
     if n < w:
-        return empty, empty.view(np.uint64), empty.view(np.uint64), empty, empty
+        return none
     prefix = arrays.window_prefix(values)
     anchor = arrays.sliding_first_min(arrays.window_hash(prefix, np.arange(n - k + 1), k), w - k + 1)
     starts = np.zeros(n - w + 2, np.int8)
@@ -58,7 +61,7 @@ def unit_arrays(values: np.ndarray, first: np.ndarray, size: Lengths) -> tuple[n
     np.subtract.at(starts, first[long + 1] - w + 1, 1)
     valid = np.flatnonzero(np.cumsum(starts[:-1]) > 0)
     if not len(valid):
-        return empty, empty.view(np.uint64), empty.view(np.uint64), empty, empty
+        return none
     own = anchor[valid]
     change = np.flatnonzero((own[1:] != own[:-1]) | (valid[1:] != valid[:-1] + 1)) + 1
     lo = valid[np.concatenate(([0], change))]
@@ -66,60 +69,83 @@ def unit_arrays(values: np.ndarray, first: np.ndarray, size: Lengths) -> tuple[n
     p = own[np.concatenate(([0], change))]
     turn = p + h - w
     sides = []
-    for side, (a, b, at) in enumerate(((np.maximum(lo, turn), hi, p), (lo, np.minimum(hi, turn - 1), p + k - h))):
+    for side, (a, b) in enumerate(((np.maximum(lo, turn), hi), (lo, np.minimum(hi, turn - 1)))):
         use = a <= b
-        a, b, at = a[use], b[use], at[use]
-        key = arrays.window_hash(prefix, at, h) ^ np.uint64(side * 0x5851F42D4C957F2D)
-        sides.append((np.searchsorted(first, a, "right") - 1, key, arrays.window_hash(prefix, a, b + w - a), a, b - a + 1))
-    return tuple(np.concatenate(x) for x in zip(*sides, strict=True))
+        a, b, at = a[use], b[use], p[use]
+        keys = [arrays.window_hash(prefix, at + (k - m) * side, m) ^ np.uint64(side * 0x5851F42D4C957F2D) for m in size.levels]
+        sides.append((np.searchsorted(first, a, "right") - 1, *keys, arrays.window_hash(prefix, a, b + w - a), a, b - a + 1))
+    doc, *keys, context, lo, n = (np.concatenate(x) for x in zip(*sides, strict=True))
+    return doc, keys, context, lo, n
 
 
-_UNITS = "key bigint, context bigint, n int, doc_id bigint, rid bigint, lo int, more array<struct<doc_id: bigint, rid: bigint, lo: int>>, slot bigint, sure boolean"
 _MORE = [pa.field("doc_id", pa.int64()), pa.field("rid", pa.int64()), pa.field("lo", pa.int32())]
 
 
-def units(docs: DataFrame, values: Values, size: Lengths) -> DataFrame:
-    """Rows (key, context, n, doc_id, rid, lo, more) of docs(doc_id, text, rid): units whose key occurs more than once; starts count from the document's start.
+def candidates(docs: DataFrame, values: Values, size: Lengths) -> DataFrame:
+    """Rows (key0, key1, ..., context, n, doc_id, rid, lo, more, sure, leads) of all units of docs(doc_id, text, rid); starts count from the document's start.
 
     Equal units of a chunk of documents are one row, the least (doc_id, rid, lo) first and the others in `more`, so a passage that very many
-    documents share is a row for each chunk. Keys that come twice in a chunk are sure to have company; but for one of them a chunk, such rows
-    are spread over the cluster instead of meeting at the key.
+    documents share is a row for each chunk. Bit k of `sure`: its key of level k comes more than once in the chunk; of `leads`: it stands for its key there.
     """
+    levels = range(len(size.levels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in arrays.chunks(batches):
             got, first = values(*arrays.utf8(chunk.column("text")))
-            doc, key, context, lo, n = unit_arrays(got, first, size)
+            doc, keys, context, lo, n = unit_arrays(got, first, size)
             lo = (lo - first[doc]).astype(np.int32)
             ids, rids = chunk.column("doc_id"), chunk.column("rid").to_numpy()
             rank = ids.fill_null(np.iinfo(np.int64).min).to_numpy()
-            order = np.lexsort((lo, rids[doc], rank[doc], context, key))
-            doc, key, context, lo, n = doc[order], key[order], context[order], lo[order], n[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (context[1:] != context[:-1])
-            heads = np.flatnonzero(new)
-            rest = np.flatnonzero(~new)
-            extra = np.diff(np.concatenate((heads, [len(key)]))) - 1
+            order = np.lexsort((lo, rids[doc], rank[doc], context, *keys[::-1]))  # by the first level's key, then the next one's
+            doc, keys, context, lo, n = doc[order], [k[order] for k in keys], context[order], lo[order], n[order]
+            new = np.ones(len(context), bool)
+            new[1:] = (keys[-1][1:] != keys[-1][:-1]) | (context[1:] != context[:-1])
+            heads, rest = np.flatnonzero(new), np.flatnonzero(~new)
+            extra = np.diff(np.concatenate((heads, [len(context)]))) - 1
             more = pa.ListArray.from_arrays(
                 pa.array(np.concatenate(([0], np.cumsum(extra))).astype(np.int32)),
                 pa.StructArray.from_arrays([ids.take(pa.array(doc[rest])), pa.array(rids[doc[rest]]), pa.array(lo[rest])], fields=_MORE),
                 mask=pa.array(extra == 0),
             )
-            key, doc = key[heads], doc[heads]
-            same = np.zeros(len(key), bool)
-            same[1:] = key[1:] == key[:-1]
-            sure = same | (extra > 0)
-            sure[:-1] |= same[1:]
-            slot = np.where(same, arrays.mix(context[heads] ^ rids[doc].view(np.uint64)), key)
+            keys, doc = [k[heads] for k in keys], doc[heads]
+            sure, leads = np.zeros(len(heads), np.int32), np.zeros(len(heads), np.int32)
+            for level, key in enumerate(keys):
+                same = np.zeros(len(key), bool)
+                same[1:] = key[1:] == key[:-1]
+                company = same | (extra > 0)
+                company[:-1] |= same[1:]
+                sure |= company.astype(np.int32) << level
+                leads |= (~same).astype(np.int32) << level
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(context[heads].view(np.int64)), pa.array(n[heads].astype(np.int32)), ids.take(pa.array(doc)), pa.array(rids[doc]), pa.array(lo[heads]), more, pa.array(slot.view(np.int64)), pa.array(sure)],
-                names=["key", "context", "n", "doc_id", "rid", "lo", "more", "slot", "sure"],
+                [*(pa.array(k.view(np.int64)) for k in keys), pa.array(context[heads].view(np.int64)), pa.array(n[heads].astype(np.int32)), ids.take(pa.array(doc)), pa.array(rids[doc]), pa.array(lo[heads]), more, pa.array(sure), pa.array(leads)],
+                names=[*(f"key{k}" for k in levels), "context", "n", "doc_id", "rid", "lo", "more", "sure", "leads"],
             )
 
-    # a row has company if the one before or behind it has its key: a look at neighbours, whatever the size of the group
-    near = Window.partitionBy("slot").orderBy("key")
-    company = F.col("sure") | F.coalesce(F.lag("key").over(near) == F.col("key"), F.lit(False)) | F.coalesce(F.lead("key").over(near) == F.col("key"), F.lit(False))
-    return docs.select("doc_id", "text", "rid").mapInArrow(run, _UNITS).withColumn("_company", company).where("_company").drop("_company", "slot", "sure")
+    schema = ", ".join(f"key{k} bigint" for k in levels) + ", context bigint, n int, doc_id bigint, rid bigint, lo int, more array<struct<doc_id: bigint, rid: bigint, lo: int>>, sure int, leads int"
+    return docs.select("doc_id", "text", "rid").mapInArrow(run, schema)
+
+
+def survivors(rows: DataFrame, level: int) -> DataFrame:
+    """The rows whose key of this level occurs more than once.
+
+    A row has company if the one before or behind it has its key: a look at neighbours, whatever the size of the group. Rows that are sure of it
+    but don't stand for their key are spread over the cluster instead of meeting there.
+    """
+    key, bit = F.col(f"key{level}"), lambda c: F.getbit(F.col(c), F.lit(level)) == 1
+    slot = F.when(bit("leads"), key).otherwise(F.xxhash64("context", "rid", "lo"))
+    near = Window.partitionBy("_slot").orderBy(f"key{level}")
+    company = bit("sure") | F.coalesce(F.lag(key).over(near) == key, F.lit(False)) | F.coalesce(F.lead(key).over(near) == key, F.lit(False))
+    return rows.withColumn("_slot", slot).withColumn("_company", company).where("_company").drop("_slot", "_company")
+
+
+def units(docs: DataFrame, values: Values, size: Lengths) -> DataFrame:
+    """Rows (key, context, n, doc_id, rid, lo, more) of the units that are repeated at every level, each level tested on the survivors of the one before."""
+    rows = candidates(docs, values, size)
+    for level in range(len(size.levels)):
+        rows = staged(survivors(rows, level))
+        if rows.isEmpty():
+            break
+    return rows.select(F.col(f"key{len(size.levels) - 1}").alias("key"), "context", "n", "doc_id", "rid", "lo", "more")
 
 
 def members(rows: DataFrame) -> DataFrame:
@@ -131,14 +157,14 @@ def members(rows: DataFrame) -> DataFrame:
 
 
 def with_row_id(docs: DataFrame) -> DataFrame:
-    """doc_id, text and rid, a hash of both: equal rows share it."""
+    """doc_id, text and rid, a hash of both: equal rows share it. Rows are told apart by doc_id and rid."""
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
 
 
 def with_lists(docs: DataFrame, rows: DataFrame, columns: list[str], how: str) -> DataFrame:
-    """docs with all rows of its rid as the list `found`."""
-    lists = rows.groupBy("rid").agg(F.collect_list(F.struct(*columns)).alias("found"))
-    return docs.join(lists, "rid", how)
+    """docs with all rows of its doc_id and rid as the list `found`."""
+    lists = rows.groupBy("rid", "doc_id").agg(F.collect_list(F.struct(*columns)).alias("found")).withColumnsRenamed({"rid": "_rid", "doc_id": "_doc"})
+    return docs.join(lists, (F.col("rid") == F.col("_rid")) & F.col("doc_id").eqNullSafe(F.col("_doc")), how).drop("_rid", "_doc")
 
 
 def covered(found: list | None, window: int, size: int) -> np.ndarray:
