@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and a log-likelihood ratio of two character Markov models.
 
 Fixed patterns find assignments, access keys and hexadecimal runs. Beyond them, every run of `[A-Za-z0-9+/_=-]` of `MIN_RUN` or more characters
-is scored by two order-2 character Markov models, of random strings and of ordinary identifiers; runs whose log-likelihood ratio passes a
-length-normalised and a total threshold are spans of kind `random`. The models learn from labelled samples: the values that the
+is scored whole by two order-2 character Markov models, of random strings and of ordinary identifiers; runs whose log-likelihood ratio passes a
+length-normalised and a total threshold are spans of kind `random`, unless one base span holds all of the run; such a span may overlap base spans. The models learn from labelled samples: the values that the
 fixed patterns find are random strings, as are seeded strings over common alphabets; other runs of 8 or more characters that seldom change between cases and digits
 are ordinary, as are seeded identifiers of common words. The
 sample is bounded (`SAMPLE` documents by hash); its transition counts are summed per task, so the driver sees at most two tables of 65**3 counts.
@@ -41,6 +41,8 @@ _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[np.frombuffer(_ALPHABET, np.uint8)] = np.arange(1, len(_ALPHABET) + 1)
 _SIZE = len(_ALPHABET) + 1  # 0 stands before the first character
 _RUN = _SYMBOL > 0
+#: Kind of each symbol: the start, capitals, small letters, digits, others.
+_KIND = np.array([0] + [1] * 26 + [2] * 26 + [3] * 10 + [4] * 5)
 _SYNTHETIC = 600
 
 
@@ -62,7 +64,7 @@ def base_spans(raw: bytes) -> list[tuple[int, int, int]]:
 
 
 def _scan(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int]]]]:
-    """Per document its base spans, and the runs of at least `least` characters that don't touch them; bytes from the document's start."""
+    """Per document its base spans, and the runs of at least `least` characters, whole, whether base spans touch them or not; bytes from the document's start."""
     base = [base_spans(data[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
     starts, ends = _hex_runs(data, offsets, _HEX, 16)
     docs = np.searchsorted(offsets, starts, "right") - 1
@@ -72,11 +74,14 @@ def _scan(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[list[list[
     docs = np.searchsorted(offsets, starts, "right") - 1
     other: list[list[tuple[int, int]]] = [[] for _ in base]
     for d, a, b in zip(docs.tolist(), (starts - offsets[docs]).tolist(), (ends - offsets[docs]).tolist(), strict=True):
-        if not any(x < b and a < y for x, _, y in base[d]):
-            other[d].append((a, b))
+        other[d].append((a, b))
     return base, other
 
 
+def _touched(spans: list[tuple[int, int, int]], a: int, b: int) -> bool:
+    return any(x < b and a < y for x, _, y in spans)
+
+
 def _transitions(codes: np.ndarray) -> np.ndarray:
     """Numbers of the order-2 transitions of one string."""
     s = _SYMBOL[codes]
@@ -87,7 +92,7 @@ def _transitions(codes: np.ndarray) -> np.ndarray:
 def _seeded() -> list[bytes]:
     """Random strings over common alphabets."""
     r = random.Random(11)
-    sets = [b"0123456789abcdef", _ALPHABET[:62], _ALPHABET[:64], _ALPHABET[26:62], _ALPHABET[:26] + _ALPHABET[52:62]]
+    sets = [b"0123456789abcdef", b"0123456789ABCDEF", _ALPHABET[:62], _ALPHABET[:64], _ALPHABET[26:62], _ALPHABET[:26] + _ALPHABET[52:62]]
     return [bytes(r.choice(a) for _ in range(r.randint(16, 64))) for a in sets for _ in range(_SYNTHETIC)]
 
 
@@ -116,7 +121,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
                         raw = np.frombuffer(_ASSIGN.match(raw.tobytes())[2], np.uint8)
                     np.add.at(counts[1], _transitions(raw[_RUN[raw]]), 1)
                 for a, b in runs:
-                    if _ordinary(text[a:b]):
+                    if _ordinary(text[a:b]) and not _touched(found, a, b):
                         np.add.at(counts[0], _transitions(text[a:b]), 1)
         kind, at = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(at), pa.array(counts[kind, at])], names=["kind", "at", "n"])
@@ -152,10 +157,13 @@ def _seeded_plain() -> list[bytes]:
 
 
 def _smoothed(c: np.ndarray) -> np.ndarray:
-    """Interpolated order-2 probabilities: each order's counts plus a weight of the order below."""
-    zero = (c.sum(axis=(0, 1)) + 1) / (c.sum() + _SIZE)
-    one = (c.sum(axis=0) + 5 * zero) / (c.sum(axis=(0, 2))[:, None] + 5)
-    return (c + 5 * one[None]) / (c.sum(axis=2)[:, :, None] + 5)
+    """Interpolated order-2 probabilities: each order's counts plus a weight of what lies below, down to the kinds of characters (so that unseen words in known styles are likely)."""
+    kinds = np.eye(_KIND.max() + 1)[_KIND]  # symbol -> kind
+    letter = (c.sum(axis=(0, 1)) + 1) / (kinds @ (kinds.T @ (c.sum(axis=(0, 1)) + 1)))  # of its kind
+    pairs = np.einsum("abc,ax,by,cz->xyz", c, kinds, kinds, kinds, optimize=True) + 0.5
+    styled = (pairs / pairs.sum(axis=2, keepdims=True))[_KIND[:, None], _KIND[None, :]][:, :, _KIND] * letter
+    one = (c.sum(axis=0) + 5 * np.einsum("xbc,x->bc", styled, kinds.sum(axis=1) / len(kinds))) / (c.sum(axis=(0, 2))[:, None] + 5)
+    return (c + 5 * (one[None] + styled) / 2) / (c.sum(axis=2)[:, :, None] + 5)
 
 
 def _found(ratio: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, int]]]:
@@ -165,7 +173,7 @@ def _found(ratio: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[lis
         text = data[offsets[d] : offsets[d + 1]]
         for a, b in runs:
             score = float(ratio[_transitions(text[a:b])].sum())
-            if score >= MIN_TOTAL and score >= MIN_EACH * (b - a):
+            if score >= MIN_TOTAL and score >= MIN_EACH * (b - a) and not any(x <= a and b <= y for x, _, y in base[d]):
                 base[d].append((a, 3, b))
     return [sorted(x) for x in base]
 
