@@ -7,7 +7,7 @@ sample: at most `PER_LANGUAGE` labelled rows of each language and `SAMPLE` in al
 to calibrate a softmax temperature.
 
 Defined results: null texts and texts without a letter are `und` with score 0; with nothing to learn from, all are `und`; repeated
-rows get a row each; an empty table gives no rows; lang, source, doc_id and other columns never enter a prediction.
+rows get a row each; rows with a null doc_id are predicted, never learned from, and not held out; an empty table gives no rows; lang, source, doc_id and other columns never enter a prediction.
 """
 
 from __future__ import annotations
@@ -132,8 +132,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
     # the rows of a language with the least hashes; a common language is thinned by hash first, so that no task sorts all of it
     order = F.xxhash64("doc_id", F.lit(7))
     named = docs.select("doc_id", "lang", order.alias("h"))
+    # one row a language: labels are a short list
     share = named.groupBy("lang").agg((F.lit(2.0 * per_language) / F.count("*")).alias("share"))
-    thin = named.join(share, "lang").where(F.col("h").cast("double") < (F.col("share") - 0.5) * 2.0**64)
+    thin = named.join(F.broadcast(share), "lang").where(F.col("h").cast("double") < (F.col("share") - 0.5) * 2.0**64)
     ids = thin.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= per_language)
     ids = ids.orderBy("k", "h", "doc_id", "lang").limit(sample).select("doc_id").distinct()
 
@@ -185,7 +186,7 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
             langs, scores = _judge(shared.value, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    held = F.expr("pmod(crc32(cast(cast(doc_id as string) as binary)), 3) = 1")
+    held = F.expr("coalesce(pmod(crc32(cast(cast(doc_id as string) as binary)), 3) = 1, false)")
     return docs.select("doc_id", "text", held.alias("held_out")).mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
