@@ -1,15 +1,19 @@
 """SimHash near-duplicates with pigeonring filtering.
 
-A fingerprint has 64 bits, of which near copies differ in at most `radius` (3). It is seen as a ring of five segments. At most three
-segments can differ, so two near fingerprints share at least two whole segments: pairs of segments are the index (ten tables of about 26
-bits). Within a bucket, pairs are pruned by the pigeonring condition before the full Hamming check: from some segment on, each chain
-of 1, 2, ... consecutive segments must keep its summed difference within its proportional part of the radius.
+A fingerprint has 64 bits, of which near copies differ in at most `radius`. It is seen as a ring of radius + shared segments. At most `radius` of them
+can differ, so two near fingerprints agree in at least `shared` whole segments: choices of so many segments are the index (for radius 3 and two segments, ten
+tables of about 26 bits). Within a bucket, pairs are pruned by the pigeonring condition before the full Hamming check: from some segment on, each
+chain of 1, 2, ... consecutive segments, up to half the ring, must keep its summed difference within its proportional part of the radius. Every near pair meets it.
 
 Equal fingerprints are one node from the start. Buckets of one fingerprint are dropped; larger ones are dealt in blocks of `BLOCK`
 fingerprints, and each pair of blocks is a group of its own, so no task holds more than two blocks of a bucket. A group compares in
 numpy and returns no pairs but a forest of links that connects the same fingerprints, so results grow with the members. Components
 follow by checkpointed star steps over all links.
 
+`deduplicate()` works on texts: the fingerprints of their sets of words (those of shingles are too far apart for texts that share four fifths of their five-word
+shingles) find for each text, in each group, the nearest text of a smaller doc_id; that pair counts if their sets of five-word shingles have a
+Jaccard similarity of at least 0.8, computed exactly from the whole texts.
+
 Defined results: null, empty or blank texts have fingerprint zero and link with what is within the radius of it; repeated rows get a row
 each, with their doc_id's smallest reachable id; null doc_ids get a fingerprint and the component of the others that reach them (null
 if none do); an empty table gives no rows; other columns are ignored.
@@ -27,12 +31,20 @@ from pyspark.sql import functions as F
 
 from . import arrays
 from .graph import components
-from .store import cut
+from .store import cut, staged
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
-#: First bit and width of the ring's segments.
-SEGMENTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
+#: deduplicate(): bits that fingerprints of word sets may differ in, words of a shingle, and least Jaccard similarity.
+WORD_RADIUS, WORDS, SIMILARITY = 8, 5, 0.8
 BLOCK = 2048
+#: Rows of (doc_id, list of text hashes) that are broadcast at most, about 50 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def ring(radius: int, shared: int) -> list[tuple[int, int]]:
+    """First bit and width of each of radius + shared segments."""
+    cuts = [64 * i // (radius + shared) for i in range(radius + shared + 1)]
+    return [(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
@@ -72,14 +84,14 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def chain_viable(x: np.ndarray, radius: int) -> np.ndarray:
-    """Pigeonring: some segment starts a chain whose every prefix of l segments differs in at most l * radius / m bits."""
-    m = len(SEGMENTS)
-    d = np.stack([np.bitwise_count((x >> np.uint64(a)) & np.uint64((1 << w) - 1)) for a, w in SEGMENTS]).astype(np.int64)
+def chain_viable(x: np.ndarray, radius: int, segments: list[tuple[int, int]]) -> np.ndarray:
+    """Pigeonring: some segment starts a chain of up to half the ring whose every prefix of l segments differs in at most l * radius / m bits."""
+    m = len(segments)
+    d = np.stack([np.bitwise_count((x >> np.uint64(a)) & np.uint64((1 << w) - 1)) for a, w in segments]).astype(np.int64)
     out = np.zeros(len(x), bool)
     for i in range(m):
         total, fine = np.zeros(len(x), np.int64), np.ones(len(x), bool)
-        for length in range(1, m + 1):
+        for length in range(1, (m + 1) // 2 + 1):
             total = total + d[(i + length - 1) % m]
             fine &= total * m <= length * radius
         out |= fine
@@ -105,10 +117,10 @@ def _forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def _group_links(group: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -> np.ndarray:
-    """Rows (fp, fp) that connect what is linked within each run of equal `group`. side: 0 or 1 are blocks to compare with each other, 2 a block with itself."""
+def _near_pairs(group: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int, segments: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Places (left, right) of near fingerprints within each run of equal `group`. side: 0 or 1 are blocks to compare with each other, 2 a block with itself."""
     n = len(fp)
-    lefts, rights = [], []
+    lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     at, shift = np.arange(n), 1
     last = np.concatenate((np.flatnonzero(group[1:] != group[:-1]), [n - 1]))
     stop = last[np.searchsorted(last, at)]
@@ -118,31 +130,45 @@ def _group_links(group: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: in
             break
         pair = at[(side[at] == 2) | (side[at] != side[at + shift])]
         x = fp[pair] ^ fp[pair + shift]
-        fine = chain_viable(x, radius)
+        fine = chain_viable(x, radius, segments)
         fine[fine] = np.bitwise_count(x[fine]) <= radius
         lefts.append(pair[fine])
         rights.append(pair[fine] + shift)
         shift += 1
-    if not lefts:
-        return np.zeros((0, 2), np.int64)
-    label = _forest(np.concatenate(lefts), np.concatenate(rights), n)
-    moved = np.flatnonzero(label != np.arange(n))
-    return np.column_stack((fp[moved].view(np.int64), fp[label[moved]].view(np.int64)))
+    return np.concatenate(lefts), np.concatenate(rights)
+
 
+def _linked(ids: np.ndarray, fp: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Rows (id, id) that connect what the pairs link."""
+    label = _forest(left, right, len(ids))
+    moved = np.flatnonzero(label != np.arange(len(ids)))
+    return np.column_stack((ids[moved], ids[label[moved]]))
 
-def _links(radius: int):
+
+def _nearest(ids: np.ndarray, fp: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Rows (id, smaller id): the nearest of those smaller ids that are paired with each; ids rise within a group."""
+    far = np.bitwise_count(fp[left] ^ fp[right]).astype(np.int64)
+    order = np.lexsort((ids[left], far, right))
+    left, right = left[order], right[order]
+    first = np.ones(len(right), bool)
+    first[1:] = right[1:] != right[:-1]
+    return np.column_stack((ids[right[first]], ids[left[first]]))
+
+
+def _compare(radius: int, segments: list[tuple[int, int]], choose):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
         def emit(rows: np.ndarray) -> pa.RecordBatch:
-            links = _group_links(rows[:, 0], rows[:, 1].view(np.uint64), rows[:, 2], radius)
-            return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+            fp = rows[:, 1].view(np.uint64) if rows.flags.f_contiguous else np.ascontiguousarray(rows[:, 1]).view(np.uint64)
+            out = choose(rows[:, 2], fp, *_near_pairs(rows[:, 0], fp, rows[:, 3], radius, segments))
+            return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.column_stack([batch.column(c).to_numpy() for c in ("unit", "fp", "side")]).astype(np.int64)
+            rows = np.column_stack([batch.column(c).to_numpy() for c in ("unit", "fp", "id", "side")]).astype(np.int64)
             held.append(rows)
             size += len(rows)
             if size >= 4 * BLOCK:
@@ -157,23 +183,31 @@ def _links(radius: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """(a, b): links among distinct fingerprints (column fp) that connect all those within the radius of each other."""
-    keys = []
-    for t, (i, j) in enumerate(combinations(range(len(SEGMENTS)), 2)):
-        (a, w), (b, v) = SEGMENTS[i], SEGMENTS[j]
-        part = F.shiftrightunsigned("fp", a).bitwiseAND((1 << w) - 1) * (1 << v) + F.shiftrightunsigned("fp", b).bitwiseAND((1 << v) - 1)
-        keys.append(part * 16 + t)
-    table = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
+def _met(nodes: DataFrame, radius: int, shared: int, block: int, choose) -> DataFrame:
+    """(a, b): what `choose` makes of the near pairs among nodes(fp, id), group by group."""
+    segments, keys = ring(radius, shared), []
+    choices = list(combinations(segments, shared))
+    for t, chosen in enumerate(choices):
+        part = F.lit(0).cast("bigint")
+        for a, w in chosen:
+            part = part * (1 << w) + F.shiftrightunsigned("fp", a).bitwiseAND((1 << w) - 1)
+        keys.append(part * len(choices) + t)
+    table = nodes.select(F.explode(F.array(*keys)).alias("key"), "fp", "id")
     sizes = table.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    table = table.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
-    units = table.select("key", "fp", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")).select(
+    table = table.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    units = table.select("key", "fp", "id", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")).select(
         F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
         "fp",
+        "id",
         F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).cast("bigint").alias("side"),
     )
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return units.repartition(n, "unit").sortWithinPartitions("unit", "fp").mapInArrow(_links(radius), "a bigint, b bigint")
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return units.repartition(n, "unit").sortWithinPartitions("unit", "id").mapInArrow(_compare(radius, segments, choose), "a bigint, b bigint")
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK, shared: int = 2) -> DataFrame:
+    """(a, b): links among distinct fingerprints (column fp) that connect all those within the radius of each other."""
+    return _met(distinct.select("fp", F.col("fp").alias("id")), radius, shared, block, _linked)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -187,19 +221,105 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each near-duplicate group: the smallest doc_id. Of equal rows under that id one stays; rows with a null id stay."""
-    groups = near_duplicates(docs, shingle, radius).where("doc_id is not null")
-    marks = (
-        groups.groupBy("doc_id")
-        .agg(F.count("*").alias("n"), F.min("component_id").alias("c"))
-        .where("n > 1 or c <> doc_id")
-        .select("doc_id", F.when(F.col("c") != F.col("doc_id"), "drop").otherwise("repeated").alias("_mark"))
-    )
-    marks = cut(marks)
-    marked = docs.join(marks, "doc_id", "left").select(*[docs[c] for c in docs.columns], "_mark")
-    single = marked.where("_mark is null").drop("_mark")
-    if marks.where("_mark = 'repeated'").isEmpty():  # no id comes twice: one pass over the documents will do
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of a chunk, and each text's first."""
+    data = arrays.lower_ascii(data)
+    starts, ends, first = arrays.word_bounds(data, offsets, arrays.SPACE)
+    return arrays.word_hashes(data, starts, ends), first
+
+
+def _set_fingerprint(hashes: np.ndarray) -> int:
+    """As fingerprint(), of a set of hashes, each counted once."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 15):
+        part = hashes[i : i + (1 << 15)].astype("<u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def _text_hashes(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each text's sequence of words."""
+    return arrays.spans_hash(arrays.window_prefix(words), first[:-1], first[1:], arrays._STEP).view(np.int64)
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for chunk in arrays.chunks(batches):
+        words, first = _words(*arrays.utf8(chunk.column("text")))
+        fps = [_set_fingerprint(np.unique(words[a:b])) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(_text_hashes(words, first)), pa.array(fps, pa.int64())], names=["doc_id", "tid", "fp"])
+
+
+def _shingle_sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in arrays.chunks(batches):
+            words, first = _words(*arrays.utf8(chunk.column("text")))
+            tids, prefix = _text_hashes(words, first), arrays.window_prefix(words)
+            keep, sets = [], []
+            for i, wanted in enumerate(chunk.column("tids").to_pylist()):
+                if int(tids[i]) in wanted:
+                    a, b = int(first[i]), int(first[i + 1])
+                    k = min(size, b - a)
+                    keep.append(i)
+                    sets.append(np.unique(arrays.window_hash(prefix, np.arange(a, b - k + 1), k)).view(np.int64) if k else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(tids[keep]), pa.array(sets, pa.list_(pa.int64()))], names=["tid", "shingles"])
+
+    return run
+
+
+def _with(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """docs joined with rows(doc_id, ...) by a broadcast of few rows, or by a shuffle of many."""
+    return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, "doc_id", how)
+
+
+def _fresh(docs: DataFrame, name: str) -> str:
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
+def near_texts(docs: DataFrame, signed: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY, radius: int = WORD_RADIUS) -> DataFrame:
+    """(tid): hashes of texts that are near copies of a text of a smaller least doc_id. signed: (doc_id, tid, fp) of docs."""
+    nodes = cut(signed.groupBy("tid", "fp").agg(F.min("doc_id").alias("least")).where("least is not null").groupBy("least").agg(F.min(F.struct("tid", "fp")).alias("t")).select(F.col("least").alias("id"), "t.tid", "t.fp"))
+    n = nodes.count()
+    # more segments in common make longer keys and more tables; the pairs that are found don't depend on it
+    shared = next((k for k in (2, 3) if n <= BLOCK * 2 ** (64 * k // (radius + k))), 4)
+    pairs = cut(_met(nodes.select("fp", "id"), radius, shared, BLOCK, _nearest).distinct())
+    wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(nodes, "id").select(F.col("id").alias("doc_id"), F.array("tid").alias("tids")))
+    sets = _with(docs.select("doc_id", "text"), wanted, "inner").select("text", "tids").mapInArrow(_shingle_sets(shingle), "tid bigint, shingles array<bigint>").dropDuplicates(["tid"])
+    sets = staged(sets.join(nodes.select("id", "tid"), "tid").select("id", "tid", "shingles"))
+    left, right = sets.select(F.col("id").alias("a"), "tid", F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
+    both = pairs.join(left, "a").join(right, "b").where((small >= similarity * large) & (common >= similarity * (F.size("x") + F.size("y") - common)))
+    return both.select("tid").distinct()
+
+
+def deduplicate(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY, radius: int = WORD_RADIUS) -> DataFrame:
+    """docs without near copies: of each group of texts whose sets of five-word shingles are similar, that of the smallest doc_id stays.
+
+    Texts of the same lower-cased words are copies, empty ones too; of those and of equal rows under one id, one stays. An id that comes with several texts
+    stands for the one of the least hash in the search for near copies. Rows with a null id stay, unless a text of an id is the same.
+    """
+    signed = cut(docs.select("doc_id", "text").mapInArrow(_signatures, "doc_id bigint, tid bigint, fp bigint"))
+    near = near_texts(docs, signed, shingle, similarity, radius).withColumn("near", F.lit(True))
+    least = signed.where("doc_id is not null").groupBy("tid").agg(F.min("doc_id").alias("least"))
+    judged = signed.where("doc_id is not null").join(least, "tid").join(near, "tid", "left").withColumn("stays", (F.col("doc_id") == F.col("least")) & F.col("near").isNull())
+    name = _fresh(docs, "_stays")
+    # ids whose rows all go, or that come more than once: the texts that stay
+    marks = cut(judged.groupBy("doc_id").agg(F.count("*").alias("n"), F.collect_set(F.when(F.col("stays"), F.col("tid"))).alias(name)).where(f"n > 1 or size({name}) = 0").select("doc_id", name))
+    marked = _with(docs, marks, "left").select(*[F.col(f"`{c}`") for c in docs.columns], name)
+    single = marked.where(F.col(name).isNull()).drop(name)
+    if marks.where(F.size(name) > 0).isEmpty():  # no id comes twice: one pass over the documents will do
         return single
-    repeated = marked.where("_mark = 'repeated'").drop("_mark").dropDuplicates(["doc_id", "text"])
+    tid = _fresh(docs, "_tid")
+    schema = marked.drop(name).schema.add(tid, "long")
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in arrays.chunks(batches):
+            tids = _text_hashes(*_words(*arrays.utf8(chunk.column("text"))))
+            keep = [t in stays for t, stays in zip(tids.tolist(), chunk.column(name).to_pylist(), strict=True)]
+            rows = chunk.drop_columns([name])
+            yield rows.append_column(tid, pa.array(tids)).filter(pa.array(keep, pa.bool_()))
+
+    repeated = marked.where(F.size(name) > 0).mapInArrow(chosen, schema).dropDuplicates(["doc_id", tid]).drop(tid)
     return single.unionByName(repeated)
