@@ -49,3 +49,7 @@ STATE_SLUGS = {
 
 # First words of streets.
 STREET_WORDS = {"r": "rua", "av": "avenida", "al": "alameda", "rod": "rodovia", "tv": "travessa", "pca": "praca"}
+
+# Messages of recovered and of expired searches.
+RECOVERED = "Worker interrompido: pesquisa recuperada automaticamente."
+EXPIRED = "Pesquisa expirada automaticamente: o coletor não iniciou ou parou de responder dentro do tempo limite."

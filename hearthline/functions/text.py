@@ -140,9 +140,11 @@ def canonical_word(c: Column, exact: bool = False) -> Column:
     return F.coalesce(words[folded], folded)
 
 
-def token_overlap(actual: Column, expected: Column) -> Column:
-    """Share of the expected words that the actual text has."""
-    split = lambda c: F.filter(F.split(c, r"\W+"), lambda x: x != "")
-    left, right = split(actual), split(expected)
+def split_words(c: Column) -> Column:
+    return F.filter(F.split(c, r"\W+"), lambda x: x != "")
+
+
+def token_overlap(left: Column, right: Column) -> Column:
+    """Share of the expected words (right) that the actual ones hold."""
     hits = F.size(F.filter(right, lambda x: F.array_contains(left, x)))
     return F.when((F.size(left) > 0) & (F.size(right) > 0), hits / F.size(right)).otherwise(0.0)

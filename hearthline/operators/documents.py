@@ -149,7 +149,8 @@ def collector_rows(docs: DataFrame, transaction: str = "SALE", source: str = "IN
 
 def search(docs: DataFrame, requests: DataFrame, k: int = 6) -> DataFrame:
     """The k best available candidates of each of requests(search_id, city, state, neighborhood, transaction, property_type, min_price, ...): joined by the folded state, scored, best first."""
-    found = candidates(docs.where(available(F.col("doc")))).withColumn("_state", slugify(F.col("state"))).alias("p")
-    asked = requests.withColumn("_state", slugify(F.col("state"))).alias("s")
-    scored = found.join(asked, F.col("p._state") == F.col("s._state")).select("s.search_id", scoring.compatibility().alias("score"), *[F.col(f"p.{c}") for c in found.columns if not c.startswith("_") and c != "doc"])
+    found = candidates(docs.where(available(F.col("doc"))))
+    at = slugify(F.col("state"))
+    p, asked = scoring.prepared_texts(found).withColumn("_at", at).alias("p"), scoring.prepared_texts(requests).withColumn("_at", at).alias("s")
+    scored = p.join(asked, F.col("p._at") == F.col("s._at")).select("s.search_id", scoring.compatibility().alias("score"), *[F.col(f"p.{c}") for c in found.columns if c != "doc"])
     return top_n(scored.where("score > 0"), ["search_id"], [F.desc("score"), "id"], k)

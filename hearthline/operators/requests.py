@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import enums
+
 
 def _minutes(n: int) -> Column:
     return F.make_interval(mins=F.lit(n))
@@ -23,7 +25,7 @@ def cached_as_of(requests: DataFrame, searches: DataFrame, ttl_minutes: int = 10
 
 
 def is_stale(now: Column, stale_minutes: int) -> Column:
-    beat = F.coalesce("last_heartbeat_at", "created_at")
+    beat = F.coalesce("last_heartbeat_at", "started_at", "updated_at")
     cutoff = now - _minutes(stale_minutes)
     return ((F.col("status") == "PENDING") & (F.col("created_at") < cutoff)) | ((F.col("status") == "RUNNING") & (beat < cutoff))
 
@@ -44,27 +46,41 @@ def request_outcomes(requests: DataFrame, searches: DataFrame, now, ttl_minutes:
 
 
 def claim_decisions(searches: DataFrame, now, cache: int = 120, running: int = 30, cooldown: int = 10) -> DataFrame:
-    """Per key as of now, by its newest row: CACHE_FRESH, ALREADY_RUNNING, FAILURE_COOLDOWN, else CLAIM."""
+    """Per key as of now, by its newest row: CACHE_FRESH (collected within `cache` minutes), ALREADY_RUNNING (its lock holds), FAILURE_COOLDOWN (failed within `cooldown`), else CLAIM with a lock of `running` minutes."""
     now = F.lit(now).cast("timestamp_ntz")
-    latest = searches.groupBy("search_key").agg(F.max_by(F.struct("search_id", "status", "created_at", "last_heartbeat_at", "completed_at"), F.struct("created_at", "search_id")).alias("r")).select("search_key", "r.*")
-    beat = F.coalesce("last_heartbeat_at", "created_at")
+    columns = F.struct("search_id", "status", "last_collected_at", "collection_finished_at", "lock_expires_at")
+    latest = searches.groupBy("search_key").agg(F.max_by(columns, F.struct("created_at", "search_id")).alias("r")).select("search_key", "r.*")
     decision = (
-        F.when((F.col("status") == "COMPLETED") & (F.col("completed_at") >= now - _minutes(cache)), "CACHE_FRESH")
-        .when(F.col("status").isin("RUNNING", "PENDING") & (beat >= now - _minutes(running)), "ALREADY_RUNNING")
-        .when((F.col("status") == "FAILED") & (beat >= now - _minutes(cooldown)), "FAILURE_COOLDOWN")
+        F.when(F.col("last_collected_at") > now - _minutes(cache), "CACHE_FRESH")
+        .when((F.col("status") == "RUNNING") & (F.col("lock_expires_at") > now), "ALREADY_RUNNING")
+        .when((F.col("status") == "FAILED") & (F.col("collection_finished_at") > now - _minutes(cooldown)), "FAILURE_COOLDOWN")
         .otherwise("CLAIM")
     )
-    return latest.select("search_key", "search_id", "status", decision.alias("decision"))
+    rows = latest.select("search_key", "search_id", "status", decision.alias("decision"), "lock_expires_at")
+    return rows.withColumn("lock_expires_at", F.when(F.col("decision") == "CLAIM", now + _minutes(running)).otherwise(F.col("lock_expires_at")))
+
 
+def recover_stale(searches: DataFrame, now, running_minutes: int = 30, pending_minutes: int = 60, max_attempts: int = 3, retry_minutes: int = 5) -> DataFrame:
+    """Adds new_status, recovered, new_next_attempt_at, new_completed_at and error_message.
 
-def recover_stale(searches: DataFrame, now, running_minutes: int = 30, pending_minutes: int = 60, max_attempts: int = 3) -> DataFrame:
-    """Adds `new_status`: stale RUNNING rows go back to PENDING or, with no attempts left, to FAILED; PENDING rows past their time are FAILED; others stay."""
+    RUNNING rows without a sign of life (heartbeat, else start, else update) go back to PENDING with a next attempt or, with no attempts left, to FAILED; PENDING rows past
+    their time are FAILED; others stay as they are.
+    """
     now = F.lit(now).cast("timestamp_ntz")
-    beat = F.coalesce("last_heartbeat_at", "created_at")
-    dead = (F.col("status") == "RUNNING") & (beat < now - _minutes(running_minutes))
-    late = (F.col("status") == "PENDING") & (F.col("created_at") < now - _minutes(pending_minutes))
-    new = F.when(dead, F.when(F.col("attempts") < max_attempts, "PENDING").otherwise("FAILED")).when(late, "FAILED").otherwise(F.col("status"))
-    return searches.withColumns({"new_status": new, "recovered": dead | late})
+    beat = F.coalesce("last_heartbeat_at", "started_at", "updated_at")
+    dead = F.coalesce((F.col("status") == "RUNNING") & (beat < now - _minutes(running_minutes)), F.lit(False))
+    late = F.coalesce((F.col("status") == "PENDING") & (F.col("created_at") < now - _minutes(pending_minutes)), F.lit(False))
+    again = dead & (F.col("attempts") < max_attempts)
+    failed = late | (dead & ~again)
+    return searches.withColumns(
+        {
+            "new_status": F.when(again, "PENDING").when(failed, "FAILED").otherwise(F.col("status")),
+            "recovered": dead | late,
+            "new_next_attempt_at": F.when(again, now + _minutes(retry_minutes)).when(~dead, F.col("next_attempt_at")),
+            "new_completed_at": F.when(failed, now).when(~again, F.col("completed_at")),
+            "error_message": F.when(dead, enums.RECOVERED).when(late, enums.EXPIRED),
+        }
+    )
 
 
 def recovery_counts(recovered: DataFrame) -> DataFrame:

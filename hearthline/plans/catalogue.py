@@ -22,10 +22,10 @@ _SCORE = """20 + CASE WHEN (s.price_min IS NULL OR coalesce(r.price, 0) >= s.pri
 
 
 @query(f"""WITH {_ROLLUP}, h AS (SELECT s.search_id, p.property_id, r.price, CAST(least(100, {_SCORE}) AS INT) AS score
-  FROM v_property p JOIN r ON r.property_id = p.property_id JOIN v_search s ON lower(s.city) = lower(p.city) WHERE {_MATCH})
+  FROM v_property p JOIN r ON r.property_id = p.property_id JOIN v_query s ON lower(s.city) = lower(p.city) WHERE {_MATCH})
 SELECT search_id, property_id, price, score, CAST(row_number() OVER (PARTITION BY search_id ORDER BY score DESC, price, property_id) AS INT) AS position FROM h""")
 def consolidated_search(spark, sf):
-    return search.consolidated_search(view(spark, sf, "v_property"), view(spark, sf, "v_listing"), view(spark, sf, "v_search"))
+    return search.consolidated_search(view(spark, sf, "v_property"), view(spark, sf, "v_listing"), view(spark, sf, "v_query"))
 
 
 @query(f"""WITH {_ROLLUP} SELECT s.search_id, p.property_id, CAST(least(100, {_SCORE}) AS INT) AS score,
@@ -33,9 +33,9 @@ def consolidated_search(spark, sf):
   'Bairro desejado', CASE WHEN s.area_min IS NULL OR coalesce(p.area_m2, 0) >= s.area_min THEN 'Metragem compatível' END,
   CASE WHEN s.bedrooms_min IS NULL OR coalesce(p.bedrooms, 0) >= s.bedrooms_min THEN 'Quartos compatíveis' END,
   CASE WHEN s.parking_spaces_min IS NULL OR coalesce(p.parking_spaces, 0) >= s.parking_spaces_min THEN 'Vagas compatíveis' END], lambda x: x IS NOT NULL), '; ') AS reasons
-FROM v_property p JOIN r ON r.property_id = p.property_id JOIN v_search s ON lower(s.city) = lower(p.city)""")
+FROM v_property p JOIN r ON r.property_id = p.property_id JOIN v_query s ON lower(s.city) = lower(p.city)""")
 def rank_with_reasons(spark, sf):
-    rows = search.rank_candidates(view(spark, sf, "v_property"), view(spark, sf, "v_listing"), view(spark, sf, "v_search"))
+    rows = search.rank_candidates(view(spark, sf, "v_property"), view(spark, sf, "v_listing"), view(spark, sf, "v_query"))
     return rows.withColumn("reasons", F.array_join("reasons", "; "))
 
 
@@ -126,38 +126,38 @@ _RANGE = """(CASE WHEN p.price IS NULL THEN 0.45 WHEN p.price < s.price_min THEN
 
 
 @query(f"""WITH {_ROLLUP}, p AS (SELECT v.property_id, v.city, v.state, v.neighborhood, v.property_type, v.transaction_type, v.bedrooms, v.area_m2, CAST(r.price AS DOUBLE) AS price FROM v_property v JOIN r ON r.property_id = v.property_id),
-s AS (SELECT search_id, city, state, property_type, transaction_type, bedrooms_min, area_min, CAST(price_min AS DOUBLE) AS price_min, CAST(price_max AS DOUBLE) AS price_max FROM v_search),
+s AS (SELECT search_id, city, state, property_type, transaction_type, bedrooms_min, area_min, CAST(price_min AS DOUBLE) AS price_min, CAST(price_max AS DOUBLE) AS price_max FROM v_query),
 k AS (SELECT s.search_id, p.property_id,
   28 * {_text_sql('p.city', 's.city')} + 10 * {_text_sql('p.state', 's.state')} + CASE WHEN s.property_type IS NULL THEN 0.0 ELSE 14 * {_text_sql('p.property_type', 's.property_type')} END
   + 8 * {_text_sql('p.transaction_type', 's.transaction_type')} + 8 * (CASE WHEN p.bedrooms IS NULL THEN 0.45 WHEN p.bedrooms >= s.bedrooms_min OR s.bedrooms_min <= 0 THEN 1.0 ELSE p.bedrooms / s.bedrooms_min::DOUBLE END)
   + CASE WHEN s.area_min IS NULL THEN 0.0 ELSE 7 * (CASE WHEN p.area_m2 IS NULL THEN 0.45 WHEN p.area_m2 < s.area_min THEN greatest(0.0, 1 - (s.area_min - p.area_m2) / greatest(s.area_min, 1)) ELSE 1.0 END) END + 7 * {_RANGE} AS score,
-  28 + 10 + 8 + 8 + 7 + CASE WHEN s.property_type IS NULL THEN 0 ELSE 14 END + CASE WHEN s.area_min IS NULL THEN 0 ELSE 7 END AS possible FROM p JOIN s ON s.state = p.state),
+  28 + 10 + 8 + 8 + 7 + CASE WHEN s.property_type IS NULL THEN 0 ELSE 14 END + CASE WHEN s.area_min IS NULL THEN 0 ELSE 7 END AS possible FROM p JOIN s ON p.city IN (s.city, upper(s.city), lower(s.city)) AND p.state IN (s.state, upper(s.state), lower(s.state)) WHERE (s.price_min IS NULL OR p.price >= s.price_min) AND (s.price_max IS NULL OR p.price <= s.price_max)),
 t AS (SELECT search_id, property_id, CAST(floor(score / possible * 100 + 0.5) AS INT) AS score FROM k)
 SELECT search_id, property_id, score, rn FROM (SELECT *, CAST(row_number() OVER (PARTITION BY search_id ORDER BY score DESC, property_id) AS INT) AS rn FROM t WHERE score > 0) WHERE rn <= 6""")
 def compat_score_topk(spark, sf):
     p = search.priced_properties(view(spark, sf, "v_property"), view(spark, sf, "v_listing"))
     none = F.lit(None).cast("string")
     p = p.select("property_id", "city", "state", "neighborhood", none.alias("address"), none.alias("description"), "property_type", F.col("transaction_type").alias("transaction"), "bedrooms", F.col("area_m2").alias("usable_area"), F.col("price").cast("double").alias("price"))
-    s = view(spark, sf, "v_search").select(
+    s = view(spark, sf, "v_query").select(
         "search_id", "city", "state", none.alias("neighborhood"), "property_type", F.col("transaction_type").alias("transaction"), F.col("bedrooms_min").alias("bedrooms"), F.col("area_min").alias("min_area"),
         F.lit(None).cast("double").alias("max_area"), F.col("price_min").cast("double").alias("min_price"), F.col("price_max").cast("double").alias("max_price"),
     )
-    return search.compatibility_top(p.alias("p").join(s.alias("s"), F.col("p.state") == F.col("s.state")), 6)
+    return search.compatibility_top(p, s, 6)
 
 
 @query("""SELECT search_id, 'status: ANY("ACTIVE") AND transactionTypes: ANY("' || transaction_type || '") AND city: ANY("' || city || '")' || coalesce(' AND propertyType: ANY("' || property_type || '")', '')
   || ' AND ' || CASE WHEN transaction_type = 'RENT' THEN 'rentalPrice' ELSE 'salePrice' END || ' >= ' || CAST(CAST(price_min AS BIGINT) AS VARCHAR) || ' AND ' || CASE WHEN transaction_type = 'RENT' THEN 'rentalPrice' ELSE 'salePrice' END || ' <= ' || CAST(CAST(price_max AS BIGINT) AS VARCHAR)
-  || coalesce(' AND usableArea >= ' || CAST(CAST(area_min AS BIGINT) AS VARCHAR), '') || ' AND bedrooms >= ' || CAST(bedrooms_min AS VARCHAR) AS filter FROM v_search""", every_search=True)
-def index_filter(spark, sf, searches="v_search"):
-    s = view(spark, sf, searches).withColumn("neighborhoods", F.array().cast("array<string>")).alias("s")
+  || coalesce(' AND usableArea >= ' || CAST(CAST(area_min AS BIGINT) AS VARCHAR), '') || ' AND bedrooms >= ' || CAST(bedrooms_min AS VARCHAR) AS filter FROM v_search""")
+def index_filter(spark, sf):
+    s = view(spark, sf, "v_search").withColumn("neighborhoods", F.array().cast("array<string>")).alias("s")
     return s.select("s.search_id", filters.index_filter("s").alias("filter"))
 
 
-@query("""SELECT s.search_id, c.id FROM v_collector c JOIN v_search s ON lower(c.city) = lower(s.city)
+@query("""SELECT s.search_id, c.id FROM v_collector c JOIN v_query s ON lower(c.city) = lower(s.city)
 WHERE (s.property_type IS NULL OR c.property_type = s.property_type) AND (s.bedrooms_min IS NULL OR coalesce(c.bedrooms, 0) >= s.bedrooms_min) AND (s.area_min IS NULL OR (c.usable_area IS NOT NULL AND c.usable_area >= s.area_min))
   AND (CASE WHEN s.transaction_type = 'RENT' THEN c.rental_price ELSE c.sale_price END) BETWEEN s.price_min AND s.price_max""")
 def collector_match(spark, sf):
-    s = view(spark, sf, "v_search").select(
+    s = view(spark, sf, "v_query").select(
         "search_id", "city", F.lit(None).cast("string").alias("neighborhood"), "property_type", F.col("transaction_type").alias("transaction"), F.col("bedrooms_min").alias("bedrooms"), F.col("area_min").alias("min_area"),
         F.lit(None).cast("double").alias("max_area"), F.col("price_min").alias("min_price"), F.col("price_max").alias("max_price"),
     )
@@ -165,10 +165,10 @@ def collector_match(spark, sf):
     return p.join(s, F.lower("p.city") == F.lower("s.city")).where(filters.collector_match()).select("s.search_id", "p.id")
 
 
-@query("""SELECT CASE WHEN price_min > 20000 AND bedrooms_min > 1 THEN 'minimum area above maximum' WHEN bedrooms_min = 0 THEN 'bedrooms must be a whole number from 0' END AS error, count(*) AS n FROM v_search GROUP BY 1""", every_search=True)
-def criteria_errors(spark, sf, searches="v_search"):
+@query("""SELECT CASE WHEN price_min > 20000 AND bedrooms_min > 1 THEN 'minimum area above maximum' WHEN bedrooms_min = 0 THEN 'bedrooms must be a whole number from 0' END AS error, count(*) AS n FROM v_search GROUP BY 1""")
+def criteria_errors(spark, sf):
     bad_area = (F.col("price_min") > 20000) & (F.col("bedrooms_min") > 1)
-    rows = view(spark, sf, searches).select(
+    rows = view(spark, sf, "v_search").select(
         F.col("city"), F.col("state"), F.lit(" ").alias("neighborhood"), F.col("property_type"), F.lower("transaction_type").alias("transaction"), F.col("price_min").alias("min_price"), F.col("price_max").alias("max_price"),
         F.when(bad_area, 90).otherwise(10).alias("min_area"), F.lit(80).alias("max_area"), F.when(F.col("bedrooms_min") == 0, -1).otherwise(F.col("bedrooms_min")).alias("bedrooms"),
     )

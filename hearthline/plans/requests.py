@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import keys
+from ..functions import enums, keys
 from ..operators import index, maintenance, requests, search
 from .registry import query
 from .views import view
 
 NOW = "1998-06-01 12:00:00"
 _NOW = f"CAST('{NOW}' AS TIMESTAMP)"
-_BEAT = "coalesce(last_heartbeat_at, created_at)"
+_BEAT = "coalesce(last_heartbeat_at, started_at, updated_at)"
 
 
 @query("""WITH h AS (SELECT r.request_id, r.search_key, r.requested_at, c.search_id, c.completed_at FROM v_request r ASOF LEFT JOIN (SELECT search_key, completed_at, max(search_id) AS search_id FROM v_psearch WHERE status = 'COMPLETED' AND completed_at IS NOT NULL GROUP BY search_key, completed_at) c
@@ -31,23 +31,27 @@ def request_outcome(spark, sf):
     return requests.request_outcomes(view(spark, sf, "v_request"), view(spark, sf, "v_psearch"), NOW, ttl_minutes=20_000, stale_minutes=30_000)
 
 
-@query(f"""WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY search_key ORDER BY created_at DESC, search_id DESC) AS rn FROM v_psearch) t WHERE rn = 1)
-SELECT search_key, search_id, status, CASE WHEN status = 'COMPLETED' AND completed_at >= {_NOW} - INTERVAL 60000 MINUTE THEN 'CACHE_FRESH' WHEN status IN ('RUNNING', 'PENDING') AND {_BEAT} >= {_NOW} - INTERVAL 40000 MINUTE THEN 'ALREADY_RUNNING'
-  WHEN status = 'FAILED' AND {_BEAT} >= {_NOW} - INTERVAL 30000 MINUTE THEN 'FAILURE_COOLDOWN' ELSE 'CLAIM' END AS decision FROM l""")
+@query(f"""WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY search_key ORDER BY created_at DESC, search_id DESC) AS rn FROM v_psearch) t WHERE rn = 1),
+d AS (SELECT *, CASE WHEN last_collected_at > {_NOW} - INTERVAL 60000 MINUTE THEN 'CACHE_FRESH' WHEN status = 'RUNNING' AND lock_expires_at > {_NOW} THEN 'ALREADY_RUNNING'
+  WHEN status = 'FAILED' AND collection_finished_at > {_NOW} - INTERVAL 90000 MINUTE THEN 'FAILURE_COOLDOWN' ELSE 'CLAIM' END AS decision FROM l)
+SELECT search_key, search_id, status, decision, CASE WHEN decision = 'CLAIM' THEN {_NOW} + INTERVAL 30 MINUTE ELSE lock_expires_at END AS lock_expires_at FROM d""")
 def claim_decision(spark, sf):
-    return requests.claim_decisions(view(spark, sf, "v_psearch"), NOW, cache=60_000, running=40_000, cooldown=30_000)
+    return requests.claim_decisions(view(spark, sf, "v_psearch"), NOW, cache=60_000, running=30, cooldown=90_000)
 
 
-_RECOVER = f"""SELECT search_id, status, CASE WHEN status = 'RUNNING' AND {_BEAT} < {_NOW} - INTERVAL 30 MINUTE THEN CASE WHEN attempts < 3 THEN 'PENDING' ELSE 'FAILED' END WHEN status = 'PENDING' AND created_at < {_NOW} - INTERVAL 60 MINUTE THEN 'FAILED' ELSE status END AS new_status,
-  (status = 'RUNNING' AND {_BEAT} < {_NOW} - INTERVAL 30 MINUTE) OR (status = 'PENDING' AND created_at < {_NOW} - INTERVAL 60 MINUTE) AS recovered FROM v_psearch"""
+_RECOVER = f"""WITH f AS (SELECT *, status = 'RUNNING' AND {_BEAT} < {_NOW} - INTERVAL 30 MINUTE AS dead, status = 'PENDING' AND created_at < {_NOW} - INTERVAL 60 MINUTE AS late FROM v_psearch),
+r AS (SELECT search_id, status, CASE WHEN dead AND attempts < 3 THEN 'PENDING' WHEN dead OR late THEN 'FAILED' ELSE status END AS new_status, dead OR late AS recovered,
+  CASE WHEN dead AND attempts < 3 THEN {_NOW} + INTERVAL 5 MINUTE WHEN NOT dead THEN next_attempt_at END AS new_next_attempt_at, CASE WHEN late OR (dead AND attempts >= 3) THEN {_NOW} WHEN NOT dead THEN completed_at END AS new_completed_at,
+  CASE WHEN dead THEN '{enums.RECOVERED}' WHEN late THEN '{enums.EXPIRED}' END AS error_message FROM f)
+"""
 
 
-@query(_RECOVER)
+@query(f"{_RECOVER}SELECT * FROM r")
 def stale_recovery(spark, sf):
-    return requests.recover_stale(view(spark, sf, "v_psearch"), NOW).select("search_id", "status", "new_status", "recovered")
+    return requests.recover_stale(view(spark, sf, "v_psearch"), NOW).select("search_id", "status", "new_status", "recovered", "new_next_attempt_at", "new_completed_at", "error_message")
 
 
-@query(f"SELECT new_status, count(*) AS n FROM ({_RECOVER}) t WHERE recovered GROUP BY new_status")
+@query(f"{_RECOVER}SELECT new_status, count(*) AS n FROM r WHERE recovered GROUP BY new_status")
 def stale_recovery_counts(spark, sf):
     return requests.recovery_counts(requests.recover_stale(view(spark, sf, "v_psearch"), NOW))
 
@@ -84,13 +88,13 @@ def newest_search_results(spark, sf):
 
 
 @query("""SELECT search_id, sha256('{"collectorVersion":"multi-portal-v9","city":"' || lower(city) || '","state":"' || lower(state) || '","neighborhood":null,"transaction":"' || transaction_type || '","propertyType":' || coalesce('"' || property_type || '"', 'null')
-  || ',"minPrice":' || CAST(CAST(price_min AS BIGINT) AS VARCHAR) || ',"maxPrice":' || CAST(CAST(price_max AS BIGINT) AS VARCHAR) || ',"minArea":' || coalesce(CAST(CAST(area_min AS BIGINT) AS VARCHAR), 'null') || ',"maxArea":null,"bedrooms":' || CAST(bedrooms_min AS VARCHAR) || '}') AS search_key FROM v_search""", every_search=True)
-def search_key(spark, sf, searches="v_search"):
+  || ',"minPrice":' || CAST(CAST(price_min AS BIGINT) AS VARCHAR) || ',"maxPrice":' || CAST(CAST(price_max AS BIGINT) AS VARCHAR) || ',"minArea":' || coalesce(CAST(CAST(area_min AS BIGINT) AS VARCHAR), 'null') || ',"maxArea":null,"bedrooms":' || CAST(bedrooms_min AS VARCHAR) || '}') AS search_key FROM v_search""")
+def search_key(spark, sf):
     c, none = F.col, F.lit(None)
     key = keys.search_key(
         city=c("city"), state=c("state"), neighborhood=none.cast("string"), transaction=c("transaction_type"), property_type=c("property_type"), min_price=c("price_min"), max_price=c("price_max"), min_area=c("area_min"), max_area=none.cast("double"), bedrooms=c("bedrooms_min")
     )
-    return view(spark, sf, searches).select("search_id", key.alias("search_key"))
+    return view(spark, sf, "v_search").select("search_id", key.alias("search_key"))
 
 
 @query("SELECT listing_id, lower(source_code) || '-' || external_id AS id FROM v_listing")

@@ -79,13 +79,11 @@ def page_titles(spark, sf):
     return table(spark, sf, "pages").select("page_id").join(rows, "page_id", "left").select("page_id", F.coalesce("t", F.lit(False)).alias("has_title"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS cleaned FROM (SELECT doc_id, nullif(text, '') AS text FROM documents) t WHERE NOT contains(text, '&')")
-def clean_texts(spark, sf):
-    rows = table(spark, sf, "documents").where("not contains(text, '&')")
-    return rows.select("doc_id", text.clean_text(F.col("text"), entities=False).alias("cleaned"))
+_PLAIN = "text"
+for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_entity}', '{_char}')"
 
 
-@query()
-def clean_texts_all(spark, sf):
-    """clean_texts with entities, over every document: no SQL decodes them."""
+@query(f"SELECT doc_id, trim(regexp_replace(regexp_replace({_PLAIN}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS cleaned FROM (SELECT doc_id, nullif(text, '') AS text FROM documents) t")
+def clean_texts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))

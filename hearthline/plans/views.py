@@ -48,11 +48,13 @@ VIEWS: dict[str, str] = {
                CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'HOUSE' WHEN 'BUILDING' THEN 'APARTMENT' ELSE NULL END AS property_type,
                CAST(floor(o_totalprice * 0.01) AS DECIMAL(14,2)) AS price_min,
                CAST(floor(o_totalprice * 0.25) AS DECIMAL(14,2)) AS price_max,
-               CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE CAST(o_custkey % 60 AS DOUBLE) END AS area_min,
+               CASE WHEN o_custkey % 2 = 0 THEN NULL ELSE CAST(o_custkey % 60 AS DOUBLE) END AS area_min,
                CAST(o_custkey % 3 AS INT) AS bedrooms_min, CAST(NULL AS INT) AS parking_spaces_min
         FROM {orders} JOIN {customer} ON c_custkey = o_custkey JOIN {nation} ON n_nationkey = c_nationkey
-             JOIN {region} ON r_regionkey = n_regionkey
-        WHERE o_orderkey % 97 = 0""",
+             JOIN {region} ON r_regionkey = n_regionkey""",
+    # the stated queries of the jobs that hold searches against all properties
+    "v_query": """
+        SELECT * FROM v_search WHERE search_id % 20 = 0""",
     "v_collector": """
         SELECT l.property_id * 7 + CAST(substring(l.source_code, 4) AS BIGINT) AS id, l.source_code AS source,
                l.external_id AS source_id, p.title,
@@ -76,7 +78,12 @@ VIEWS: dict[str, str] = {
                CAST(o_orderkey % 5 AS INT) AS attempts, o_orderdate AS created_at,
                CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderdate + INTERVAL '1' HOUR END AS last_heartbeat_at,
                CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL '2' HOUR END AS completed_at,
-               CASE WHEN o_orderkey % 6 = 1 THEN o_orderdate + INTERVAL '5' DAY END AS next_attempt_at
+               CASE WHEN o_orderkey % 6 = 1 THEN o_orderdate + INTERVAL '5' DAY END AS next_attempt_at,
+               CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE o_orderdate + INTERVAL '10' MINUTE END AS started_at,
+               o_orderdate + INTERVAL '3' HOUR AS updated_at,
+               CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + INTERVAL '2' HOUR END AS collection_finished_at,
+               CASE WHEN o_orderstatus = 'F' OR o_orderkey % 7 = 0 THEN o_orderdate + INTERVAL '2' HOUR END AS last_collected_at,
+               CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderdate + INTERVAL '20' DAY END AS lock_expires_at
         FROM {orders}""",
     "v_request": """
         SELECT event_id AS request_id, concat('k', CAST(user_id % 300 AS STRING)) AS search_key, ts AS requested_at
@@ -100,9 +107,6 @@ VIEWS: dict[str, str] = {
         SELECT DISTINCT l_orderkey AS search_id, l_partkey AS property_id FROM {lineitem}""",
 }
 
-#: v_search without its choice of orders.
-VIEWS["v_every_search"] = VIEWS["v_search"].replace("\n        WHERE o_orderkey % 97 = 0", "")
-
 
 def needed(*names: str) -> list[str]:
     """The views that these need, each after those it reads."""

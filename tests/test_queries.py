@@ -61,7 +61,7 @@ def test_entry(spark):
 def test_every_search_has_its_rows(spark, name, rows):
     if not os.path.isdir(SF):
         pytest.skip("no test tables here")
-    assert entry.queries()[f"{name}_all"](spark, SF).count() == rows * spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert entry.queries()[name](spark, SF).count() == rows * spark.read.parquet(f"{SF}/orders.parquet").count()
 
 
 def test_every_text_is_cleaned(spark, tmp_path):
@@ -69,5 +69,5 @@ def test_every_text_is_cleaned(spark, tmp_path):
     rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[3])]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     plain = lambda t: re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", html.unescape(t))).strip() if t else None
-    got = entry.queries()["clean_texts_all"](spark, str(tmp_path)).collect()
+    got = entry.queries()["clean_texts"](spark, str(tmp_path)).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(repr((i, plain(t))) for i, t in rows)
