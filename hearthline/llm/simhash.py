@@ -37,6 +37,8 @@ RADIUS, SHINGLE, SEED = 3, 3, 42
 #: deduplicate(): bits that fingerprints of word sets may differ in, words of a shingle, and least Jaccard similarity.
 WORD_RADIUS, WORDS, SIMILARITY = 8, 5, 0.8
 BLOCK = 2048
+#: Bytes of text whose word and shingle hashes are laid out at once.
+CHUNK = 1 << 18
 #: Rows of (doc_id, list of text hashes) that are broadcast at most, about 50 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -243,7 +245,7 @@ def _text_hashes(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for chunk in arrays.chunks(batches):
+    for chunk in arrays.chunks(batches, size=CHUNK):
         words, first = _words(*arrays.utf8(chunk.column("text")))
         fps = [_set_fingerprint(np.unique(words[a:b])) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(_text_hashes(words, first)), pa.array(fps, pa.int64())], names=["doc_id", "tid", "fp"])
@@ -251,7 +253,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shingle_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in arrays.chunks(batches):
+        for chunk in arrays.chunks(batches, size=CHUNK):
             words, first = _words(*arrays.utf8(chunk.column("text")))
             tids, prefix = _text_hashes(words, first), arrays.window_prefix(words)
             keep, sets = [], []
@@ -315,7 +317,7 @@ def deduplicate(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMIL
     schema = marked.drop(name).schema.add(tid, "long")
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in arrays.chunks(batches):
+        for chunk in arrays.chunks(batches, size=CHUNK):
             tids = _text_hashes(*_words(*arrays.utf8(chunk.column("text"))))
             keep = [t in stays for t, stays in zip(tids.tolist(), chunk.column(name).to_pylist(), strict=True)]
             rows = chunk.drop_columns([name])
