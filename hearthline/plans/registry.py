@@ -24,4 +24,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import catalogue, frontier, history, maintenance, matching, requests, streams, texts  # noqa: E402, F401
+from . import catalogue, collected, frontier, history, maintenance, matching, requests, streams, texts  # noqa: E402, F401

@@ -86,9 +86,13 @@ def test_portal_rows(spark):
 
 
 def test_gateway_and_offers(spark):
-    payload = json.dumps({"id": "7", "title": "x", "address": "Rua Curitiba, 10", "transaction_type": "rent", "price": "3500", "bedrooms": -1})
+    payload = json.dumps({"id": "7", "title": "x", "address": "Rua Curitiba, 10", "transaction_type": "RENT", "price": "3500", "bedrooms": 2.7})
     r = listings.gateway_listings(spark.createDataFrame([(payload,)], "payload string"), "G").first()
-    assert (r.normalized_address, r.transaction_type, r.price, r.bedrooms) == ("rua curitiba, 10", "RENT", 3500.0, 0)
+    assert (r.normalized_address, r.transaction_type, r.price, r.bedrooms, r.area_m2) == ("rua curitiba, 10", "RENT", 3500.0, 2, None)
+    # only RENT as it stands is a rental; prices aren't negative, other numbers are as given
+    other = json.dumps({"id": "8", "transaction_type": "rent", "price": -5, "bathrooms": -1, "bedrooms": "x"})
+    r = listings.gateway_listings(spark.createDataFrame([(other,)], "payload string"), "G").first()
+    assert (r.transaction_type, r.price, r.bathrooms, r.bedrooms, r.property_type) == ("SALE", 0.0, -1, None, "APARTMENT")
     item = json.dumps({"@type": "RealEstateListing", "offers": {"itemListElement": [{"item": {"url": "https://x/imovel/1"}}, {"url": "https://x/other"}]}})
     items = spark.createDataFrame([(1, "p", 0, item)], "page_id long, url string, seq long, item string")
     assert [r.url for r in listings.offer_items(items).collect()] == ["https://x/imovel/1"]
