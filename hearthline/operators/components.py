@@ -1,20 +1,43 @@
-"""Connected components for sparse links: labels travel to the least neighbour until nothing changes."""
+"""Groups of linked rows by rounds of joins: connected components, and leaders that take what comes later."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder. A temporary one is made in local sessions alone: executors elsewhere wouldn't see it."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return sc.getCheckpointDir()
+
+
 def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def first_leaders(links: DataFrame) -> DataFrame:
+    """(node): of the nodes of links(a, b), a before b, those that no earlier leader is linked with. Each round settles every node without an undecided earlier neighbour, and what it leads."""
+    live = _cut(links.select("a", "b").distinct())
+    nodes = _cut(live.select(F.col("a").alias("node")).union(live.select("b")).distinct())
+    leaders = nodes.where("false")
+    while not nodes.isEmpty():
+        new = _cut(nodes.join(live.select(F.col("b").alias("node")).distinct(), "node", "left_anti"))
+        led = live.join(new, F.col("a") == F.col("node"), "left_semi").select(F.col("b").alias("node"))
+        leaders = leaders.union(new)
+        nodes = _cut(nodes.join(new.union(led).distinct(), "node", "left_anti"))
+        live = _cut(live.join(nodes, F.col("a") == F.col("node"), "left_semi").join(nodes, F.col("b") == F.col("node"), "left_semi"))
+    return leaders
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node that links(a, b) reach. Every round doubles the reach (labels of labels); rounds end with a checkpoint."""
     both = _cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())

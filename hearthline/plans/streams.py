@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators.components import shared_folder
 from ..streaming import jobs
 from .registry import query
 from .views import view
@@ -14,10 +14,7 @@ from .views import view
 
 def _folder(spark) -> str:
     """A shared place for a stream's input, output and checkpoint."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _drain(stream, schema, folder: str):
@@ -44,7 +41,7 @@ SELECT source_code, hour, captures FROM h, m WHERE hour + INTERVAL 1 HOUR <= w""
 def stream_hourly_volume(spark, sf):
     folder = _folder(spark)
     rows = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("source_code"), F.col("ts").cast("timestamp").alias("captured_at"))
-    rows.repartition(1).write.parquet(f"{folder}/in")
+    rows.write.parquet(f"{folder}/in")
     stream = jobs.hourly_volume(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
     return _drain(stream, stream.schema, folder).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
@@ -55,6 +52,6 @@ UNION ALL SELECT source_code, external_id, CAST(captured_at AS DATE), 'LISTING_R
 def stream_capture_events(spark, sf):
     folder = _folder(spark)
     rows = view(spark, sf, "v_snapshot").select("source_code", "external_id", F.col("captured_at").cast("timestamp").alias("captured_at"), "price", "active")
-    rows.repartition(1).write.parquet(f"{folder}/in")
+    rows.write.parquet(f"{folder}/in")
     stream = jobs.capture_events(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
     return _drain(stream, stream.schema, folder).select("source_code", "external_id", F.to_date("captured_at").alias("day"), "event_type", "old_value", "new_value")

@@ -18,21 +18,26 @@ def capture_events(captures: DataFrame, late: str = "1 hour") -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at, price, active = state.get if state.exists else (None, None, None)
-        rows = []
-        for f in sorted((f for f in frames), key=lambda f: f.captured_at.min()):
-            for r in f.sort_values(["captured_at", "price"]).itertuples():
-                stamp = r.captured_at.value
-                if at is not None and stamp < at:
-                    continue
-                text = None if r.price is None else str(r.price)
-                if at is not None and text != price:
-                    rows.append((*key, r.captured_at, "PRICE_CHANGED", price, text))
-                if at is not None and r.active and active is False:
-                    rows.append((*key, r.captured_at, "LISTING_REACTIVATED", None, None))
-                at, price, active = stamp, text, bool(r.active)
-        if at is not None:
-            state.update((at, price, active))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _EVENTS.split(", ")])
+        names = [c.split()[0] for c in _EVENTS.split(", ")]
+        f = pd.concat(list(frames)).sort_values(["captured_at", "price"])
+        stamp = f.captured_at.astype("int64") if f.captured_at.dtype == "datetime64[ns]" else f.captured_at.astype("datetime64[ns]").astype("int64")
+        f = f[stamp >= at] if at is not None else f
+        if f.empty:
+            yield pd.DataFrame([], columns=names)
+            return
+        text = f.price.map(str, na_action="ignore").astype(object).where(f.price.notna(), None)
+        flag = f.active.astype(bool)
+        before, was = text.shift(1), flag.shift(1)
+        before.iloc[0], was.iloc[0] = price, active
+        known = pd.Series(True, index=range(len(f)))
+        known.iloc[0] = at is not None
+        known.index = f.index
+        same = (text == before) | (text.isna() & before.isna())
+        changed, back = known & ~same, known & flag & (was == False)  # noqa: E712
+        rows = [(*key, t, "PRICE_CHANGED", old, new) for t, old, new in zip(f.captured_at[changed], before[changed], text[changed], strict=True)]
+        rows += [(*key, t, "LISTING_REACTIVATED", None, None) for t in f.captured_at[back]]
+        state.update((int(stamp.loc[f.index].max()), text.iloc[-1], bool(flag.iloc[-1])))
+        yield pd.DataFrame(rows, columns=names)
 
     rows = captures.withWatermark("captured_at", late)
     return rows.groupBy("source_code", "external_id").applyInPandasWithState(step, _EVENTS, "at long, price string, active boolean", "append", GroupStateTimeout.NoTimeout)
