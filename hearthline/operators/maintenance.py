@@ -71,7 +71,9 @@ def status_counts(rows: DataFrame) -> DataFrame:
 
 
 def table_summary(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows of each table."""
+    """Rows of each table, and where there is a review_queue, its pending ones."""
+    if "review_queue" in tables:
+        tables = tables | {"pending_reviews": tables["review_queue"].where("status = 'PENDING'")}
     out = None
     for name, rows in tables.items():
         part = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")

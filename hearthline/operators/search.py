@@ -66,16 +66,20 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return top_n(rows, keys, order, 1).drop("rn")
 
 
-def compatibility_top(properties: DataFrame, searches: DataFrame, k: int) -> DataFrame:
-    """search_id, property_id, score, rn: the k best scores above 0 of each search, among properties of its city and state (as they stand, in capitals or in small letters) within its prices."""
+def compatible_pairs(properties: DataFrame, searches: DataFrame) -> DataFrame:
+    """Joined aliases p and s (of prepared texts): properties of a search's city and state (as they stand, in capitals or in small letters) within its prices."""
     p, s = scoring.prepared_texts(properties), scoring.prepared_texts(searches)
     p, s = (x.withColumns({"_at": F.lower("city"), "_in": F.lower("state")}) for x in (p, s))
     p, s = p.alias("p"), s.alias("s")
     c = F.col
     spelt = lambda n: c(f"p.{n}").isin(c(f"s.{n}"), F.upper(f"s.{n}"), F.lower(f"s.{n}"))
     fits = (c("s.min_price").isNull() | (c("p.price") >= c("s.min_price"))) & (c("s.max_price").isNull() | (c("p.price") <= c("s.max_price")))
-    pairs = p.join(s, (c("p._at") == c("s._at")) & (c("p._in") == c("s._in")) & spelt("city") & spelt("state") & fits)
-    scored = pairs.select("s.search_id", "p.property_id", scoring.compatibility().alias("score")).where("score > 0")
+    return p.join(s, (c("p._at") == c("s._at")) & (c("p._in") == c("s._in")) & spelt("city") & spelt("state") & fits)
+
+
+def compatibility_top(properties: DataFrame, searches: DataFrame, k: int) -> DataFrame:
+    """search_id, property_id, score, rn: the k best scores above 0 of each search among its compatible_pairs()."""
+    scored = compatible_pairs(properties, searches).select("s.search_id", "p.property_id", scoring.compatibility().alias("score")).where("score > 0")
     return top_n(scored, ["search_id"], [F.desc("score"), "property_id"], k)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 
 from ..operators import cards, filters, search
+from . import pipelines
 from .registry import query
 from .views import view
 
@@ -125,24 +126,31 @@ def _text_sql(a: str, b: str) -> str:
 _RANGE = """(CASE WHEN p.price IS NULL THEN 0.45 WHEN p.price < s.price_min THEN greatest(0.0, 1 - (p.price - s.price_min) / -greatest(s.price_min, 1)) WHEN p.price > s.price_max THEN greatest(0.0, 1 - (p.price - s.price_max) / greatest(s.price_max, 1)) ELSE 1.0 END)"""
 
 
-@query(f"""WITH {_ROLLUP}, p AS (SELECT v.property_id, v.city, v.state, v.neighborhood, v.property_type, v.transaction_type, v.bedrooms, v.area_m2, CAST(r.price AS DOUBLE) AS price FROM v_property v JOIN r ON r.property_id = v.property_id),
-s AS (SELECT search_id, city, state, property_type, transaction_type, bedrooms_min, area_min, CAST(price_min AS DOUBLE) AS price_min, CAST(price_max AS DOUBLE) AS price_max FROM v_query),
+#: Pairs of p and s with their scores, and the six best of each search; p and s go before.
+COMPATIBLE = f"""s AS (SELECT search_id, city, state, property_type, transaction_type, bedrooms_min, area_min, CAST(price_min AS DOUBLE) AS price_min, CAST(price_max AS DOUBLE) AS price_max FROM v_query),
 k AS (SELECT s.search_id, p.property_id,
   28 * {_text_sql('p.city', 's.city')} + 10 * {_text_sql('p.state', 's.state')} + CASE WHEN s.property_type IS NULL THEN 0.0 ELSE 14 * {_text_sql('p.property_type', 's.property_type')} END
   + 8 * {_text_sql('p.transaction_type', 's.transaction_type')} + 8 * (CASE WHEN p.bedrooms IS NULL THEN 0.45 WHEN p.bedrooms >= s.bedrooms_min OR s.bedrooms_min <= 0 THEN 1.0 ELSE p.bedrooms / s.bedrooms_min::DOUBLE END)
   + CASE WHEN s.area_min IS NULL THEN 0.0 ELSE 7 * (CASE WHEN p.area_m2 IS NULL THEN 0.45 WHEN p.area_m2 < s.area_min THEN greatest(0.0, 1 - (s.area_min - p.area_m2) / greatest(s.area_min, 1)) ELSE 1.0 END) END + 7 * {_RANGE} AS score,
   28 + 10 + 8 + 8 + 7 + CASE WHEN s.property_type IS NULL THEN 0 ELSE 14 END + CASE WHEN s.area_min IS NULL THEN 0 ELSE 7 END AS possible FROM p JOIN s ON p.city IN (s.city, upper(s.city), lower(s.city)) AND p.state IN (s.state, upper(s.state), lower(s.state)) WHERE (s.price_min IS NULL OR p.price >= s.price_min) AND (s.price_max IS NULL OR p.price <= s.price_max)),
-t AS (SELECT search_id, property_id, CAST(floor(score / possible * 100 + 0.5) AS INT) AS score FROM k)
+t AS (SELECT search_id, property_id, CAST(floor(score / possible * 100 + 0.5) AS INT) AS score FROM k)"""
+
+
+@query(f"""WITH {_ROLLUP}, p AS (SELECT v.property_id, v.city, v.state, v.neighborhood, v.property_type, v.transaction_type, v.bedrooms, v.area_m2, CAST(r.price AS DOUBLE) AS price FROM v_property v JOIN r ON r.property_id = v.property_id), {COMPATIBLE}
 SELECT search_id, property_id, score, rn FROM (SELECT *, CAST(row_number() OVER (PARTITION BY search_id ORDER BY score DESC, property_id) AS INT) AS rn FROM t WHERE score > 0) WHERE rn <= 6""")
 def compat_score_topk(spark, sf):
     p = search.priced_properties(view(spark, sf, "v_property"), view(spark, sf, "v_listing"))
     none = F.lit(None).cast("string")
     p = p.select("property_id", "city", "state", "neighborhood", none.alias("address"), none.alias("description"), "property_type", F.col("transaction_type").alias("transaction"), "bedrooms", F.col("area_m2").alias("usable_area"), F.col("price").cast("double").alias("price"))
-    s = view(spark, sf, "v_query").select(
-        "search_id", "city", "state", none.alias("neighborhood"), "property_type", F.col("transaction_type").alias("transaction"), F.col("bedrooms_min").alias("bedrooms"), F.col("area_min").alias("min_area"),
+    return search.compatibility_top(p, asked(spark, sf), 6)
+
+
+def asked(spark, sf):
+    """The stated queries as requests of portals and document sources."""
+    return view(spark, sf, "v_query").select(
+        "search_id", "city", "state", F.lit(None).cast("string").alias("neighborhood"), "property_type", F.col("transaction_type").alias("transaction"), F.col("bedrooms_min").alias("bedrooms"), F.col("area_min").alias("min_area"),
         F.lit(None).cast("double").alias("max_area"), F.col("price_min").cast("double").alias("min_price"), F.col("price_max").cast("double").alias("max_price"),
     )
-    return search.compatibility_top(p, s, 6)
 
 
 @query("""SELECT search_id, 'status: ANY("ACTIVE") AND transactionTypes: ANY("' || transaction_type || '") AND city: ANY("' || city || '")' || coalesce(' AND propertyType: ANY("' || property_type || '")', '')
@@ -196,3 +204,16 @@ def enabled_sources_only(spark, sf):
     return filters.without_disabled(rows, sources, internal=("src6",))
 
 
+@query(f"""WITH {_ROLLUP}, h AS (SELECT s.search_id, p.property_id, CAST(r.price AS DOUBLE) AS price, p.area_m2 FROM v_property p JOIN r ON r.property_id = p.property_id JOIN v_query s ON lower(s.city) = lower(p.city) WHERE {_MATCH})
+SELECT search_id, round(sum(CASE WHEN price > 0 THEN price END) / count(CASE WHEN price > 0 THEN 1 END), 6) AS average_price, count(CASE WHEN price > 0 THEN 1 END) AS price_sample,
+  round(avg(CASE WHEN price > 0 AND area_m2 > 0 THEN price / area_m2 END), 4) AS average_price_per_area, count(CASE WHEN price > 0 AND area_m2 > 0 THEN 1 END) AS area_sample FROM h GROUP BY search_id""")
+def search_averages(spark, sf):
+    """Averages over the results of each search."""
+    _, averages = pipelines.searches_with_averages(view(spark, sf, "v_property"), view(spark, sf, "v_listing"), view(spark, sf, "v_query"))
+    return averages.select("search_id", "average_price", "price_sample", "average_price_per_area", "area_sample")
+
+
+@query(f"""WITH {_ROLLUP} SELECT CAST(p.property_id AS STRING) AS id, title, '/property/' || CAST(p.property_id AS STRING) AS href, FALSE AS external, city, price, area_m2 AS usable_area, sources, FALSE AS favorite FROM v_property p JOIN r ON r.property_id = p.property_id""")
+def consolidated_cards(spark, sf):
+    rows = cards.consolidated_cards(search.priced_properties(view(spark, sf, "v_property"), view(spark, sf, "v_listing")))
+    return rows.select("id", "title", "href", "external", "city", "price", "usable_area", F.array_join("sources", ",").alias("sources"), "favorite")

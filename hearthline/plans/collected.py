@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, keys, numbers, text, urls
 from ..operators import documents, listings
+from . import pipelines
+from .catalogue import COMPATIBLE, asked
 from .registry import query
 from .views import table, view
 
@@ -159,3 +161,15 @@ def listing_titles(spark, sf):
 @query("""SELECT p_partkey, lower(regexp_replace(trim(p_name), '\\s+', ' ', 'g')) AS key_text FROM part""")
 def key_texts(spark, sf):
     return table(spark, sf, "part").select("p_partkey", text.key_text(F.concat(F.lit(" "), F.upper("p_name"), F.lit("  "))).alias("key_text"))
+
+
+_FOUND = f"""p AS (SELECT property_id, upper(city) AS city, upper(state) AS state, neighborhood, property_type, CAST(NULL AS STRING) AS transaction_type, CAST(bedrooms AS DOUBLE) AS bedrooms, area_m2, CAST(price AS DOUBLE) AS price FROM {_PRICED} t
+  WHERE property_id % 5 <> 0 AND property_id % 7 <> 0 AND property_id % 11 <> 0)"""
+
+
+@query(f"""WITH {_FOUND}, {COMPATIBLE}
+SELECT search_id, 'mongo-' || CAST(property_id AS STRING) AS id, '{_BASE}/lote/' || CAST(property_id AS STRING) AS href, TRUE AS external, score AS match_score, rn FROM (SELECT *, CAST(row_number() OVER (PARTITION BY search_id ORDER BY score DESC, CAST(property_id AS STRING)) AS INT) AS rn FROM t WHERE score > 0) WHERE rn <= 6""")
+def document_search(spark, sf):
+    """Cards of the six best available documents of each search."""
+    rows = pipelines.document_cards(_documents(spark, sf), asked(spark, sf), layout="imoveis")
+    return rows.select("search_id", "id", "href", "external", "match_score", "rn")

@@ -53,9 +53,9 @@ def repaired_transactions(spark, sf):
     return maintenance.repair_transaction(rows).select("id", "sale_price", "rental_price")
 
 
-@query("SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'listing', count(*) FROM v_listing")
+@query("SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'listing', count(*) FROM v_listing UNION ALL SELECT 'review_queue', count(*) FROM v_outbox UNION ALL SELECT 'pending_reviews', count(*) FROM v_outbox WHERE status = 'PENDING'")
 def table_summary(spark, sf):
-    return maintenance.table_summary({"orders": table(spark, sf, "orders"), "events": table(spark, sf, "events"), "listing": view(spark, sf, "v_listing")})
+    return maintenance.table_summary({"orders": table(spark, sf, "orders"), "events": table(spark, sf, "events"), "listing": view(spark, sf, "v_listing"), "review_queue": view(spark, sf, "v_outbox")})
 
 
 @query("SELECT scope_id, run_day, status, label FROM (SELECT r.*, 'scope ' || r.scope_id AS label FROM v_run r) t ORDER BY run_day DESC, scope_id LIMIT 100")
