@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
 import html
 import os
 import re
 
-import pandas as pd
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
@@ -15,17 +16,29 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def _rows(df: pd.DataFrame) -> list:
+def _kind(t: pa.DataType) -> str:
+    """Kinds of types that two engines must agree on; widths may differ."""
+    for kind, test in (("bool", pa.types.is_boolean), ("float", pa.types.is_floating), ("date", pa.types.is_date), ("time", pa.types.is_timestamp), ("null", pa.types.is_null)):
+        if test(t):
+            return kind
+    if pa.types.is_integer(t) or pa.types.is_decimal(t) and t.scale == 0:
+        return "whole"
+    if pa.types.is_decimal(t):
+        return f"decimal {t.scale}"
+    return "text" if pa.types.is_string(t) or pa.types.is_large_string(t) else "list" if pa.types.is_list(t) else str(t)
+
+
+def _rows(table: pa.Table) -> list:
+    """Values in full, floats to nine significant digits, in a fixed order of columns and rows."""
+
     def plain(v):
-        if isinstance(v, bool) or isinstance(v, str):
-            return str(v)
-        if pd.isna(v):
-            return ""
-        if hasattr(v, "year"):
-            return str(v)[:19].replace(" 00:00:00", "")
-        return f"{float(v):.4f}" if hasattr(v, "__float__") else str(v)
+        if v is None:
+            return "null"
+        if isinstance(v, float):
+            return f"{v:.9g}"
+        return str(v.replace(tzinfo=None)) if isinstance(v, datetime.datetime) else str(v)
 
-    return sorted(tuple(map(plain, r)) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
+    return sorted(tuple(map(plain, r)) for r in zip(*(table.column(c).to_pylist() for c in sorted(table.column_names)), strict=True))
 
 
 @pytest.fixture(scope="module")
@@ -41,9 +54,10 @@ def duck():
 
 @pytest.mark.parametrize("name", [n for n in sorted(entry.oracle_sql()) if not n.startswith(("op", "pipeline"))])
 def test_query(spark, duck, name):
-    got = entry.queries()[name](spark, SF).toPandas()
-    want = duck.sql(entry.oracle_sql()[name]).df()
-    assert sorted(got.columns) == sorted(want.columns)
+    got = entry.queries()[name](spark, SF).toArrow()
+    want = duck.sql(entry.oracle_sql()[name]).to_arrow_table()
+    kinds = lambda t: {f.name: _kind(f.type) for f in t.schema}
+    assert kinds(got) == kinds(want)
     assert _rows(got) == _rows(want)
 
 
