@@ -173,3 +173,18 @@ def document_search(spark, sf):
     """Cards of the six best available documents of each search."""
     rows = pipelines.document_cards(_documents(spark, sf), asked(spark, sf), layout="imoveis")
     return rows.select("search_id", "id", "href", "external", "match_score", "rn")
+
+
+@query(f"""WITH c AS (SELECT l.listing_id, l.property_id FROM {_JOINED} WHERE l.property_id % 2 = 0)
+SELECT listing_id AS external_id, property_id, 'PRICE_CHANGED' AS event_type FROM c WHERE property_id % 4 = 0 UNION ALL SELECT listing_id, property_id, 'LISTING_REACTIVATED' FROM c WHERE property_id % 6 = 0""")
+def collection_events(spark, sf):
+    """A full collection of all pages against what is stored of every second property: what has changed."""
+    pages = _pages(spark, sf).select(F.lit("run").alias("run_id"), "page_id", F.lit(1).alias("page_no"), "url", "html")
+    stored = view(spark, sf, "v_listing").where("property_id % 2 = 0").selectExpr(
+        "'portal' as source_code", "listing_id as external_id", "property_id", "cast(price as double) + if(property_id % 4 = 0, 1, 0) as price", "property_id % 6 <> 0 as active"
+    )
+    scope = {"scope_id": "all", "source": "portal", "transaction": "SALE", "property_type": "APARTMENT", "city": "nowhere"}
+    presence = spark.sql("select '' listing_id, '' scope_id, 0 misses, '' status, current_timestamp() last_seen_at, current_timestamp() inactive_at").where("false")
+    runs = spark.sql("select '' scope_id, current_date() run_day, '' status, 0L listings_found").where("false")
+    out = pipelines.collection_run(pages, scope, stored, view(spark, sf, "v_property"), presence, runs, "2024-02-01", max_pages=1_000_000)
+    return out["events"].select("external_id", "property_id", "event_type")
