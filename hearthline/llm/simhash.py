@@ -303,9 +303,11 @@ def deduplicate(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMIL
     stands for the one of the least hash in the search for near copies. Rows with a null id stay, unless a text of an id is the same.
     """
     signed = cut(docs.select("doc_id", "text").mapInArrow(_signatures, "doc_id bigint, tid bigint, fp bigint"))
-    near = near_texts(docs, signed, shingle, similarity, radius).withColumn("near", F.lit(True))
-    least = signed.where("doc_id is not null").groupBy("tid").agg(F.min("doc_id").alias("least"))
-    judged = signed.where("doc_id is not null").join(least, "tid").join(near, "tid", "left").withColumn("stays", (F.col("doc_id") == F.col("least")) & F.col("near").isNull())
+    near = near_texts(docs, signed, shingle, similarity, radius)
+    named = signed.where("doc_id is not null").select("doc_id", "tid")
+    stay = named.groupBy("tid").agg(F.min("doc_id").alias("doc_id")).join(near, "tid", "left_anti").withColumn("stays", F.lit(True))
+    # joined by id as well, so that copies of one text don't meet in one task
+    judged = named.join(stay, ["doc_id", "tid"], "left")
     name = _fresh(docs, "_stays")
     # ids whose rows all go, or that come more than once: the texts that stay
     marks = cut(judged.groupBy("doc_id").agg(F.count("*").alias("n"), F.collect_set(F.when(F.col("stays"), F.col("tid"))).alias(name)).where(f"n > 1 or size({name}) = 0").select("doc_id", name))
