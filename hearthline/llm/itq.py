@@ -5,7 +5,7 @@ binary codes and the best rotation for them, so that bits are balanced. Every ve
 each of `TABLES` hash tables, longer as there are more vectors. A vector looks into its own bucket of each table and into those that it reaches by flipping bits near their
 threshold (flipped bits' squared distances to it sum to `ENERGY` at most; a linked pair differs by 0.1 over all directions).
 
-Codes come first: what meets in a bucket is compared by the Hamming distance of its whole codes, and only entries with a partner that is near enough (four standard
+Codes come first: what meets in a bucket is compared by the Hamming distance of its whole codes, and only entries with a partner that is near enough (`DEVIATIONS` standard
 deviations beyond what the cosine lets expect) go on. To those the original vectors are fetched, and they are compared by cosine in double precision.
 
 Equal vectors are one node with a count. Buckets of over `BLOCK` entries are dealt in pairs of blocks, so a task holds two blocks at
@@ -31,6 +31,8 @@ from .simhash import _forest
 from .store import cut, staged
 
 COSINE = 0.95
+#: How far beyond the expected Hamming distance of a barely linked pair codes are near enough.
+DEVIATIONS = 3.5
 SAMPLE, ROUNDS = 20_000, 25
 BITS, TABLES, ENERGY = 64, 4, 0.0025
 BLOCK = 2048
@@ -222,7 +224,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").toArrow().column("embedding").combine_chunks()
     coder = Coder(*learn_rotation(_unit(_padded(sample, facts.width).astype(float)), bits), tables, width, energy)
     share = np.arccos(cosine) / np.pi
-    radius = int(np.ceil(bits * share + 4 * np.sqrt(bits * share * (1 - share))))
+    radius = int(np.ceil(bits * share + DEVIATIONS * np.sqrt(bits * share * (1 - share))))
 
     sizes = nodes.select("embedding").mapInArrow(_entries(coder, False), "bucket bigint, home boolean").groupBy("bucket").agg(F.count("*").alias("entries"), F.sum(F.col("home").cast("int")).alias("homes"))
     # large buckets are few: their number bounds the entries from above
