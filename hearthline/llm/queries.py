@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, doubling, itq, langid, lpf, mixing, packing, secrets, simhash, urls
+from . import decontam, doubling, itq, langid, lpf, mixing, packing, secrets, simhash, tokenfile, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +51,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_itq_near_dedup, op3_packing, op4_lm_scoring, op5_repeats, op6_simhash, op7_decontamination, op8_substring_dedup, op9_url_filter, op10_language_id)}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_itq_near_dedup, op3_packing, op4_lm_scoring, op5_repeats, op6_simhash, op7_decontamination, op8_substring_dedup, op9_url_filter, op10_language_id, op11_token_files)}
 
 
 _WORDS = r"[^\x20\x09-\x0D]+"
