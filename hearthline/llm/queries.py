@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, doubling, itq, langid, lpf, mixing, packing, secrets, simhash, tokenfile, urls
+from . import alignment, decontam, doubling, itq, langid, lpf, mixing, packing, ranked, secrets, simhash, tokenfile, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +55,15 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_itq_near_dedup, op3_packing, op4_lm_scoring, op5_repeats, op6_simhash, op7_decontamination, op8_substring_dedup, op9_url_filter, op10_language_id, op11_token_files)}
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_itq_near_dedup, op3_packing, op4_lm_scoring, op5_repeats, op6_simhash, op7_decontamination, op8_substring_dedup, op9_url_filter, op10_language_id, op11_token_files, op12_ranked_search, op13_tokenizer_alignment)}
 
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -104,4 +112,16 @@ cost AS (SELECT bin, round(coalesce(sum(a) OVER (ORDER BY bin ROWS BETWEEN UNBOU
 th AS (SELECT CASE WHEN (SELECT coalesce(sum(a), 0) = 0 OR coalesce(sum(b), 0) = 0 FROM bins) THEN 0.0 ELSE (SELECT bin / 100.0 FROM cost ORDER BY cost, abs(bin), bin LIMIT 1) END AS least)
 SELECT page_id, host, path, rule, coalesce(action, CASE WHEN sc.score >= th.least THEN 'allow' ELSE 'block' END) AS verdict FROM w LEFT JOIN sc ON sc.address = w.address CROSS JOIN th"""
 
-ORACLE_SQL: dict[str, str] = {"op2_itq_near_dedup": OP2, "op7_decontamination": OP7, "op8_substring_dedup": OP8, "op9_url_filter": OP9}
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP12 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERMS}') AS w FROM documents),
+h AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0), s AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(n) AS BIGINT) AS l FROM h),
+tf AS (SELECT r, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(w) AS t FROM d) q GROUP BY r, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * s.n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, s GROUP BY t, s.n),
+i AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERMS}') AS w FROM benchmark),
+q AS (SELECT i, t, CAST(count(*) AS BIGINT) AS times FROM (SELECT i, unnest(w) AS t FROM i) x GROUP BY i, t),
+e AS (SELECT q.i, h.doc_id, h.r, CAST(sum(q.times * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (25 + (75 * h.n * s.n) // s.l)))) AS BIGINT) AS score
+  FROM q JOIN tf ON tf.t = q.t JOIN w ON w.t = q.t JOIN h ON h.r = tf.r, s GROUP BY q.i, h.doc_id, h.r),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank FROM e WHERE score > 0)
+SELECT i.item_id, k.rank, k.doc_id, k.score FROM k JOIN i ON i.i = k.i WHERE k.rank <= 10"""
+
+ORACLE_SQL: dict[str, str] = {"op2_itq_near_dedup": OP2, "op7_decontamination": OP7, "op8_substring_dedup": OP8, "op9_url_filter": OP9, "op12_ranked_search": OP12}
