@@ -48,6 +48,12 @@ def cuts(starts: list[int], ends: list[int], lengths: list[int]) -> list[int]:
     return out
 
 
+#: A word of plain letters and a stop.
+_TAILED = re.compile("[ \\n][A-Za-zÀ-ÖØ-öø-ÿ]+[.,]")
+#: In place of the number of A's tokens: some bytes differ.
+_APART = -1
+
+
 class Pairing:
     """Both tokenizers and what is known of units: per unit its numbers of tokens and groups, its linked pairs and its groups as text."""
 
@@ -60,38 +66,79 @@ class Pairing:
         self.a_bytes = {i: bytes(sign[c] for c in t) if all(c in sign for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
         piece = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch(r"<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in piece]
+        #: No entry of B holds a letter before a full stop or a comma; A parts them anyway.
+        self.stops = not any(re.search(r"[^\W\d_][.,]", p) for p in piece)
         self.units = Units(self.learn, self.forget)
         self.forget()
 
     def forget(self) -> None:
-        self.sizes, self.texts, self.pairs, self.links = np.zeros((1024, 4), np.int64), [], np.zeros(4096, np.int64), 0
+        self.sizes, self.texts, self.pairs, self.links, self.tails = np.zeros((1024, 4), np.int64), [], np.zeros(4096, np.int64), 0, {}
 
     def learn(self, units: list[str]) -> list[int]:
-        """Aligns units (a space stands before each) and gives them numbers."""
-        a = self.a.encode_batch([f" {u}" for u in units], add_special_tokens=False)
-        b = self.b.encode([u.encode() for u in units], return_type="proto", num_threads=1)
-        return [self._add(u, x.ids, x.offsets, y.pieces) for u, x, y in zip(units, a, b, strict=True)]
-
-    def _add(self, unit: str, a_ids: list[int], offsets: list[tuple[int, int]], pieces) -> int:
-        text = f" {unit}".encode()
-        if len(text) > len(unit) + 1:  # characters to bytes
-            place = [0]
-            for c in f" {unit}":
-                place.append(place[-1] + len(c.encode()))
-            offsets = [(place[x], place[y]) for x, y in offsets]
-        b_ids = [p.id for p in pieces]
-        # B's spans are of the bytes behind the space that it puts
-        spans = [(p.begin + 1 if i else 0, p.end + 1) for i, p in enumerate(pieces)]
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-        a_cuts = cuts([x for x, _ in offsets], [y for _, y in offsets], [len(x) for x in a_bytes])
-        b_cuts = cuts([x for x, _ in spans], [y for _, y in spans], [len(x) for x in b_bytes])
+        """Aligns units (with the space or line feed that they start with) and gives them numbers."""
+        if not self.stops:
+            return self._aligned(units)
+        tailed = {u: (u[:-1], u[-1]) for u in units if _TAILED.fullmatch(u)}
+        bases = [w for w, _ in tailed.values()] + [u for u in units if u not in tailed]
+        known = {u: n for u in bases if (n := self.units.known.get(u[1:] if u[0] == " " else u)) is not None}
+        new = [u for u in dict.fromkeys(bases) if u not in known]
+        known.update(zip(new, self._aligned(new), strict=True))
+        for tail in {t for _, t in tailed.values()} - self.tails.keys():
+            self.tails[tail] = self._add(tail, *self._alone(tail))
+        return [self._both(known[tailed[u][0]], self.tails[tailed[u][1]]) if u in tailed else known[u] for u in units]
+
+    def _aligned(self, units: list[str]) -> list[int]:
+        a = self.a.encode_batch(units, add_special_tokens=False)
+        spaced = [u[0] == " " for u in units]
+        # B puts a space before each text: for a line feed's unit its token is taken off again
+        b = self.b.encode([u[s:].encode() for u, s in zip(units, spaced, strict=True)], return_type="proto", num_threads=1)
+        out = []
+        for u, s, x, y in zip(units, spaced, a, b, strict=True):
+            pieces = list(y.pieces)
+            if s:  # B's spans are of the bytes behind the space that it puts
+                spans = [(p.begin + 1 if i else 0, p.end + 1) for i, p in enumerate(pieces)]
+            else:
+                pieces = pieces[1:]
+                spans = [(p.begin, p.end) for p in pieces]
+            out.append(self._add(u, x.ids, x.offsets, [p.id for p in pieces], spans))
+        return out
+
+    def _alone(self, tail: str) -> tuple[list[int], list[tuple[int, int]], list[int], list[tuple[int, int]]]:
+        """A stop behind a letter: what both tokenizers give for one, without the letter."""
+        x, y = self.a.encode(f" a{tail}", add_special_tokens=False), self.b.encode(b"a" + tail.encode(), return_type="proto").pieces
+        return x.ids[1:], [(p - 2, q - 2) for p, q in x.offsets[1:]], [p.id for p in y[1:]], [(p.begin - 1, p.end - 1) for p in y[1:]]
+
+    def _both(self, first: int, second: int) -> int:
+        """A number for two units on end."""
+        at = [self.sizes[n].tolist() for n in (first, second)]
+        sizes = [x + y for x, y in zip(*(s[:3] for s in at), strict=True)]
+        links = np.concatenate([self.pairs[s[3] : s[3] + s[0] + s[1] - s[2]] for s in at])
+        return self._put(*sizes, f"{self.texts[first]};{self.texts[second]}", links)
+
+    def _put(self, n_a: int, n_b: int, n_groups: int, text: str, links: list[int] | np.ndarray) -> int:
         number = len(self.texts)
         if number == len(self.sizes):
             self.sizes = np.concatenate((self.sizes, np.zeros_like(self.sizes)))
+        self.sizes[number] = (n_a, n_b, n_groups, self.links)
+        self.texts.append(text)
+        while self.links + len(links) > len(self.pairs):
+            self.pairs = np.concatenate((self.pairs, np.zeros_like(self.pairs)))
+        self.pairs[self.links : self.links + len(links)] = links
+        self.links += len(links)
+        return number
+
+    def _add(self, unit: str, a_ids: list[int], offsets: list[tuple[int, int]], b_ids: list[int], spans: list[tuple[int, int]]) -> int:
+        text = unit.encode()
+        if len(text) > len(unit):  # characters to bytes
+            at = [0]
+            for c in unit:
+                at.append(at[-1] + len(c.encode()))
+            offsets = [(at[x], at[y]) for x, y in offsets]
+        a_bytes, b_bytes = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
+        a_cuts = cuts([x for x, _ in offsets], [y for _, y in offsets], [len(x) for x in a_bytes])
+        b_cuts = cuts([x for x, _ in spans], [y for _, y in spans], [len(x) for x in b_bytes])
         if not (_tiles(text, a_bytes, a_cuts) and _tiles(text, b_bytes, b_cuts)):
-            self.sizes[number] = (-1, 0, 0, self.links)
-            self.texts.append("")
-            return number
+            return self._put(_APART, 0, 0, "", [])
         groups, links, i, j, head_a, head_b = [], [], 0, 0, 0, 0
         while i < len(a_ids):
             links.append(a_ids[i] << 32 | b_ids[j])
@@ -101,19 +148,13 @@ class Pairing:
             if x == y:
                 groups.append(f"{','.join(map(str, a_ids[head_a:i]))}|{','.join(map(str, b_ids[head_b:j]))}")
                 head_a, head_b = i, j
-        self.sizes[number] = (len(a_ids), len(b_ids), len(groups), self.links)
-        self.texts.append(";".join(groups))
-        while self.links + len(links) > len(self.pairs):
-            self.pairs = np.concatenate((self.pairs, np.zeros_like(self.pairs)))
-        self.pairs[self.links : self.links + len(links)] = links
-        self.links += len(links)
-        return number
+        return self._put(len(a_ids), len(b_ids), len(groups), ";".join(groups), links)
 
     def document(self, numbers: list[int]) -> tuple[list[int], str, np.ndarray, np.ndarray] | None:
         """(n_a, n_b, n_groups, n_links), the groups, distinct linked pairs and their occurrences; None if bytes differ."""
         which, times = np.unique(np.array(numbers, np.int64), return_counts=True)
         size = self.sizes[which]
-        if (size[:, 0] < 0).any():
+        if (size[:, 0] == _APART).any():
             return None
         n_a, n_b, n_groups = (size[:, :3] * times[:, None]).sum(axis=0).tolist()
         count = size[:, 0] + size[:, 1] - size[:, 2]  # links of a unit

@@ -244,32 +244,61 @@ def tokenised(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_I
     width = id_width(vocabulary, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = byte_tokenizer(vocabulary, plain_specials=False)
-        specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        kind = f"<u{width}"
-        raw = lambda texts: [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        tails, heads = Units(lambda units: raw([f" {u}" for u in units])), Units(raw)
-        end = np.array([end_id], kind).tobytes()
-        for batch in batches:
-            for chunk in arrays.chunks(iter([batch])):
-                texts = [t or "" for t in chunk.column("text").to_pylist()]
-                whole = [i for i, t in enumerate(texts) if any(s in t for s in specials)]
-                plain = sorted(set(range(len(texts))) - set(whole)) if whole else range(len(texts))
-                out = [b""] * len(texts)
-                for i, ids in zip(whole, raw([texts[i] for i in whole]), strict=True):
-                    out[i] = ids + end
-                # units are encoded with the space before them; a text's head has none
-                found = tails.values([texts[i] for i in plain])
-                first = heads.values([head(texts[i]) for i in plain])
-                for i, ids, own in zip(plain, found, first, strict=True):
-                    ids[0] = b"".join(own)
-                    ids.append(end)
-                    out[i] = b"".join(ids)
-                yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+        key = (vocabulary, width, end_id)
+        if key not in _coders:
+            _coders[key] = Coder(*key)
+        encode = _coders[key].encode
+        for chunk in arrays.chunks(batches):
+            ids = encode([t or "" for t in chunk.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, ids binary")
 
 
+class Coder:
+    """Texts to little-endian ids with the end id behind, word by word; one for each Python worker."""
+
+    def __init__(self, vocabulary: str, width: int, end_id: int):
+        self.tokenizer, self.kind = byte_tokenizer(vocabulary, plain_specials=False), f"<u{width}"
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.end = np.array([end_id], self.kind).tobytes()
+        entries = self.tokenizer.get_vocab()
+        #: Entries that start with a space or a line feed, in byte-level BPE's spelling.
+        self.opens = np.zeros(max(entries.values()) + 1, bool)
+        self.opens[[i for t, i in entries.items() if t[0] in "\u0120\u010a"]] = True
+        self.tails, self.heads = Units(self._learn), Units(lambda units: self._whole([u[1:] for u in units]))
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, units: list[str]) -> list[bytes]:
+        """Many units in one call: each starts with the only space or line feed that it has, or else they are encoded one by one."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, self.kind)
+        starts = np.flatnonzero(self.opens[ids])
+        if len(starts) != len(units):
+            half = len(units) // 2
+            return self._whole(units) if len(units) < 64 else self._learn(units[:half]) + self._learn(units[half:])
+        raw, size = ids.tobytes(), ids.itemsize
+        cut = (starts * size).tolist() + [len(raw)]
+        return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.specials)}
+        plain = [i for i in range(len(texts)) if i not in whole] if whole else range(len(texts))
+        out, end = [b""] * len(texts), self.end
+        for i, ids in zip(sorted(whole), self._whole([texts[i] for i in sorted(whole)]), strict=True):
+            out[i] = ids + end
+        # units are encoded with what parts them; a text's head has no space before it
+        for i, ids, own in zip(plain, self.tails.values([texts[i] for i in plain]), self.heads.values([head(texts[i]) for i in plain]), strict=True):
+            ids[0] = own[0]
+            ids.append(end)
+            out[i] = b"".join(ids)
+        return out
+
+
+_coders: dict[tuple[str, int, int], Coder] = {}
+
+
 def id_width(vocabulary: str, end_id: int) -> int:
     size = max(byte_tokenizer(vocabulary, plain_specials=False).get_vocab_size(), end_id + 1)
     return 2 if size <= 1 << 16 else 4

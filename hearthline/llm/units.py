@@ -1,9 +1,9 @@
-"""Units of a text that both byte-level BPE and piece BPE encode alone: what starts at a space that ends a run of spaces of length one.
+"""Units of a text that byte-level BPE and piece BPE encode alone: words with the single space or line feed before them.
 
-The byte-level pre-tokenizer never puts a space in one piece with what stands before it, unless more white space follows, and no entry of the
-piece vocabulary holds a space behind another character. So a text may be parted before every single space between a character
-that is no space and one that is no white space, and the tokens of the parts are those of the text. Natural texts repeat their words, so
-each part is encoded once for each task and looked up from then on.
+The byte-level pre-tokenizer never puts such a space or line feed in one piece with what stands before it, and no entry of the piece vocabulary holds a
+space, or a line feed at all, behind another character. So a text may be parted before every single space between a character that is
+no space and one that is no white space, and before every line feed between one that is neither and one that is no white space: the tokens of the parts are those of the
+text. Texts repeat their words, so each part is encoded once for each worker and looked up from then on.
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-_CUT = re.compile(r"(?<=[^ ]) (?=\S)")
-#: Units that a Python worker keeps; beyond that, or that many characters of keys, it starts anew.
-CACHED_UNITS, CACHED_CHARACTERS = 1_000_000, 32_000_000
+_CUT = re.compile(r"(?<=[^ ]) (?=\S)|(?<=[^ \n])(?=\n\S)")
+#: Units that a Python worker keeps, and characters that it learns; beyond either it starts anew.
+CACHED_UNITS, CACHED_CHARACTERS = 1_500_000, 48_000_000
 #: Longer units are encoded each time that they come.
 LONG = 256
 
@@ -26,7 +26,8 @@ class _Known(dict):
         self.missing, self.odd = [], False
 
     def __missing__(self, unit: str) -> None:
-        if not unit or unit[0].isspace():
+        body = unit[1:] if unit[:1] == "\n" else unit
+        if not body or body[0].isspace():
             self.odd = True
         else:
             self.missing.append(unit)
@@ -39,7 +40,7 @@ class Units:
         self.learn, self.forget, self.known, self.characters = learn, forget, _Known(), 0
 
     def values(self, texts: list[str]) -> list[list]:
-        """The values of each text's units, in order: the first stands for the text's head, the others for a space and what follows it."""
+        """The values of a space and each text, unit by unit in order. `learn` gets units with their first space or line feed."""
         known = self.known
         if len(known) > CACHED_UNITS or self.characters > CACHED_CHARACTERS:
             known.clear()
@@ -49,11 +50,13 @@ class Units:
         look, out, open_ = known.__getitem__, [], {}
         lacking: dict[str, object] = {}
         for i, text in enumerate(texts):
-            parts, known.odd = text.split(" "), False
+            parts, known.odd = text.replace("\n", " \n").split(" "), False
             got = list(map(look, parts))
             if known.odd:
                 known.missing.clear()
                 parts = _CUT.split(text)
+                if not parts[0] or parts[0][0].isspace():
+                    parts[0] = f" {parts[0]}"
                 got = [known.get(p) for p in parts]
                 known.missing += [p for p, v in zip(parts, got, strict=True) if v is None]
             if known.missing:
@@ -65,12 +68,11 @@ class Units:
             new = list(lacking)
             for a in range(0, len(new), 4096):
                 part = new[a : a + 4096]
-                lacking.update(zip(part, self.learn(part), strict=True))
+                lacking.update(zip(part, self.learn([u if u[0] in " \n" else f" {u}" for u in part]), strict=True))
             for i, parts in open_.items():
                 out[i] = [lacking[p] if v is None else v for p, v in zip(parts, out[i], strict=True)]
-            short = {u: v for u, v in lacking.items() if len(u) <= LONG and not u[:1].isspace() and u}
-            self.characters += sum(map(len, short))
-            known.update(short)
+            self.characters += sum(map(len, lacking))
+            known.update({u: v for u, v in lacking.items() if len(u) <= LONG and u[0] != " "})
         return out
 
 
