@@ -7,10 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.components import shared_folder
+from ..sources.buckets import BucketTable
 from ..streaming import jobs
 from .registry import query
 from .views import view
 
+#: Files of a micro-batch, and buckets of a state table.
+FILES, BUCKETS = 8, 16
+
 
 def _folder(spark) -> str:
     """A shared place for a stream's input, output and checkpoint."""
@@ -24,16 +28,37 @@ def _drain(stream, schema, folder: str):
     return stream.sparkSession.read.schema(schema).parquet(f"{folder}/out")
 
 
+def _into_table(rows, apply, keys: list[str]):
+    """The table that a stream of micro-batches leaves: rows in the files in which Spark writes them, FILES a batch."""
+    spark, folder = rows.sparkSession, _folder(rows.sparkSession)
+    rows.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(f"{folder}/in")
+    jobs.each_batch(stream, apply(f"{folder}/table"), f"{folder}/state").awaitTermination()
+    return BucketTable(spark, f"{folder}/table", keys, BUCKETS).read()
+
+
 @query("""SELECT document_id, arg_max(outbox_id, struct_pack(a := created_at, b := outbox_id)) AS outbox_id, arg_max(operation, struct_pack(a := created_at, b := outbox_id)) AS operation FROM v_outbox GROUP BY document_id""")
 def stream_outbox_compaction(spark, sf):
-    folder = _folder(spark)
     rows = view(spark, sf, "v_outbox")
-    rows.repartition(2).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    batches: list[int] = []
-    apply = jobs.compact_outbox_to(f"{folder}/out")
-    jobs.each_batch(stream, lambda b, i: (apply(b, i), batches.append(i))[0], f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/out/batch={max(batches)}").select("document_id", "outbox_id", "operation")
+    return _into_table(rows, lambda path: jobs.compact_outbox_to(spark, path, BUCKETS), ["document_id"]).select("document_id", "outbox_id", "operation")
+
+
+@query("""SELECT source_code, external_id, arg_max(price, struct_pack(a := captured_at, b := price)) AS price, arg_max(active, struct_pack(a := captured_at, b := price)) AS active,
+  CAST(min(captured_at) AS DATE) AS first_seen, CAST(max(captured_at) AS DATE) AS last_seen FROM v_snapshot GROUP BY source_code, external_id""")
+def stream_listing_upserts(spark, sf):
+    rows = view(spark, sf, "v_snapshot").select("source_code", "external_id", F.col("captured_at").cast("timestamp").alias("captured_at"), "price", "active")
+    state = _into_table(rows, lambda path: jobs.upsert_listings_to(spark, path, BUCKETS), ["source_code", "external_id"])
+    return state.select("source_code", "external_id", "price", "active", F.to_date("first_seen_at").alias("first_seen"), F.to_date("last_seen_at").alias("last_seen"))
+
+
+@query("""SELECT source, source_id, v.sale_price AS sale_price, v.rental_price AS rental_price, v.url AS url, 'ACTIVE' AS status, created, updated
+FROM (SELECT source, source_id, arg_max(struct_pack(sale_price := sale_price, rental_price := rental_price, url := url), r) AS v, CAST(min(updated_at) AS DATE) AS created, CAST(max(updated_at) AS DATE) AS updated
+FROM (SELECT *, struct_pack(a := updated_at, b := id) AS r FROM (SELECT * FROM v_collector UNION ALL SELECT * REPLACE (CAST(NULL AS DECIMAL(14,2)) AS sale_price, updated_at + INTERVAL 1 DAY AS updated_at) FROM v_collector WHERE id % 3 = 0) t) u GROUP BY source, source_id) w""")
+def stream_collector_upserts(spark, sf):
+    rows = view(spark, sf, "v_collector").select("source", "source_id", F.col("id").alias("seq"), "sale_price", "rental_price", "url", F.col("updated_at").cast("timestamp").alias("seen_at"))
+    again = rows.where("seq % 3 = 0").withColumns({"sale_price": F.lit(None).cast("decimal(14,2)"), "seen_at": F.col("seen_at") + F.expr("INTERVAL 1 DAY")})
+    state = _into_table(rows.union(again), lambda path: jobs.upsert_collector_to(spark, path, BUCKETS), ["source", "source_id"])
+    return state.select("source", "source_id", "sale_price", "rental_price", "url", "status", F.to_date("created_at").alias("created"), F.to_date("updated_at").alias("updated"))
 
 
 @query("""WITH h AS (SELECT event_type AS source_code, date_trunc('hour', ts) AS hour, count(*) AS captures FROM events GROUP BY 1, 2), m AS (SELECT max(ts) - INTERVAL 2 HOUR AS w FROM events)

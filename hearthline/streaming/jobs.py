@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from ..sources.buckets import BucketTable, Merge, last_by
+
 _EVENTS = "source_code string, external_id string, captured_at timestamp, event_type string, old_value string, new_value string"
 
 
@@ -77,29 +79,40 @@ def each_batch(stream: DataFrame, apply: Callable[[DataFrame, int], None], check
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def compact_outbox_to(path: str) -> Callable[[DataFrame, int], None]:
-    """Last operation per document, merged with the state of the batch before; a folder for each batch, so a repeated batch writes the same."""
+def into_buckets(table: BucketTable, merge: Merge) -> Callable[[DataFrame, int], None]:
+    """For each_batch(): every micro-batch is merged into a table's touched buckets, once for each batch id; versions that no restart needs go."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        columns = ["document_id", "outbox_id", "operation", "created_at"]
-        rows = batch.select(*columns)
-        if batch_id > 0:
-            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{path}/batch={batch_id - 1}").select(*columns))
-        last = rows.groupBy("document_id").agg(F.max_by(F.struct("outbox_id", "operation", "created_at"), F.struct("created_at", "outbox_id")).alias("r"))
-        last.select("document_id", "r.*").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if table.apply(batch, batch_id, merge) and batch_id:
+            table.vacuum(batch_id - 1)  # that batch is committed, as this one has started
 
     return apply
 
 
-def upsert_listings_to(path: str) -> Callable[[DataFrame, int], None]:
-    """Current listings after each micro-batch of captures."""
-    from ..operators.history import current_listings
+def compact_outbox_to(spark: SparkSession, path: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """Last operation per document, in a table of buckets by document."""
+    keys = ["document_id"]
+    merge = last_by(keys, ["created_at", "outbox_id"])
+    return into_buckets(BucketTable(spark, path, keys, buckets), lambda batch, current: merge(batch.select("document_id", "outbox_id", "operation", "created_at"), current))
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        current = batch.sparkSession.read.parquet(f"{path}/batch={batch_id - 1}") if batch_id > 0 else None
-        current_listings(batch, current).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return apply
+def upsert_listings_to(spark: SparkSession, path: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """Current listings after each micro-batch of captures(source_code, external_id, captured_at, ...): values of the last capture, first_seen_at, last_seen_at."""
+    keys = ["source_code", "external_id"]
+    merge = last_by(keys, ["last_seen_at"], ("first_seen_at", "last_seen_at"))
+    return into_buckets(BucketTable(spark, path, keys, buckets), lambda batch, current: merge(batch.withColumnRenamed("captured_at", "last_seen_at"), current))
+
+
+def upsert_collector_to(spark: SparkSession, path: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """The flat collector table after micro-batches of rows(source, source_id, seq, seen_at, ...): the values of a key's last row by (seen_at, seq), nulls too; first_seen_at and created_at stay those of its first."""
+    keys = ["source", "source_id"]
+    merge = last_by(keys, ["last_seen_at", "seq"], ("first_seen_at", "last_seen_at"))
+
+    def step(batch: DataFrame, current: DataFrame | None) -> DataFrame:
+        rows = merge(batch.withColumnRenamed("seen_at", "last_seen_at"), None if current is None else current.drop("created_at", "updated_at", "status"))
+        return rows.withColumns({"created_at": F.col("first_seen_at"), "updated_at": F.col("last_seen_at"), "status": F.lit("ACTIVE")})
+
+    return into_buckets(BucketTable(spark, path, keys, buckets), step)
 
 
 def hourly_volume(captures: DataFrame, late: str = "2 hours") -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from hearthline.operators import history
+from hearthline.sources.buckets import BucketTable, last_by
 from hearthline.streaming import jobs
 
 
@@ -39,17 +42,54 @@ def test_stale_alerts(spark, tmp_path):
     assert [r.search_id for r in _run(jobs.stale_alerts(source), str(tmp_path)).collect()] == [1]
 
 
-def test_upserts_and_outbox(spark, tmp_path):
+def _files(path):
+    return {f"{d}/{n}": os.stat(f"{d}/{n}").st_mtime_ns for d, _, names in os.walk(path) for n in names if n.endswith(".parquet")}
+
+
+def test_upserts_are_those_of_one_batch(spark, tmp_path):
     captures = _captures(spark)
-    for d in (1, 2, 3):
+    for d in (3, 1, 2):  # late files too
         captures.where(F.dayofmonth("captured_at") == d).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     source = spark.readStream.schema(captures.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    jobs.each_batch(source, jobs.upsert_listings_to(f"{tmp_path}/current"), f"{tmp_path}/c1").awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/current/batch=2").select("source_code", "external_id", "price", "active", "last_seen_at")
+    jobs.each_batch(source, jobs.upsert_listings_to(spark, f"{tmp_path}/table", 4), f"{tmp_path}/c1").awaitTermination()
+    got = BucketTable(spark, f"{tmp_path}/table", ["source_code", "external_id"], 4).read()
     want = history.current_listings(captures.where(F.dayofmonth("captured_at") <= 3)).select(*got.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_a_batch_touches_its_buckets_alone_and_counts_once(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, at int, v string")
+    merge = last_by(["k"], ["at"], ("first", "at"))
+    table = BucketTable(spark, f"{tmp_path}/t", ["k"], 8)
+    assert table.read() is None and table.apply(rows().where("false"), 0, merge) == 0
+    assert table.apply(rows(*[(f"k{i}", 1, "a") for i in range(40)], (None, 1, "n")), 0, merge) == 8
+    before = _files(tmp_path)
+    batch = rows(("k1", 2, "b"), ("k1", 3, None), ("k2", 0, "late"), ("new", 5, "c"))
+    touched = {r[0] for r in batch.select(table.bucket()).distinct().collect()}
+    assert table.apply(batch, 1, merge) == len(touched) < 8
+    after = _files(tmp_path)
+    assert {f: t for f, t in after.items() if f in before} == before  # no file of any bucket is changed
+    assert {int(f.split("bucket=")[1].split("/")[0]) for f in after.keys() - before.keys()} == touched
+    state = sorted(map(tuple, table.read().collect()), key=str)
+    assert ("k1", 3, None, 1) in state and ("k2", 1, "a", 0) in state and ("new", 5, "c", 5) in state and (None, 1, "n", 1) in state and len(state) == 42
+    table.apply(batch, 1, merge)  # the batch once more, as after a crash
+    assert sorted(map(tuple, table.read().collect()), key=str) == state
+    assert {b: v for b, v in table.versions().items() if len(v) > 1}.keys() == touched
+    assert table.vacuum(1) == len(touched) and sorted(map(tuple, table.read().collect()), key=str) == state
+    assert "k1" in {r.k for r in table.read(buckets=touched).collect()} and table.read(before=0) is None
+
+
+def test_a_restarted_stream_goes_on_with_its_table(spark, tmp_path):
+    captures = _captures(spark)
+    for d in (1, 2, 3, 4):
+        captures.where(F.dayofmonth("captured_at") == d).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(captures.schema).parquet(f"{tmp_path}/in")
+        jobs.each_batch(source, jobs.upsert_listings_to(spark, f"{tmp_path}/table", 4), f"{tmp_path}/c").awaitTermination()
+    got = BucketTable(spark, f"{tmp_path}/table", ["source_code", "external_id"], 4).read()
+    want = history.current_listings(captures.where(F.dayofmonth("captured_at") <= 4)).select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_hourly_volume(spark, tmp_path):
     captures = _captures(spark).select("source_code", "captured_at")
     captures.coalesce(1).write.parquet(f"{tmp_path}/in")
