@@ -38,14 +38,12 @@ def _byte_of_sign() -> dict[str, int]:
     return {chr(b if b in printable else next(others)): b for b in range(256)}
 
 
-def cuts(starts: list[int], ends: list[int], lengths: list[int]) -> list[int]:
-    """Where each token ends, in bytes. Spans say so where the next one starts there; within a character, the tokens' own lengths do."""
-    out, at, last = [], 0, len(ends) - 1
-    for i, n in enumerate(lengths):
-        whole = ends[i] > starts[i] and (i == last or starts[i + 1] == ends[i])
-        at = ends[i] if whole and at <= starts[i] else at + n
-        out.append(at)
-    return out
+def cuts(starts: np.ndarray, ends: np.ndarray, last: np.ndarray, decoded: np.ndarray) -> np.ndarray:
+    """Where tokens end, in bytes. Spans say so where the next one starts there; within a character, or around spans of no width, the tokens' own lengths (`decoded` ends) do."""
+    wide = ends > starts
+    meets = np.ones(len(ends), bool)
+    meets[:-1] = (starts[1:] == ends[:-1]) & wide[1:]
+    return np.where(wide & (meets | last), ends, decoded)
 
 
 #: A word of plain letters and a stop.
@@ -66,8 +64,10 @@ class Pairing:
         self.a_bytes = {i: bytes(sign[c] for c in t) if all(c in sign for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
         piece = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch(r"<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in piece]
+        self.a_size = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)], np.int64)
+        self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
         #: No entry of B holds a letter before a full stop or a comma; A parts them anyway.
-        self.stops = not any(re.search(r"[^\W\d_][.,]", p) for p in piece)
+        self.stops = not any(re.search(r"[A-Za-zÀ-ÖØ-öø-ÿ][.,]", p) for p in piece)
         self.units = Units(self.learn, self.forget)
         self.forget()
 
@@ -83,73 +83,104 @@ class Pairing:
         known = {u: n for u in bases if (n := self.units.known.get(u[1:] if u[0] == " " else u)) is not None}
         new = [u for u in dict.fromkeys(bases) if u not in known]
         known.update(zip(new, self._aligned(new), strict=True))
-        for tail in {t for _, t in tailed.values()} - self.tails.keys():
-            self.tails[tail] = self._add(tail, *self._alone(tail))
+        if tails := sorted({t for _, t in tailed.values()} - self.tails.keys()):
+            self.tails.update(zip(tails, self._aligned(tails, "a"), strict=True))
         return [self._both(known[tailed[u][0]], self.tails[tailed[u][1]]) if u in tailed else known[u] for u in units]
 
-    def _aligned(self, units: list[str]) -> list[int]:
-        a = self.a.encode_batch(units, add_special_tokens=False)
-        spaced = [u[0] == " " for u in units]
-        # B puts a space before each text: for a line feed's unit its token is taken off again
-        b = self.b.encode([u[s:].encode() for u, s in zip(units, spaced, strict=True)], return_type="proto", num_threads=1)
-        out = []
-        for u, s, x, y in zip(units, spaced, a, b, strict=True):
-            pieces = list(y.pieces)
-            if s:  # B's spans are of the bytes behind the space that it puts
-                spans = [(p.begin + 1 if i else 0, p.end + 1) for i, p in enumerate(pieces)]
-            else:
-                pieces = pieces[1:]
-                spans = [(p.begin, p.end) for p in pieces]
-            out.append(self._add(u, x.ids, x.offsets, [p.id for p in pieces], spans))
+    def _aligned(self, units: list[str], letter: str = "") -> list[int]:
+        """Aligns all units at once: tokens end to end over the units' joined bytes. letter: what stands before each unit, if it isn't encoded alone."""
+        a = self.a.encode_batch([f" {letter}{u}" if letter else u for u in units], add_special_tokens=False)
+        spaced = np.array([u[0] == " " for u in units])
+        # B puts a space before each text: for units without one its token is taken off again, as is the letter's
+        b = [y.pieces for y in self.b.encode([(letter + u[s:]).encode() for u, s in zip(units, spaced.tolist(), strict=True)], return_type="proto", num_threads=1)]
+        joined = "".join(units)
+        data = joined.encode()
+        size = np.array([len(u.encode()) for u in units])
+        base, head = np.cumsum(size) - size, len(letter)
+        character = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)  # the byte at which each one starts
+        character = np.concatenate((character, [len(data)]))
+        count = np.array([len(u) for u in units])
+        first = np.cumsum(count) - count
+        a_skip, b_skip = int(bool(head)), np.where(spaced, 0, 1)
+        a_ids, a_n = _flat([x.ids[a_skip:] for x in a])
+        offsets, _ = _flat([[v for o in x.offsets[a_skip:] for v in o] for x in a])
+        at = np.repeat(first - 2 * a_skip, a_n)
+        a_cuts = self._cuts(character[offsets[::2] + at], character[offsets[1::2] + at], a_ids, a_n, self.a_size, base)
+        pieces = [list(y)[k:] for y, k in zip(b, b_skip.tolist(), strict=True)] if not spaced.all() else b
+        b_ids, b_n = _flat([[p.id for p in y] for y in pieces])
+        spans, _ = _flat([[v for p in y for v in (p.begin, p.end)] for y in pieces])
+        at = np.repeat(base + spaced - head, b_n)
+        starts = spans[::2] + at
+        starts[(np.cumsum(b_n) - b_n)[b_n > 0]] = base[b_n > 0]
+        b_cuts = self._cuts(starts, spans[1::2] + at, b_ids, b_n, self.b_size, base)
+        good = np.ones(len(units), bool)
+        for ids, n, ends, sizes, words in ((a_ids, a_n, a_cuts, self.a_size, self.a_bytes), (b_ids, b_n, b_cuts, self.b_size, self.b_bytes)):
+            # each token's bytes are those between its cuts
+            owner, low = np.repeat(np.arange(len(units)), n), np.concatenate((ends[:0], ends))
+            low[1:] = ends[:-1]
+            low[(np.cumsum(n) - n)[n > 0]] = base[n > 0]
+            wrong = ends - low != sizes[ids]
+            if b"".join(map(words.__getitem__, ids.tolist())) != data or wrong.any():
+                wrong |= np.array([data[x:y] != words[i] for x, y, i in zip(low.tolist(), ends.tolist(), ids.tolist(), strict=True)], bool)
+            good &= np.bincount(owner, weights=wrong, minlength=len(units)) == 0
+            total = np.bincount(owner, weights=sizes[ids], minlength=len(units))
+            good &= total == size
+        if not good.all():
+            keep = np.repeat(good, a_n), np.repeat(good, b_n)
+            a_ids, a_cuts, b_ids, b_cuts = a_ids[keep[0]], a_cuts[keep[0]], b_ids[keep[1]], b_cuts[keep[1]]
+        # every stretch between two neighbouring cuts, whosever they are, is one link
+        every = np.union1d(a_cuts, b_cuts)
+        i, j = np.searchsorted(a_cuts, every), np.searchsorted(b_cuts, every)
+        owner = np.searchsorted(base + size, every)
+        common = (a_cuts[i] == every) & (b_cuts[j] == every)
+        links = np.bincount(owner, minlength=len(units))
+        groups = np.bincount(owner[common], minlength=len(units))
+        texts = self._groups(a_ids, b_ids, i[common] + 1, j[common] + 1)
+        number = len(self.texts)
+        while number + len(units) > len(self.sizes):
+            self.sizes = np.concatenate((self.sizes, np.zeros_like(self.sizes)))
+        new = self.sizes[number : number + len(units)]
+        new[:, 0], new[:, 1], new[:, 2], new[:, 3] = np.where(good, a_n, _APART), np.where(good, b_n, 0), groups, self.links + np.cumsum(links) - links
+        ends = np.cumsum(groups).tolist()
+        self.texts += [";".join(texts[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+        self._link(a_ids[i] << 32 | b_ids[j])
+        return list(range(number, number + len(units)))
+
+    def _cuts(self, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray, n: np.ndarray, sizes: np.ndarray, base: np.ndarray) -> np.ndarray:
+        behind = np.cumsum(n)
+        last = np.zeros(len(ids), bool)
+        last[behind[n > 0] - 1] = True
+        total = np.cumsum(sizes[ids])
+        before = np.concatenate(([0], total))[behind - n]
+        return cuts(starts, ends, last, total + np.repeat(base - before, n))
+
+    def _groups(self, a_ids: np.ndarray, b_ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[str]:
+        """The text of each group; i, j: where they end."""
+        a, b, out, x, y = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist())), [], 0, 0
+        for u, v in zip(i.tolist(), j.tolist(), strict=True):
+            out.append(f"{a[x]}|{b[y]}" if u == x + 1 and v == y + 1 else f"{','.join(a[x:u])}|{','.join(b[y:v])}")
+            x, y = u, v
         return out
 
-    def _alone(self, tail: str) -> tuple[list[int], list[tuple[int, int]], list[int], list[tuple[int, int]]]:
-        """A stop behind a letter: what both tokenizers give for one, without the letter."""
-        x, y = self.a.encode(f" a{tail}", add_special_tokens=False), self.b.encode(b"a" + tail.encode(), return_type="proto").pieces
-        return x.ids[1:], [(p - 2, q - 2) for p, q in x.offsets[1:]], [p.id for p in y[1:]], [(p.begin - 1, p.end - 1) for p in y[1:]]
+    def _link(self, links: np.ndarray) -> None:
+        while self.links + len(links) > len(self.pairs):
+            self.pairs = np.concatenate((self.pairs, np.zeros_like(self.pairs)))
+        self.pairs[self.links : self.links + len(links)] = links
+        self.links += len(links)
 
     def _both(self, first: int, second: int) -> int:
         """A number for two units on end."""
         at = [self.sizes[n].tolist() for n in (first, second)]
         sizes = [x + y for x, y in zip(*(s[:3] for s in at), strict=True)]
         links = np.concatenate([self.pairs[s[3] : s[3] + s[0] + s[1] - s[2]] for s in at])
-        return self._put(*sizes, f"{self.texts[first]};{self.texts[second]}", links)
-
-    def _put(self, n_a: int, n_b: int, n_groups: int, text: str, links: list[int] | np.ndarray) -> int:
         number = len(self.texts)
         if number == len(self.sizes):
             self.sizes = np.concatenate((self.sizes, np.zeros_like(self.sizes)))
-        self.sizes[number] = (n_a, n_b, n_groups, self.links)
-        self.texts.append(text)
-        while self.links + len(links) > len(self.pairs):
-            self.pairs = np.concatenate((self.pairs, np.zeros_like(self.pairs)))
-        self.pairs[self.links : self.links + len(links)] = links
-        self.links += len(links)
+        self.sizes[number] = (*sizes, self.links)
+        self.texts.append(f"{self.texts[first]};{self.texts[second]}")
+        self._link(links)
         return number
 
-    def _add(self, unit: str, a_ids: list[int], offsets: list[tuple[int, int]], b_ids: list[int], spans: list[tuple[int, int]]) -> int:
-        text = unit.encode()
-        if len(text) > len(unit):  # characters to bytes
-            at = [0]
-            for c in unit:
-                at.append(at[-1] + len(c.encode()))
-            offsets = [(at[x], at[y]) for x, y in offsets]
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-        a_cuts = cuts([x for x, _ in offsets], [y for _, y in offsets], [len(x) for x in a_bytes])
-        b_cuts = cuts([x for x, _ in spans], [y for _, y in spans], [len(x) for x in b_bytes])
-        if not (_tiles(text, a_bytes, a_cuts) and _tiles(text, b_bytes, b_cuts)):
-            return self._put(_APART, 0, 0, "", [])
-        groups, links, i, j, head_a, head_b = [], [], 0, 0, 0, 0
-        while i < len(a_ids):
-            links.append(a_ids[i] << 32 | b_ids[j])
-            x, y = a_cuts[i], b_cuts[j]
-            i += x <= y
-            j += y <= x
-            if x == y:
-                groups.append(f"{','.join(map(str, a_ids[head_a:i]))}|{','.join(map(str, b_ids[head_b:j]))}")
-                head_a, head_b = i, j
-        return self._put(len(a_ids), len(b_ids), len(groups), ";".join(groups), links)
-
     def document(self, numbers: list[int]) -> tuple[list[int], str, np.ndarray, np.ndarray] | None:
         """(n_a, n_b, n_groups, n_links), the groups, distinct linked pairs and their occurrences; None if bytes differ."""
         which, times = np.unique(np.array(numbers, np.int64), return_counts=True)
@@ -164,14 +195,11 @@ class Pairing:
         return [n_a, n_b, n_groups, n_a + n_b - n_groups], ";".join(map(self.texts.__getitem__, numbers)), pairs, occurs
 
 
-def _tiles(text: bytes, tokens: list[bytes], ends: list[int]) -> bool:
-    """The tokens' bytes are those of the text between the cuts."""
-    at = 0
-    for token, end in zip(tokens, ends, strict=True):
-        if text[at:end] != token:
-            return False
-        at = end
-    return at == len(text)
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers, and how many each list has."""
+    from itertools import chain
+
+    return np.fromiter(chain.from_iterable(lists), np.int64), np.array([len(x) for x in lists], np.int64)
 
 
 _pairings: dict[tuple[str, str], Pairing] = {}
