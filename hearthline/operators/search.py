@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,19 +25,45 @@ def priced_properties(properties: DataFrame, listings: DataFrame, favorites: Dat
     return out.join(marks, "property_id", "left").withColumn("favorite", F.coalesce("favorite", F.lit(False)))
 
 
-def candidates(properties: DataFrame, searches: DataFrame) -> DataFrame:
-    """(p.*, s.*) joined on the lower-case city; AQE splits a popular city."""
-    p = properties.withColumn("_city", F.lower("city")).alias("p")
-    s = searches.withColumn("_city", F.lower("city")).alias("s")
+#: Highest price band; bands are powers of two.
+BANDS = 50
+
+
+def price_band(price: Column) -> Column:
+    """The power of two below a price, 0 to BANDS; -1 for none. It never falls as prices rise."""
+    exact = F.floor(F.log2(F.greatest(price.cast("double"), F.lit(1.0)))).cast("int")
+    return F.coalesce(F.least(exact, F.lit(BANDS)), F.lit(-1))
+
+
+def price_bands(low: Column, high: Column, none: int = -1) -> Column:
+    """The bands of the prices from low to high, a missing end open; without both ends also that of no price. none: the band of a missing price if it counts as one of `low` or less."""
+    first = F.when(low.isNotNull(), price_band(low)).when(high.isNotNull(), 0).otherwise(none)
+    last = F.when(high.isNotNull(), price_band(high)).otherwise(BANDS)
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+
+def candidates(properties: DataFrame, searches: DataFrame, banded: bool = False) -> DataFrame:
+    """(p.*, s.*) joined on the lower-case city; AQE splits a popular city.
+
+    banded: on the price band as well. A property lies in one band (a missing price counts as 0), a search in each that its prices span, so pairs outside its prices by far never meet and a city is as many keys as it
+    has bands; no pair comes twice. Searches differ in what they ask, so none of the other conditions makes a key that all of them have.
+    """
+    p = properties.withColumn("_city", F.lower("city"))
+    s = searches.withColumn("_city", F.lower("city"))
     if "neighborhoods" not in searches.columns:
-        s = searches.withColumns({"_city": F.lower("city"), "neighborhoods": F.array().cast("array<string>")}).alias("s")
-    return p.join(s, F.col("p._city") == F.col("s._city"))
+        s = s.withColumn("neighborhoods", F.array().cast("array<string>"))
+    if not banded:
+        p, s = p.alias("p"), s.alias("s")
+        return p.join(s, F.col("p._city") == F.col("s._city"))
+    p = p.withColumn("_band", price_band(F.coalesce("price", F.lit(0)))).alias("p")
+    s = s.withColumn("_band", F.explode(price_bands(F.col("price_min"), F.col("price_max"), 0))).alias("s")
+    return p.join(s, (F.col("p._city") == F.col("s._city")) & (F.col("p._band") == F.col("s._band")))
 
 
 def consolidated_search(properties: DataFrame, listings: DataFrame, searches: DataFrame) -> DataFrame:
     """search_id, property_id, price, score, position: every request against the priced catalogue, best score and lowest price first."""
     score, _ = scoring.rank()
-    hits = candidates(priced_properties(properties, listings), searches).where(scoring.matches()).select("s.search_id", "p.property_id", "p.price", score.alias("score"))
+    hits = candidates(priced_properties(properties, listings), searches, banded=True).where(scoring.matches()).select("s.search_id", "p.property_id", "p.price", score.alias("score"))
     return hits.withColumn("position", F.row_number().over(Window.partitionBy("search_id").orderBy(F.desc("score"), "price", "property_id")))
 
 
@@ -67,14 +93,16 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def compatible_pairs(properties: DataFrame, searches: DataFrame) -> DataFrame:
-    """Joined aliases p and s (of prepared texts): properties of a search's city and state (as they stand, in capitals or in small letters) within its prices."""
+    """Joined aliases p and s (of prepared texts): properties of a search's city and state (as they stand, in capitals or in small letters) within its prices. Joined by city, state and price band; spellings are made once a search."""
+    c = F.col
     p, s = scoring.prepared_texts(properties), scoring.prepared_texts(searches)
     p, s = (x.withColumns({"_at": F.lower("city"), "_in": F.lower("state")}) for x in (p, s))
-    p, s = p.alias("p"), s.alias("s")
-    c = F.col
-    spelt = lambda n: c(f"p.{n}").isin(c(f"s.{n}"), F.upper(f"s.{n}"), F.lower(f"s.{n}"))
+    s = s.withColumns({f"_{n}_{k}": f(n) for n in ("city", "state") for k, f in (("upper", F.upper), ("lower", F.lower))})
+    p = p.withColumn("_band", price_band(c("price"))).alias("p")
+    s = s.withColumn("_band", F.explode(price_bands(c("min_price"), c("max_price")))).alias("s")
+    spelt = lambda n: (c(f"p.{n}") == c(f"s.{n}")) | (c(f"p.{n}") == c(f"s._{n}_upper")) | (c(f"p.{n}") == c(f"s._{n}_lower"))
     fits = (c("s.min_price").isNull() | (c("p.price") >= c("s.min_price"))) & (c("s.max_price").isNull() | (c("p.price") <= c("s.max_price")))
-    return p.join(s, (c("p._at") == c("s._at")) & (c("p._in") == c("s._in")) & spelt("city") & spelt("state") & fits)
+    return p.join(s, (c("p._at") == c("s._at")) & (c("p._in") == c("s._in")) & (c("p._band") == c("s._band")) & spelt("city") & spelt("state") & fits)
 
 
 def compatibility_top(properties: DataFrame, searches: DataFrame, k: int) -> DataFrame:

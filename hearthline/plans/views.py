@@ -13,7 +13,7 @@ VIEWS: dict[str, str] = {
                l_shipdate AS captured_at,
                CAST(MIN(l_extendedprice) AS DECIMAL(14,2)) AS price,
                CAST(floor(MIN(l_tax) * 10000) AS DECIMAL(14,2)) AS condo_fee,
-               MAX(l_returnflag) <> 'R' AS active
+               MAX(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 0 AS active
         FROM {lineitem}
         GROUP BY concat('src', CAST(l_suppkey % 7 AS STRING)), CAST(l_partkey AS STRING), l_partkey, l_shipdate""",
     "v_listing": """
