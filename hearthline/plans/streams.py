@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import shared_folder
 from ..sources.buckets import BucketTable
-from ..streaming import jobs
+from ..streaming import jobs, state
 from .registry import query
 from .views import view
 
@@ -47,8 +47,8 @@ def stream_outbox_compaction(spark, sf):
   CAST(min(captured_at) AS DATE) AS first_seen, CAST(max(captured_at) AS DATE) AS last_seen FROM v_snapshot GROUP BY source_code, external_id""")
 def stream_listing_upserts(spark, sf):
     rows = view(spark, sf, "v_snapshot").select("source_code", "external_id", F.col("captured_at").cast("timestamp").alias("captured_at"), "price", "active")
-    state = _into_table(rows, lambda path: jobs.upsert_listings_to(spark, path, BUCKETS), ["source_code", "external_id"])
-    return state.select("source_code", "external_id", "price", "active", F.to_date("first_seen_at").alias("first_seen"), F.to_date("last_seen_at").alias("last_seen"))
+    table = _into_table(rows, lambda path: jobs.upsert_listings_to(spark, path, BUCKETS), ["source_code", "external_id"])
+    return table.select("source_code", "external_id", "price", "active", F.to_date("first_seen_at").alias("first_seen"), F.to_date("last_seen_at").alias("last_seen"))
 
 
 @query("""SELECT source, source_id, v.sale_price AS sale_price, v.rental_price AS rental_price, v.url AS url, 'ACTIVE' AS status, created, updated
@@ -57,8 +57,8 @@ FROM (SELECT *, struct_pack(a := updated_at, b := id) AS r FROM (SELECT * FROM v
 def stream_collector_upserts(spark, sf):
     rows = view(spark, sf, "v_collector").select("source", "source_id", F.col("id").alias("seq"), "sale_price", "rental_price", "url", F.col("updated_at").cast("timestamp").alias("seen_at"))
     again = rows.where("seq % 3 = 0").withColumns({"sale_price": F.lit(None).cast("decimal(14,2)"), "seen_at": F.col("seen_at") + F.expr("INTERVAL 1 DAY")})
-    state = _into_table(rows.union(again), lambda path: jobs.upsert_collector_to(spark, path, BUCKETS), ["source", "source_id"])
-    return state.select("source", "source_id", "sale_price", "rental_price", "url", "status", F.to_date("created_at").alias("created"), F.to_date("updated_at").alias("updated"))
+    table = _into_table(rows.union(again), lambda path: jobs.upsert_collector_to(spark, path, BUCKETS), ["source", "source_id"])
+    return table.select("source", "source_id", "sale_price", "rental_price", "url", "status", F.to_date("created_at").alias("created"), F.to_date("updated_at").alias("updated"))
 
 
 @query("""WITH h AS (SELECT event_type AS source_code, date_trunc('hour', ts) AS hour, count(*) AS captures FROM events GROUP BY 1, 2), m AS (SELECT max(ts) - INTERVAL 2 HOUR AS w FROM events)
@@ -78,5 +78,26 @@ def stream_capture_events(spark, sf):
     folder = _folder(spark)
     rows = view(spark, sf, "v_snapshot").select("source_code", "external_id", F.col("captured_at").cast("timestamp").alias("captured_at"), "price", "active")
     rows.write.parquet(f"{folder}/in")
-    stream = jobs.capture_events(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
-    return _drain(stream, stream.schema, folder).select("source_code", "external_id", F.to_date("captured_at").alias("day"), "event_type", "old_value", "new_value")
+    stream = state.capture_events(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+    with state.rocksdb(spark):
+        events = _drain(stream, stream.schema, folder)
+    return events.select("source_code", "external_id", F.to_date("captured_at").alias("day"), "event_type", "old_value", "new_value")
+
+
+_BEATS = """b AS (SELECT search_id, started_at AS beat_at, 'RUNNING' AS status FROM v_psearch WHERE started_at IS NOT NULL UNION ALL SELECT search_id, last_heartbeat_at, 'RUNNING' FROM v_psearch WHERE last_heartbeat_at IS NOT NULL
+  UNION ALL SELECT search_id, updated_at, status FROM v_psearch WHERE status IN ('COMPLETED', 'FAILED'))"""
+
+
+@query(f"""WITH {_BEATS}, l AS (SELECT search_id, max(beat_at) AS last_beat, bool_or(status IN ('COMPLETED', 'FAILED')) AS done FROM b GROUP BY search_id)
+SELECT search_id, last_beat FROM l WHERE NOT done AND last_beat + INTERVAL 30 MINUTE <= (SELECT max(beat_at) - INTERVAL 1 MINUTE FROM b)""")
+def stream_stale_alerts(spark, sf):
+    """Searches that had started and fell silent, by timers of a stream of their heartbeats."""
+    folder, rows = _folder(spark), view(spark, sf, "v_psearch")
+    beat = lambda c, status, where: rows.where(where).select("search_id", F.col(c).cast("timestamp").alias("beat_at"), status.alias("status"))
+    running = F.lit("RUNNING")
+    beats = beat("started_at", running, "started_at is not null").union(beat("last_heartbeat_at", running, "last_heartbeat_at is not null")).union(beat("updated_at", F.col("status"), "status in ('COMPLETED', 'FAILED')"))
+    beats.write.parquet(f"{folder}/in")
+    stream = state.stale_alerts(spark.readStream.schema(beats.schema).parquet(f"{folder}/in"))
+    with state.rocksdb(spark):
+        alerts = _drain(stream, stream.schema, folder)
+    return alerts.withColumn("last_beat", F.col("last_beat").cast("timestamp_ntz"))

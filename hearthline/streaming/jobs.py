@@ -1,78 +1,15 @@
-"""Price events, stale alerts, outbox compaction, upserts and hourly volumes as streams."""
+"""Outbox compaction, upserts and hourly volumes as streams."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from ..sources.buckets import BucketTable, Merge, last_by
 
-_EVENTS = "source_code string, external_id string, captured_at timestamp, event_type string, old_value string, new_value string"
-
-
-def capture_events(captures: DataFrame, late: str = "1 hour") -> DataFrame:
-    """PRICE_CHANGED and LISTING_REACTIVATED events of a stream of captures(source_code, external_id, captured_at, price decimal, active). State per listing: last time, price and flag; captures later than the watermark, or older than the state, are dropped."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, price, active = state.get if state.exists else (None, None, None)
-        names = [c.split()[0] for c in _EVENTS.split(", ")]
-        f = pd.concat(list(frames)).sort_values(["captured_at", "price"])
-        stamp = f.captured_at.astype("int64") if f.captured_at.dtype == "datetime64[ns]" else f.captured_at.astype("datetime64[ns]").astype("int64")
-        f = f[stamp >= at] if at is not None else f
-        if f.empty:
-            yield pd.DataFrame([], columns=names)
-            return
-        text = f.price.map(str, na_action="ignore").astype(object).where(f.price.notna(), None)
-        flag = f.active.astype(bool)
-        before, was = text.shift(1), flag.shift(1)
-        before.iloc[0], was.iloc[0] = price, active
-        known = pd.Series(True, index=range(len(f)))
-        known.iloc[0] = at is not None
-        known.index = f.index
-        same = (text == before) | (text.isna() & before.isna())
-        changed, back = known & ~same, known & flag & (was == False)  # noqa: E712
-        rows = [(*key, t, "PRICE_CHANGED", old, new) for t, old, new in zip(f.captured_at[changed], before[changed], text[changed], strict=True)]
-        rows += [(*key, t, "LISTING_REACTIVATED", None, None) for t in f.captured_at[back]]
-        state.update((int(stamp.loc[f.index].max()), text.iloc[-1], bool(flag.iloc[-1])))
-        yield pd.DataFrame(rows, columns=names)
-
-    rows = captures.withWatermark("captured_at", late)
-    return rows.groupBy("source_code", "external_id").applyInPandasWithState(step, _EVENTS, "at long, price string, active boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-def stale_alerts(beats: DataFrame, minutes: int = 30, late: str = "1 minute") -> DataFrame:
-    """(search_id, last_beat) once no heartbeat came for so long in event time. beats(search_id, beat_at, status); a final status ends the watch."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = ["search_id", "last_beat"]
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame([(key[0], pd.Timestamp(last))], columns=columns)
-            return
-        last = state.get[0] if state.exists else 0
-        done = False
-        for f in frames:
-            last = max(last, int(f.beat_at.max().value))
-            done |= bool(f.status.isin(["COMPLETED", "FAILED"]).any())
-        if done:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((last,))
-            due = last // 1_000_000 + minutes * 60_000
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([], columns=columns)
-
-    rows = beats.withWatermark("beat_at", late)
-    return rows.groupBy("search_id").applyInPandasWithState(step, "search_id long, last_beat timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def each_batch(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):
     """Starts a query that hands micro-batches to `apply(batch, id)`, which must be idempotent by id."""
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
@@ -122,7 +59,7 @@ def hourly_volume(captures: DataFrame, late: str = "2 hours") -> DataFrame:
 
 
 def batch_events(captures: DataFrame) -> DataFrame:
-    """What capture_events() gives for the same captures in one batch."""
+    """What state.capture_events() gives for the same captures in one batch."""
     w = Window.partitionBy("source_code", "external_id").orderBy("captured_at", "price")
     rows = captures.withColumns({"old": F.lag("price").over(w), "was": F.lag("active").over(w), "n": F.row_number().over(w)})
     both = rows.where("n > 1").withColumn("event", F.explode(F.array_compact(F.array(F.when(~F.col("price").eqNullSafe(F.col("old")), "PRICE_CHANGED"), F.when(F.col("active") & ~F.col("was"), "LISTING_REACTIVATED")))))

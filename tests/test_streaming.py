@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hearthline.operators import history
 from hearthline.sources.buckets import BucketTable, last_by
-from hearthline.streaming import jobs
+from hearthline.streaming import jobs, state
 
 
 def _captures(spark):
@@ -18,7 +18,9 @@ def _captures(spark):
 
 
 def _run(stream, path):
-    stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").trigger(availableNow=True).start().awaitTermination()
+    with state.rocksdb(stream.sparkSession):
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").trigger(availableNow=True).start()
+    query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
@@ -28,7 +30,7 @@ def test_capture_events_equal_batch(spark, tmp_path):
     for d in range(1, 9):
         captures.where(F.dayofmonth("captured_at") == d).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     source = spark.readStream.schema(captures.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    got = sorted(map(tuple, _run(jobs.capture_events(source, "30 days"), str(tmp_path)).collect()), key=str)
+    got = sorted(map(tuple, _run(state.capture_events(source, "30 days"), str(tmp_path)).collect()), key=str)
     assert got == sorted(map(tuple, jobs.batch_events(captures).collect()), key=str) and got
 
 
@@ -39,7 +41,28 @@ def test_stale_alerts(spark, tmp_path):
         part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         assert i < 3
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    assert [r.search_id for r in _run(jobs.stale_alerts(source), str(tmp_path)).collect()] == [1]
+    assert [r.search_id for r in _run(state.stale_alerts(source), str(tmp_path)).collect()] == [1]
+
+
+def test_a_heartbeat_puts_the_alert_off_and_one_is_enough(spark, tmp_path):
+    rows = [(1, "00:00", "RUNNING"), (2, "00:00", "RUNNING"), (1, "00:20", "RUNNING"), (9, "00:45", "COMPLETED"), (9, "00:47", "COMPLETED"), (2, "00:50", "RUNNING"), (9, "01:10", "COMPLETED"), (9, "03:00", "COMPLETED")]
+    df = spark.createDataFrame(rows, "search_id long, t string, status string").select("search_id", F.to_timestamp(F.concat(F.lit("2024-01-01 "), "t", F.lit(":00"))).alias("beat_at"), "status")
+    for t in sorted({r[1] for r in rows}):
+        df.where(F.date_format("beat_at", "HH:mm") == t).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = sorted((r.search_id, r.last_beat.strftime("%H:%M")) for r in _run(state.stale_alerts(source), str(tmp_path)).collect())
+    # search 2 was silent from 00:00 until the watermark passed 00:30, and again from 00:50
+    assert got == [(1, "00:20"), (2, "00:00"), (2, "00:50")]
+
+
+def test_state_of_a_listing_expires(spark, tmp_path):
+    rows = [("a", 1, "1.00"), ("b", 1, "1.00"), ("b", 9, "2.00"), ("c", 12, "5.00"), ("a", 20, "3.00"), ("b", 15, "4.00")]
+    df = spark.createDataFrame(rows, "external_id string, d int, p string").select(F.lit("s").alias("source_code"), "external_id", F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, d)").alias("captured_at"), F.col("p").cast("decimal(14,2)").alias("price"), F.lit(True).alias("active"))
+    for i in (1, 9, 12, 15, 20):
+        df.where(F.dayofmonth("captured_at") == i + 1).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = sorted((r.external_id, r.old_value, r.new_value) for r in _run(state.capture_events(source, "1 hour", keep_days=10), str(tmp_path)).collect())
+    assert got == [("b", "1.00", "2.00"), ("b", "2.00", "4.00")]  # a's state was gone after ten days
 
 
 def _files(path):
