@@ -12,7 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 21
-_BASE, _STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+#: Bases of the hashes: of bytes in words, of words in windows, and of what surrounds a window.
+_BASE, _STEP, CONTEXT = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -81,16 +82,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Hashes are polynomials modulo this prime: modulo a power of two, sequences exist that agree whatever the base.
+_PRIME = np.uint64((1 << 61) - 1)
+_LOW31, _LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+
+
+def _reduce(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit numbers modulo the prime."""
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    x -= _PRIME * (x >= _PRIME)
+    return x
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, both below it, by halves of 31 bits."""
+    ah, al, bh, bl = a >> np.uint64(31), a & _LOW31, b >> np.uint64(31), b & _LOW31
+    mid = ah * bl + al * bh
+    return _reduce(((ah * bh) << np.uint64(1)) + (mid >> np.uint64(30)) + ((mid & _LOW30) << np.uint64(31)) + al * bl)
+
+
 def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
+    """Powers of a base and of its inverse modulo the prime."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
         size = -(-n // (1 << 18)) << 18
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
+        out, prime = [], int(_PRIME)
+        for b in (base % prime, pow(base, -1, prime)):
+            p, k = np.ones(size, np.uint64), 1
+            while k < size:
+                m = min(k, size - k)
+                p[k : k + m] = _times(p[:m], np.uint64(pow(b, k, prime)))
+                k += m
+            out.append(p)
         if size > 4 * CHUNK:
             return out[0], out[1]
         have = _powers[base] = (out[0], out[1])
@@ -98,29 +121,52 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(values: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """Prefix sums of values * base**i; see spans_hash."""
-    power, _ = _power(base, len(values) + 1)
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power[: len(values)], out=out[1:])
+    """Prefix sums of (values + 1) * base**i modulo the prime; see spans_hash."""
+    n = len(values)
+    power = _power(base, n + 1)[0][:n]
+    if values.dtype == np.uint8 and n <= 1 << 23:  # halves can be summed as they are
+        value = values.astype(np.uint64) + np.uint64(1)
+        low, high = value * (power & _LOW31), value * (power >> np.uint64(31))
+    else:
+        terms = _times(_reduce(_reduce(values.astype(np.uint64)) + np.uint64(1)), power)
+        low, high = terms & _LOW31, terms >> np.uint64(31)
+    high = _reduce(np.cumsum(high, out=high))
+    out = np.zeros(n + 1, np.uint64)
+    out[1:] = _reduce((((high << np.uint64(31)) & _PRIME) | (high >> np.uint64(30))) + _reduce(np.cumsum(low, out=low)))
     return out
 
 
 def spans_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """64-bit hashes of spans, equal wherever the same values stand."""
-    _, inverse = _power(base, len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * inverse[starts] ^ (ends - starts).astype(np.uint64))
+    """Hashes of spans, equal wherever the same values stand; others agree by chance alone (2**-61 for each value of the longer one, over all bases)."""
+    inverse = _power(base, len(prefix))[1]
+    return mix(_times(_reduce(prefix[ends] + (_PRIME - prefix[starts])), inverse[starts]) ^ (ends - starts).astype(np.uint64))
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return spans_hash(prefix_hash(data), starts, ends)
 
 
-def window_prefix(hashes: np.ndarray) -> np.ndarray:
-    return prefix_hash(hashes, _STEP)
+def window_prefix(hashes: np.ndarray, base: int = _STEP) -> np.ndarray:
+    return prefix_hash(hashes, base)
+
+
+def window_hash(prefix: np.ndarray, starts: np.ndarray, length: int | np.ndarray, base: int = _STEP) -> np.ndarray:
+    return spans_hash(prefix, starts, starts + length, base)
 
 
-def window_hash(prefix: np.ndarray, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
-    return spans_hash(prefix, starts, starts + length, _STEP)
+def gram_ranks(values: np.ndarray, width: int) -> np.ndarray:
+    """A number for each run of `width` values that depends on them alone. Different runs may share one: it puts runs in an order and never tells them apart.
+
+    Prefix sums modulo 2**64 do for that, as each run's number is its difference times the inverse power of an odd base.
+    """
+    n = len(values)
+    power, inverse = (np.full(n + 1, pow(_STEP, k, 1 << 64), np.uint64) for k in (1, -1))
+    power[0] = inverse[0] = 1
+    np.multiply.accumulate(power, out=power)
+    np.multiply.accumulate(inverse, out=inverse)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
+    return mix((sums[width:] - sums[: n - width + 1]) * inverse[: n - width + 1])
 
 
 def sliding_first_min(values: np.ndarray, width: int) -> np.ndarray:

@@ -7,7 +7,7 @@ windows cover (its context), and where its windows start. Level by level, units
 and are dropped; only the others go on to the next length, about twice as long. Equal contexts mean equal windows, so a group of copies is a few
 aggregated rows from then on.
 
-Contexts and windows are told apart under one key, by two hashes of 64 bits: a false match needs both to collide.
+Contexts and windows are told apart under one key, by polynomial hashes modulo 2**61 - 1 of different bases: a false match needs both to collide by chance.
 """
 
 from __future__ import annotations
@@ -53,8 +53,8 @@ def unit_arrays(values: np.ndarray, first: np.ndarray, size: Lengths) -> tuple[n
     none = (empty, [empty.view(np.uint64) for _ in size.levels], empty.view(np.uint64), empty, empty)
     if n < w:
         return none
-    prefix = arrays.window_prefix(values)
-    anchor = arrays.sliding_first_min(arrays.window_hash(prefix, np.arange(n - k + 1), k), w - k + 1)
+    anchor = arrays.sliding_first_min(arrays.gram_ranks(values, k), w - k + 1)
+    prefix, around = arrays.window_prefix(values), arrays.window_prefix(values, arrays.CONTEXT)
     starts = np.zeros(n - w + 2, np.int8)
     long = np.flatnonzero(np.diff(first) >= w)
     starts[first[long]] += 1
@@ -73,7 +73,7 @@ def unit_arrays(values: np.ndarray, first: np.ndarray, size: Lengths) -> tuple[n
         use = a <= b
         a, b, at = a[use], b[use], p[use]
         keys = [arrays.window_hash(prefix, at + (k - m) * side, m) ^ np.uint64(side * 0x5851F42D4C957F2D) for m in size.levels]
-        sides.append((np.searchsorted(first, a, "right") - 1, *keys, arrays.window_hash(prefix, a, b + w - a), a, b - a + 1))
+        sides.append((np.searchsorted(first, a, "right") - 1, *keys, arrays.window_hash(around, a, b + w - a, arrays.CONTEXT), a, b - a + 1))
     doc, *keys, context, lo, n = (np.concatenate(x) for x in zip(*sides, strict=True))
     return doc, keys, context, lo, n
 
