@@ -35,9 +35,14 @@ AUCTION = ("site_leiloeiro", "url_leiloeiro", "link_leiloeiro")
 CODES = ("hdn_imovel", "codigo", "code", "source_id")
 
 
+def field(doc: Column, name: str) -> Column:
+    """A field of a document as text, objects and arrays as JSON; null if there is none, or no document. The document is read as a VARIANT, which Spark does once for all fields of an expression list."""
+    return F.try_variant_get(F.try_parse_json(doc), "$." + name, "string")
+
+
 def first_value(doc: Column, names: tuple[str, ...]) -> Column:
     """The first of the fields that is neither null nor empty, as text."""
-    values = [F.get_json_object(doc, "$." + n) for n in names]
+    values = [field(doc, n) for n in names]
     return F.coalesce(*[F.when(v != "", v) for v in values])
 
 
@@ -99,31 +104,29 @@ def _like(c: Column, value: str) -> Column:
 def prefilter(docs: DataFrame, layout: str, city: str, state: str, neighborhood: str | None = None, min_price=None, max_price=None) -> DataFrame:
     """Documents that may fit a request: exact variants of city and state, `ativo` and price in the `imoveis` layout; else availability marks and any place field that holds a wanted name."""
     d = F.col("doc")
-    field = lambda n: F.get_json_object(d, "$." + n)
     if layout == "imoveis":
         forms = lambda v: sorted({v.strip(), v.strip().upper(), v.strip().lower()})
-        rows = docs.where((field("ativo") == "true") & field("cidade").isin(*forms(city)) & field("estado").isin(*forms(state)))
-        price = field("preco_venda").try_cast("double")
+        rows = docs.where((field(d, "ativo") == "true") & field(d, "cidade").isin(*forms(city)) & field(d, "estado").isin(*forms(state)))
+        price = field(d, "preco_venda").try_cast("double")
         rows = rows if min_price is None else rows.where(price >= min_price)
         return rows if max_price is None else rows.where(price <= max_price)
-    marks = (field("ativo") == "true") | (field("active") == "true") | field("status").isin("ACTIVE", "active")
-    gone = F.coalesce(field("situacao").rlike("(?i)indisponivel|indisponível|vendido|encerrado|cancelado|desativado"), F.lit(False))
+    marks = (field(d, "ativo") == "true") | (field(d, "active") == "true") | field(d, "status").isin("ACTIVE", "active")
+    gone = F.coalesce(field(d, "situacao").rlike("(?i)indisponivel|indisponível|vendido|encerrado|cancelado|desativado"), F.lit(False))
     places = [(CITY, city), ((*STATE, "endereco"), state)] + ([((*HOOD, "endereco", "descricao"), neighborhood)] if neighborhood else [])
     any_place = F.lit(False)
     for names, value in places:
         for n in names:
-            any_place = any_place | _like(field(n), value)
+            any_place = any_place | _like(field(d, n), value)
     return docs.where(F.coalesce(marks, F.lit(False)) & ~gone & any_place)
 
 
 def collector_prefilter(docs: DataFrame, city: str, state: str, neighborhood: str | None = None) -> DataFrame:
     """The collector's variant: folded upper-case city, upper-case state, not marked off, the neighbourhood in one of three fields."""
     d = F.col("doc")
-    field = lambda n: F.get_json_object(d, "$." + n)
     folded = F.regexp_replace(fold_upper(F.lit(city)), r"[^\x00-\x7F]", "")
-    rows = docs.where((field("cidade") == folded) & (field("estado") == state.strip().upper()) & F.coalesce(field("ativo") != "false", F.lit(True)))
+    rows = docs.where((field(d, "cidade") == folded) & (field(d, "estado") == state.strip().upper()) & F.coalesce(field(d, "ativo") != "false", F.lit(True)))
     if neighborhood:
-        rows = rows.where(_like(field("bairro"), neighborhood) | _like(field("endereco"), neighborhood) | _like(field("descricao"), neighborhood))
+        rows = rows.where(_like(field(d, "bairro"), neighborhood) | _like(field(d, "endereco"), neighborhood) | _like(field(d, "descricao"), neighborhood))
     return rows
 
 

@@ -81,9 +81,9 @@ def document_candidates(spark, sf):
     return rows.select("id", "title", "href", "city", "state", "neighborhood", "price", "usable_area", F.col("bedrooms").cast("double").alias("bedrooms"), "property_type")
 
 
-@query(f"SELECT property_id FROM {_PRICED} t WHERE property_id % 5 <> 0 AND city = 'BRAZIL' AND state = 'AMERICA' AND price BETWEEN 20000 AND 60000")
+@query(f"SELECT property_id FROM {_PRICED} t WHERE property_id % 5 <> 0 AND city = 'NATION_11' AND state = 'AMERICA' AND price BETWEEN 5000 AND 30000")
 def document_prefilter(spark, sf):
-    return documents.prefilter(_documents(spark, sf), "imoveis", "Brazil", "America", min_price=20000, max_price=60000).select("property_id")
+    return documents.prefilter(_documents(spark, sf), "imoveis", "Nation_11", "America", min_price=5000, max_price=30000).select("property_id")
 
 
 @query(f"SELECT property_id FROM {_PRICED} t WHERE property_id % 5 <> 0 AND property_id % 7 <> 0 AND (city = 'BRAZIL' OR contains(lower(state), 'asia') OR contains(lower(normalized_address), 'asia'))")
@@ -91,9 +91,36 @@ def document_prefilter_generic(spark, sf):
     return documents.prefilter(_documents(spark, sf), "other", "Brazil", "Asia").select("property_id")
 
 
-@query(f"SELECT property_id FROM {_PRICED} t WHERE property_id % 5 <> 0 AND city = 'FRANCE' AND state = 'EUROPE'")
+@query(f"SELECT property_id FROM {_PRICED} t WHERE property_id % 5 <> 0 AND city = 'NATION_18' AND state = 'EUROPE'")
 def document_collector_prefilter(spark, sf):
-    return documents.collector_prefilter(_documents(spark, sf), " france", "europe").select("property_id")
+    return documents.collector_prefilter(_documents(spark, sf), " nation_18", "europe").select("property_id")
+
+
+@query(f"""SELECT 'INTERNAL' AS source, CAST(property_id AS STRING) AS source_id, title, '{_BASE}/lote/' || CAST(property_id AS STRING) AS url, upper(city) AS city, upper(state) AS state, neighborhood, normalized_address AS street, CAST(price AS DOUBLE) AS sale_price,
+  CAST(NULL AS DOUBLE) AS rental_price, area_m2 AS usable_area, bedrooms, CASE property_type WHEN 'APARTMENT' THEN 'APARTMENT' ELSE 'OTHER' END AS property_type FROM {_PRICED} t WHERE property_id % 11 <> 0""")
+def document_rows(spark, sf):
+    """Collector rows of auction documents."""
+    rows = documents.collector_rows(_documents(spark, sf))
+    return rows.select("source", "source_id", "title", "url", "city", "state", "neighborhood", "street", "sale_price", "rental_price", "usable_area", "bedrooms", "property_type")
+
+
+#: A page of up to ten properties as a RealEstateListing whose offers list them: plain elements, and elements that hold the item; some aren't listings.
+_OFFER = f"""named_struct('@type', 'Apartment', 'url', concat('{_BASE}/', if(property_id % 4 = 0, 'lancamento', 'imovel'), '/', property_id, '/'), 'name', title, 'sku', cast(property_id as string),
+  'address', named_struct('streetAddress', if(property_id % 3 = 0, 'Não informado', concat('Rua ', property_id)), 'addressLocality', city), 'offers', named_struct('price', area_m2 * 1000))"""
+
+
+@query(f"""SELECT property_id // 10 AS page_id, '{_BASE}/imovel/' || CAST(property_id AS STRING) || '/' AS url, CAST(property_id AS STRING) AS source_id, title, city, CASE WHEN property_id % 3 <> 0 THEN 'Rua ' || CAST(property_id AS STRING) END AS street, area_m2 * 1000 AS sale_price
+FROM v_property WHERE property_id % 4 <> 0""")
+def offer_listings(spark, sf):
+    """Listings inside the offers of a page's one item."""
+    rows = view(spark, sf, "v_property").withColumn("page_id", F.floor(F.col("property_id") / 10))
+    plain, held = F.expr(f"to_json({_OFFER})"), F.expr(f"to_json(named_struct('@type', 'ListItem', 'position', 1, 'item', {_OFFER}))")
+    element = F.when(F.col("property_id") % 2 == 0, plain).otherwise(held)
+    pages = rows.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(element)), ",").alias("list"))  # ten elements at most
+    item = F.concat(F.lit('{"@type":"RealEstateListing","offers":{"@type":"AggregateOffer","itemListElement":['), "list", F.lit("]}}"))
+    pages = pages.select("page_id", F.lit(_BASE).alias("url"), F.lit(0).alias("seq"), item.alias("item"))
+    found = listings.portal_rows(listings.offer_items(pages), "CHAVESNAMAO", {"transaction": "SALE"})
+    return found.select("page_id", "url", "source_id", "title", "city", listings.street_or_null(F.col("street")).alias("street"), "sale_price")
 
 
 #: A description for each part, and what it says.

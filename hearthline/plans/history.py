@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import history
+from ..operators.components import shared_folder
+from ..sources import io
 from .registry import query
 from .views import view
 
@@ -104,3 +108,14 @@ FROM p JOIN s ON s.run_id = p.run_id WHERE page_no <= 20 AND (stop IS NULL OR pa
 def run_completeness(spark, sf):
     pages = view(spark, sf, "v_run").selectExpr("scope_id as run_id", "cast(row_number() over (partition by scope_id order by run_day) as int) as page_no", "case when day(run_day) % 11 = 0 then 0 else listings_found end as n_items")
     return history.run_completeness(pages, 20)
+
+
+@query("""SELECT source_code, date_trunc('month', captured_at)::DATE AS month, count(*) AS captures, sum(price) AS total FROM v_snapshot WHERE captured_at >= DATE '1995-02-10' AND captured_at < DATE '1996-03-21' GROUP BY 1, 2""")
+def dated_snapshots(spark, sf):
+    """Captures of two appends, read back for some days: only the folders of their months are opened."""
+    path = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    rows = view(spark, sf, "v_snapshot").select("source_code", "external_id", F.col("captured_at").cast("timestamp").alias("captured_at"), "price")
+    for part in (rows.where("property_id % 2 = 0"), rows.where("property_id % 2 = 1")):
+        io.append_snapshots(part, path, "month")
+    found = io.read_snapshots(spark, path, "1995-02-10", "1996-03-20", "month")
+    return found.groupBy("source_code", F.to_date(F.date_trunc("month", "captured_at")).alias("month")).agg(F.count("*").alias("captures"), F.sum("price").alias("total"))

@@ -10,13 +10,13 @@ from .registry import query
 from .views import table, view
 
 
-@query("SELECT DISTINCT property_id FROM v_listing WHERE source_code = 'src3' AND property_id NOT IN (SELECT property_id FROM v_listing WHERE source_code <> 'src3')")
+@query("SELECT DISTINCT property_id FROM v_listing WHERE source_code <> 'src6' AND property_id NOT IN (SELECT property_id FROM v_listing WHERE source_code = 'src6')")
 def orphans_after_purge(spark, sf):
     rows = view(spark, sf, "v_listing")
-    return maintenance.orphans_after_purge(rows, rows.where("source_code = 'src3'").select(F.col("source_code").alias("code")).distinct())
+    return maintenance.orphans_after_purge(rows, rows.where("source_code <> 'src6'").select(F.col("source_code").alias("code")).distinct())
 
 
-@query("""WITH o AS (SELECT DISTINCT property_id FROM v_listing WHERE source_code = 'src3' AND property_id NOT IN (SELECT property_id FROM v_listing WHERE source_code <> 'src3'))
+@query("""WITH o AS (SELECT DISTINCT property_id FROM v_listing WHERE source_code <> 'src6' AND property_id NOT IN (SELECT property_id FROM v_listing WHERE source_code = 'src6'))
 SELECT 'result' AS name, count(*) AS n FROM v_result WHERE property_id NOT IN (SELECT property_id FROM o) UNION ALL SELECT 'snapshot', count(*) FROM v_snapshot WHERE property_id NOT IN (SELECT property_id FROM o)""")
 def rows_after_purge(spark, sf):
     kept = maintenance.purge_source({"result": (view(spark, sf, "v_result"), "property_id"), "snapshot": (view(spark, sf, "v_snapshot"), "property_id")}, orphans_after_purge(spark, sf))

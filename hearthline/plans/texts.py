@@ -57,13 +57,23 @@ def allowed_hosts(spark, sf):
     return filters.allowed_hosts(pages, hosts).select("page_id", "url")
 
 
-ROBOTS = "User-agent: *\nDisallow: /en/\nAllow: /en/1\n\nUser-agent: otherbot\nDisallow: /\n"
-
-
-@query("""SELECT page_id, CASE WHEN regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) LIKE '/en/1%' THEN TRUE WHEN regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) LIKE '/en/%' THEN FALSE ELSE TRUE END AS allowed FROM pages""")
+_PAGE_HOST = "lower(regexp_extract(url, '^https?://([^/?#:]+)', 1))"
+_PAGE_PATH = "regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1)"
+#: Robots texts that differ by the length of the host's name: its own rules beside those of all, rules of all alone, or none for this agent.
+_RULES = [
+    "User-agent: *\nDisallow: /en/\nAllow: /en/1\n\nUser-agent: otherbot\nDisallow: /\n",
+    "User-agent: *\nDisallow: /\n\nUser-agent: ListingBot\nDisallow: /de/ # german\nDisallow: /fr\nAllow: /fr\n",
+    "User-agent: otherbot\nDisallow: /\n",
+]
+
+
+@query(f"""WITH p AS (SELECT page_id, length({_PAGE_HOST}) % 3 AS k, {_PAGE_PATH} AS path FROM pages)
+SELECT page_id, CASE WHEN k = 0 THEN starts_with(path, '/en/1') OR NOT starts_with(path, '/en/') WHEN k = 1 THEN NOT starts_with(path, '/de/') ELSE TRUE END AS allowed FROM p""")
 def robots_filter(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"))
-    files = pages.select("host").distinct().withColumn("content", F.lit(ROBOTS))
+    kind = F.length("host") % 3
+    content = F.when(kind == 0, _RULES[0]).when(kind == 1, _RULES[1]).otherwise(_RULES[2])
+    files = pages.select("host").distinct().withColumn("content", content)
     return filters.robots_allowed(pages, extract.robots_rules(files), "listingbot/1.0 (+https://x)").select("page_id", "allowed")
 
 

@@ -19,14 +19,43 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int,
     return reader.load()
 
 
+def read_relational(spark: SparkSession, url: str, table: str, column: str, partitions: int, where: str | None = None, **options) -> DataFrame:
+    """A relational table in `partitions` ranges between the least and greatest value of a numeric, date or timestamp column, which the database itself is asked for (one row).
+
+    where: a condition in the database's SQL that bounds and rows share. Filters and columns of what is built upon the result are pushed to the database. Rows without a value of the column come with the first range.
+    """
+    source = f"(SELECT * FROM {table} WHERE {where}) t" if where else table
+    reader = lambda what: spark.read.format("jdbc").options(url=url, dbtable=what, **options)
+    rows = reader(source).load()
+    name = next(c for c in rows.columns if c.lower() == column.lower())  # as the database spells it
+    quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(name)
+    low, high = reader(f"(SELECT min({quoted}) AS low, max({quoted}) AS high FROM {source}) b").load().select(*[F.col(c).cast("string") for c in ("low", "high")]).first()
+    if low is None:  # empty, or no values to part by
+        return rows
+    return reader(source).options(partitionColumn=name, lowerBound=low, upperBound=high, numPartitions=partitions).load()
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines as text (doc): fields are read by path, so no schema is inferred."""
     return spark.read.text(path).select(F.col("value").alias("doc")).where(F.trim("doc") != "")
 
 
-def append_snapshots(payloads: DataFrame, path: str) -> None:
-    """Raw payloads, a folder for each day of capture."""
-    payloads.withColumn("capture_date", F.to_date("captured_at")).write.mode("append").partitionBy("capture_date").parquet(path)
+def append_snapshots(payloads: DataFrame, path: str, by: str = "day") -> None:
+    """Appends raw payloads(captured_at, ...), a folder for each day (or month) of capture. Rows of a folder are brought together first, spread over as many tasks as its rows need, so an append adds few files to each."""
+    dated = payloads.withColumn("capture_date", F.to_date(F.date_trunc(by, "captured_at")))
+    spread = F.pmod(F.xxhash64(*payloads.columns), F.lit(8))
+    dated.repartition("capture_date", spread).write.mode("append").partitionBy("capture_date").parquet(path)
+
+
+def read_snapshots(spark: SparkSession, path: str, first=None, last=None, by: str = "day") -> DataFrame:
+    """Payloads captured from day `first` to day `last`, both included; folders of other days (or months) aren't opened."""
+    rows, day = spark.read.parquet(path), F.to_date("captured_at")
+    floor = lambda d: F.to_date(F.date_trunc(by, F.lit(d).cast("date")))
+    if first is not None:
+        rows = rows.where((F.col("capture_date") >= floor(first)) & (day >= F.lit(first).cast("date")))
+    if last is not None:
+        rows = rows.where((F.col("capture_date") <= floor(last)) & (day <= F.lit(last).cast("date")))
+    return rows.drop("capture_date")
 
 
 def upsert(current: DataFrame, batch: DataFrame, now, order: str = "seq") -> DataFrame:

@@ -59,6 +59,11 @@ def test_query(spark, duck, name):
     kinds = lambda t: {f.name: _kind(f.type) for f in t.schema}
     assert kinds(got) == kinds(want)
     assert _rows(got) == _rows(want)
+    assert got.num_rows or name in FEW, "proves nothing"
+
+
+#: Queries whose rows are too rare for the smallest tables.
+FEW = {"orphans_after_purge"}
 
 
 def test_every_sql_has_a_query():
