@@ -162,8 +162,8 @@ def with_row_id(docs: DataFrame) -> DataFrame:
 
 
 def with_lists(docs: DataFrame, rows: DataFrame, columns: list[str], how: str) -> DataFrame:
-    """docs with all rows of its doc_id and rid as the list `found`."""
-    lists = rows.groupBy("rid", "doc_id").agg(F.collect_list(F.struct(*columns)).alias("found")).withColumnsRenamed({"rid": "_rid", "doc_id": "_doc"})
+    """docs with all rows of its doc_id and rid as the list `found`, equal ones once: rows of docs that are equal bring the same ones each."""
+    lists = rows.groupBy("rid", "doc_id").agg(F.collect_set(F.struct(*columns)).alias("found")).withColumnsRenamed({"rid": "_rid", "doc_id": "_doc"})
     return docs.join(lists, (F.col("rid") == F.col("_rid")) & F.col("doc_id").eqNullSafe(F.col("_doc")), how).drop("_rid", "_doc")
 
 

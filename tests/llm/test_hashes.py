@@ -63,3 +63,27 @@ def test_complements_of_long_strings_are_no_repeats(spark):
     words, others = both("k", "q", 49, " ")
     docs = spark.createDataFrame([(1, f"{noise[0]} {words} {noise[1]}"), (2, f"{noise[2]} {others} {noise[3]}")], "doc_id long, text string")
     assert all(r.n_removed == 0 for r in doubling.digest(docs).collect())
+
+
+def test_equal_rows_carry_what_one_carries(spark, monkeypatch):
+    from hearthline.llm import repeats
+
+    r = random.Random(3)
+    text = " ".join(str(r.randrange(10**6)) for _ in range(300))
+    seen = []
+
+    def count(docs, rows, columns, how, real=repeats.with_lists):
+        out = real(docs, rows, columns, how)
+        seen.append(out.selectExpr("max(size(found))").first()[0] or 0)
+        return out
+
+    for module in (lpf, doubling):
+        monkeypatch.setattr(module, "with_lists", count)
+    for copies in (3, 200):
+        docs = spark.createDataFrame([(1, text)] * copies + [(2, text + " end"), (None, text)], "doc_id long, text string")
+        got = lpf.digest(docs).collect()
+        assert all(x.n_removed == len(text) for x in got) and len(got) == copies + 2
+        kept = doubling.digest(docs).collect()
+        assert len(kept) == copies + 2 and sum(x.n_removed for x in kept) == 300
+    half = len(seen) // 2
+    assert max(seen[half:]) == max(seen[:half])
