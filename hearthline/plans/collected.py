@@ -202,6 +202,44 @@ def document_search(spark, sf):
     return rows.select("search_id", "id", "href", "external", "match_score", "rn")
 
 
+def _collected(spark, sf):
+    """A full run over the pages of two properties of three; what is known of all listings stands in `presence`."""
+    pages = _pages(spark, sf).where("property_id % 3 <> 0").select(F.lit("run").alias("run_id"), "page_id", F.lit(1).alias("page_no"), "url", "html")
+    last = spark.range(1).select(F.lit("run").alias("run_id"), F.lit(-1).cast("bigint").alias("page_id"), F.lit(2).alias("page_no"), F.lit("https://portal.example/").alias("url"), F.lit("<p>none</p>").alias("html"))
+    stored = view(spark, sf, "v_listing")
+    scope = {"scope_id": "all", "source": "portal", "transaction": "SALE", "property_type": "APARTMENT", "city": "nowhere"}
+    presence = stored.selectExpr(
+        "concat('portal-', listing_id) as listing_id", "'all' as scope_id", "cast(property_id % 4 as int) as misses", "'ACTIVE' as status",
+        "if(property_id % 2 = 0, timestamp'2024-01-31 12:00:00', timestamp'2024-01-01 00:00:00') as last_seen_at", "cast(null as timestamp) as inactive_at",
+    )
+    known = stored.selectExpr("'portal' as source_code", "listing_id as external_id", "property_id", "cast(price as double) as price", "true as active")
+    runs = spark.sql("select 'all' scope_id, date'2024-01-01' run_day, 'COMPLETED' status, 2L listings_found")
+    return pipelines.collection_run(pages.union(last), scope, known, view(spark, sf, "v_property"), presence, runs, "2024-02-01", max_pages=1_000_000)
+
+
+_ABSENT = "l.property_id % 4 + 1 >= 3 AND l.property_id % 2 = 1"
+
+
+@query(f"""SELECT 'portal-' || l.listing_id AS listing_id, CAST(CASE WHEN l.property_id % 3 <> 0 THEN 0 ELSE l.property_id % 4 + 1 END AS INT) AS misses, CASE WHEN l.property_id % 3 <> 0 THEN 'ACTIVE' WHEN {_ABSENT} THEN 'INACTIVE' ELSE 'STALE' END AS status,
+  l.property_id % 3 = 0 AND {_ABSENT} AS inactivated FROM {_JOINED}""")
+def collection_presence(spark, sf):
+    """Who was seen in a run, who was missed, and which listings went."""
+    out = _collected(spark, sf)
+    gone = out["inactivated"].select("listing_id").withColumn("inactivated", F.lit(True))
+    return out["presence"].join(gone, "listing_id", "left").select("listing_id", "misses", "status", F.coalesce("inactivated", F.lit(False)).alias("inactivated"))
+
+
+@query(f"""SELECT 'COMPLETED' AS status, TRUE AS complete, count(*) AS listings_found, count(*) AS snapshots, CAST(0 AS BIGINT) AS rejected, CAST(0 AS BIGINT) AS reviews, count(*) AS documents FROM {_JOINED} WHERE l.property_id % 3 <> 0""")
+def collection_summary(spark, sf):
+    """A run's status and what it wrote."""
+    out = _collected(spark, sf)
+    n = lambda name: out[name].agg(F.count("*").alias(name))
+    row = out["run"].select("status", "complete", F.col("listings_found").cast("bigint").alias("listings_found"))
+    for name in ("snapshots", "rejected", "reviews", "documents"):
+        row = row.join(F.broadcast(n(name)), F.lit(True))  # one row each
+    return row
+
+
 @query(f"""WITH c AS (SELECT l.listing_id, l.property_id FROM {_JOINED} WHERE l.property_id % 2 = 0)
 SELECT listing_id AS external_id, property_id, 'PRICE_CHANGED' AS event_type FROM c WHERE property_id % 4 = 0 UNION ALL SELECT listing_id, property_id, 'LISTING_REACTIVATED' FROM c WHERE property_id % 6 = 0""")
 def collection_events(spark, sf):

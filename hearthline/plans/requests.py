@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import enums, keys
 from ..operators import index, maintenance, requests, search
+from . import pipelines
 from .registry import query
 from .views import view
 
@@ -129,6 +130,23 @@ def outbox_batch(spark, sf):
     return index.pending(view(spark, sf, "v_outbox")).select("outbox_id", "document_id", "status", "attempts")
 
 
+@query("""WITH o AS (SELECT l.*, p.title, property_id * 7 + CAST(substring(source_code, 4) AS BIGINT) AS outbox_id, CASE property_id % 3 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'FAILED' ELSE 'PENDING' END AS status, property_id % 7 AS attempts FROM v_listing l JOIN v_property p USING (property_id)),
+d AS (SELECT * FROM o WHERE status IN ('PENDING', 'FAILED') AND attempts < 5 ORDER BY captured_at, outbox_id LIMIT 50)
+SELECT listing_id AS id, title, price, CASE WHEN active THEN 'ACTIVE' ELSE 'INACTIVE' END AS status, '' AS violations FROM d WHERE property_id % 5 <> 0
+UNION ALL SELECT listing_id, title, price, CASE WHEN active THEN 'ACTIVE' ELSE 'INACTIVE' END, 'url' FROM o WHERE property_id % 5 = 0""")
+def index_projection(spark, sf):
+    """From the outbox to documents: the valid ones among the oldest pending rows, and all that break a rule."""
+    place = view(spark, sf, "v_property").select("property_id", "title", "property_type", "transaction_type", "city", F.substring("state", 1, 2).alias("state"), "neighborhood", "bedrooms", "area_m2")
+    rows = view(spark, sf, "v_listing").join(place, "property_id").withColumn("url", F.when(F.col("property_id") % 5 != 0, F.col("url")))
+    status = F.when(F.col("property_id") % 3 == 0, "COMPLETED").when(F.col("property_id") % 3 == 1, "FAILED").otherwise("PENDING")
+    number = F.expr("property_id * 7 + cast(substring(source_code, 4) as bigint)")
+    outbox = rows.select(number.alias("outbox_id"), F.col("listing_id").alias("document_id"), status.alias("status"), (F.col("property_id") % 7).cast("int").alias("attempts"), F.col("captured_at").alias("created_at"))
+    valid, broken = pipelines.index_projection(rows, outbox)
+    price = lambda at: F.coalesce(f"{at}sale_price", f"{at}rental_price")
+    valid = valid.select("id", "structData.title", price("structData.").alias("price"), "structData.status", F.lit("").alias("violations"))
+    return valid.union(broken.select("id", "title", price(""), "status", F.array_join("violations", ",")))
+
+
 @query("SELECT status, count(*) AS n FROM v_psearch GROUP BY status")
 def queue_status_counts(spark, sf):
     return maintenance.status_counts(view(spark, sf, "v_psearch"))

@@ -83,6 +83,13 @@ def html_cards(spark, sf):
     return extract.page_items(table(spark, sf, "pages"), "HTML", selectors)
 
 
+@query("""SELECT page_id, i - 1 AS seq, titles[i] AS title, regexp_extract(url, '^(https?://[^/?#]+)', 1) || hrefs[i] AS url FROM (SELECT page_id, url, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1) AS hrefs, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) AS titles FROM pages) t, UNNEST(range(1, len(hrefs) + 1)) AS u(i)""")
+def link_cards(spark, sf):
+    """A card for each entry of the pages' lists, by selectors: a field's text and another's attribute."""
+    rows = extract.page_items(table(spark, sf, "pages"), "HTML", {"card": "li", "title": "a", "url": {"selector": "a[href]", "attribute": "href"}})
+    return rows.select("page_id", "seq", F.get_json_object("item", "$.title").alias("title"), F.get_json_object("item", "$.url").alias("url"))
+
+
 @query("SELECT page_id, trim(regexp_extract(html, '<h1>(.*?)</h1>', 1)) <> '' AS has_title FROM pages")
 def page_titles(spark, sf):
     rows = extract.page_items(table(spark, sf, "pages"), "HTML", {"card": "h1", "title": ":scope"}).groupBy("page_id").agg(F.bool_or(F.get_json_object("item", "$.title").isNotNull()).alias("t"))
