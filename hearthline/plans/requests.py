@@ -147,6 +147,27 @@ def index_projection(spark, sf):
     return valid.union(broken.select("id", "title", price(""), "status", F.array_join("violations", ",")))
 
 
+@query("""WITH c AS (SELECT s.search_id, c.*, row_number() OVER (PARTITION BY s.search_id, c.source ORDER BY c.id) AS place FROM v_result r JOIN v_query s ON s.search_id = r.search_id JOIN v_collector c ON c.id // 7 = r.property_id AND lower(c.city) = lower(s.city)
+  WHERE (s.property_type IS NULL OR c.property_type = s.property_type) AND coalesce(c.bedrooms, 0) >= s.bedrooms_min AND (s.area_min IS NULL OR (c.usable_area IS NOT NULL AND c.usable_area >= s.area_min))
+  AND (CASE WHEN s.transaction_type = 'RENT' THEN c.rental_price ELSE c.sale_price END) BETWEEN s.price_min AND s.price_max),
+d AS (SELECT *, row_number() OVER (PARTITION BY search_id, street, neighborhood, property_type, usable_area, bedrooms, bathrooms, parking_spaces, sale_price IS NULL ORDER BY id) AS nth FROM c WHERE place <= 6)
+SELECT search_id, id AS property_id FROM d WHERE nth = 1 OR (usable_area IS NULL AND bedrooms IS NULL)""")
+def portal_links(spark, sf):
+    """An on-demand search over all portals: what the stated searches link after caps and copies across portals."""
+    asked = view(spark, sf, "v_query").select(
+        "search_id", "city", "state", F.lit(None).cast("string").alias("neighborhood"), "property_type", F.col("transaction_type").alias("transaction"), F.col("bedrooms_min").alias("bedrooms"), F.col("area_min").alias("min_area"),
+        F.lit(None).cast("double").alias("max_area"), F.col("price_min").alias("min_price"), F.col("price_max").alias("max_price"),
+    )
+    none = F.lit(None)
+    rows = view(spark, sf, "v_collector").withColumns({"description": none.cast("string"), "suites": none.cast("int")}).drop("status", "updated_at")
+    results = view(spark, sf, "v_result").join(asked.select("search_id"), "search_id", "left_semi")
+    collected = rows.join(results.withColumnRenamed("property_id", "_property"), F.floor(F.col("id") / 7) == F.col("_property")).drop("_property").withColumn("seq", F.col("id"))
+    seen = {c: F.lit("2024-01-01").cast("timestamp") for c in ("first_seen_at", "created_at", "last_seen_at", "updated_at")}
+    stored = rows.where("source <> 'src6'").withColumns({"status": F.lit("ACTIVE"), **seen})
+    links = spark.createDataFrame([], "search_id long, property_id long")
+    return pipelines.portal_results(asked, collected, stored, links, "2024-02-01")["links"].select("search_id", "property_id")
+
+
 @query("SELECT status, count(*) AS n FROM v_psearch GROUP BY status")
 def queue_status_counts(spark, sf):
     return maintenance.status_counts(view(spark, sf, "v_psearch"))
