@@ -84,6 +84,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: Hashes are polynomials modulo this prime: modulo a power of two, sequences exist that agree whatever the base.
 _PRIME = np.uint64((1 << 61) - 1)
+#: Values whose sums are made in one go.
+_BLOCK = 1 << 16
 _LOW31, _LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
 
 
@@ -121,18 +123,21 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(values: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """Prefix sums of (values + 1) * base**i modulo the prime; see spans_hash."""
+    """Prefix sums of (values + 1) * base**i modulo the prime; see spans_hash. In blocks, so that what is held besides the sums is small."""
     n = len(values)
-    power = _power(base, n + 1)[0][:n]
-    if values.dtype == np.uint8 and n <= 1 << 23:  # halves can be summed as they are
-        value = values.astype(np.uint64) + np.uint64(1)
-        low, high = value * (power & _LOW31), value * (power >> np.uint64(31))
-    else:
-        terms = _times(_reduce(_reduce(values.astype(np.uint64)) + np.uint64(1)), power)
-        low, high = terms & _LOW31, terms >> np.uint64(31)
-    high = _reduce(np.cumsum(high, out=high))
+    power = _power(base, n + 1)[0]
     out = np.zeros(n + 1, np.uint64)
-    out[1:] = _reduce((((high << np.uint64(31)) & _PRIME) | (high >> np.uint64(30))) + _reduce(np.cumsum(low, out=low)))
+    for a in range(0, n, _BLOCK):
+        value, p = values[a : a + _BLOCK].astype(np.uint64), power[a : min(a + _BLOCK, n)]
+        if values.dtype == np.uint8:  # halves can be summed as they are
+            value += np.uint64(1)
+            low, high = value * (p & _LOW31), value * (p >> np.uint64(31))
+        else:
+            terms = _times(_reduce(_reduce(value) + np.uint64(1)), p)
+            low, high = terms & _LOW31, terms >> np.uint64(31)
+        high = _reduce(np.cumsum(high, out=high))
+        sums = _reduce((((high << np.uint64(31)) & _PRIME) | (high >> np.uint64(30))) + _reduce(np.cumsum(low, out=low)))
+        out[a + 1 : a + 1 + len(p)] = _reduce(sums + out[a])
     return out
 
 

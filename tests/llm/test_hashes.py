@@ -21,7 +21,8 @@ def both(a: str, b: str, n: int, joint: str = "") -> tuple[str, str]:
     return joint.join((a, b)[i] for i in t), joint.join((b, a)[i] for i in t)
 
 
-def test_arithmetic_is_that_of_whole_numbers():
+def test_arithmetic_is_that_of_whole_numbers(monkeypatch):
+    monkeypatch.setattr(arrays, "_BLOCK", 64)
     r = random.Random(1)
     x = [0, 1, PRIME - 1, *(r.randrange(PRIME) for _ in range(500))]
     y = [PRIME - 1, PRIME - 1, PRIME - 1, *(r.randrange(PRIME) for _ in range(500))]
