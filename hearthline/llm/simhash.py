@@ -10,9 +10,11 @@ fingerprints, and each pair of blocks is a group of its own, so no task holds mo
 numpy and returns no pairs but a forest of links that connects the same fingerprints, so results grow with the members. Components
 follow by checkpointed star steps over all links.
 
-`deduplicate()` works on texts: the fingerprints of their sets of words (those of shingles are too far apart for texts that share four fifths of their five-word
-shingles) find for each text, in each group, the nearest text of a smaller doc_id; that pair counts if their sets of five-word shingles have a
-Jaccard similarity of at least 0.8, computed exactly from the whole texts.
+`deduplicate()` works on texts. Fingerprints of their sets of words are the index (those of shingles are too far apart for texts that share four fifths of their
+five-word shingles). In a group, a text's candidates are the texts of a smaller doc_id within the radius, with as many shingles as the similarity asks
+for, and with fingerprints of shingle sets within `SHINGLE_RADIUS`, nearest first. A pair counts if the sets of five-word shingles have a
+Jaccard similarity of at least 0.8, computed exactly from the whole texts. All candidates are verified in rounds: the nearest of each group, then, for texts without a
+match that have more, the next 7, 56, 448, ... until a match is found or none is left.
 
 Defined results: null, empty or blank texts have fingerprint zero and link with what is within the radius of it; repeated rows get a row
 each, with their doc_id's smallest reachable id; null doc_ids get a fingerprint and the component of the others that reach them (null
@@ -36,7 +38,13 @@ from .store import cut, staged
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: deduplicate(): bits that fingerprints of word sets may differ in, words of a shingle, and least Jaccard similarity.
 WORD_RADIUS, WORDS, SIMILARITY = 8, 5, 0.8
+#: Bits that fingerprints of shingle sets of similarity 0.8 may differ in: 10 on average, 3 standard deviation (12 and 3 in sets of five); unlike sets differ in 32, 4.
+SHINGLE_RADIUS = 24
 BLOCK = 2048
+#: The same where all near pairs of a group are ranked.
+RANKED_BLOCK = 1024
+#: By what the candidates of a text grow from round to round.
+GROWTH = 8
 #: Bytes of text whose word and shingle hashes are laid out at once.
 CHUNK = 1 << 18
 #: Rows of (doc_id, list of text hashes) that are broadcast at most, about 50 bytes each; more are joined by a shuffle.
@@ -140,37 +148,47 @@ def _near_pairs(group: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int
     return np.concatenate(lefts), np.concatenate(rights)
 
 
-def _linked(ids: np.ndarray, fp: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _linked(rows: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> list[np.ndarray]:
     """Rows (id, id) that connect what the pairs link."""
+    ids = rows["id"]
     label = _forest(left, right, len(ids))
     moved = np.flatnonzero(label != np.arange(len(ids)))
-    return np.column_stack((ids[moved], ids[label[moved]]))
+    return [ids[moved], ids[label[moved]]]
 
 
-def _nearest(ids: np.ndarray, fp: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Rows (id, smaller id): the nearest of those smaller ids that are paired with each; ids rise within a group."""
-    far = np.bitwise_count(fp[left] ^ fp[right]).astype(np.int64)
-    order = np.lexsort((ids[left], far, right))
-    left, right = left[order], right[order]
-    first = np.ones(len(right), bool)
-    first[1:] = right[1:] != right[:-1]
-    return np.column_stack((ids[right[first]], ids[left[first]]))
+def _ranked(start: int, stop: int, similarity: float):
+    """Rows (id, smaller id, beyond): candidates of each live id from rank `start` to `stop` by distance of shingles; beyond marks one that stands behind these. Ids rise within a group."""
 
+    def choose(rows: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> list[np.ndarray]:
+        x, y = rows["size"][left], rows["size"][right]
+        far = np.bitwise_count(rows["shingle_fp"][left] ^ rows["shingle_fp"][right])
+        fine = (rows["live"][right] > 0) & (far <= SHINGLE_RADIUS) & (np.minimum(x, y) >= similarity * np.maximum(x, y))
+        left, right, far = left[fine], right[fine], far[fine]
+        order = np.lexsort((left, far, right))
+        left, right = left[order], right[order]
+        new = np.ones(len(right), bool)
+        new[1:] = right[1:] != right[:-1]
+        rank = np.arange(len(right)) - np.maximum.accumulate(np.where(new, np.arange(len(right)), 0))
+        out = (rank >= start) & (rank <= stop)
+        return [rows["id"][right[out]], rows["id"][left[out]], rank[out] == stop]
 
-def _compare(radius: int, segments: list[tuple[int, int]], choose):
+    return choose
+
+
+def _compare(radius: int, segments: list[tuple[int, int]], columns: list[str], names: list[str], choose):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
-        def emit(rows: np.ndarray) -> pa.RecordBatch:
-            fp = rows[:, 1].view(np.uint64) if rows.flags.f_contiguous else np.ascontiguousarray(rows[:, 1]).view(np.uint64)
-            out = choose(rows[:, 2], fp, *_near_pairs(rows[:, 0], fp, rows[:, 3], radius, segments))
-            return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+        def emit(table: np.ndarray) -> pa.RecordBatch:
+            rows = dict(zip(columns, np.ascontiguousarray(table.T), strict=True))
+            out = choose(rows, *_near_pairs(rows["unit"], rows["fp"].view(np.uint64), rows["side"], radius, segments))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.column_stack([batch.column(c).to_numpy() for c in ("unit", "fp", "id", "side")]).astype(np.int64)
+            rows = np.column_stack([batch.column(c).to_numpy() for c in columns]).astype(np.int64)
             held.append(rows)
             size += len(rows)
             if size >= 4 * BLOCK:
@@ -185,8 +203,8 @@ def _compare(radius: int, segments: list[tuple[int, int]], choose):
     return run
 
 
-def _met(nodes: DataFrame, radius: int, shared: int, block: int, choose) -> DataFrame:
-    """(a, b): what `choose` makes of the near pairs among nodes(fp, id), group by group."""
+def _met(nodes: DataFrame, radius: int, shared: int, block: int, choose, schema: str = "a bigint, b bigint") -> DataFrame:
+    """(a, b, ...): what `choose` makes of the near pairs among nodes(fp, id, ...), group by group; of keys without a live node nothing, where nodes tell."""
     segments, keys = ring(radius, shared), []
     choices = list(combinations(segments, shared))
     for t, chosen in enumerate(choices):
@@ -194,17 +212,18 @@ def _met(nodes: DataFrame, radius: int, shared: int, block: int, choose) -> Data
         for a, w in chosen:
             part = part * (1 << w) + F.shiftrightunsigned("fp", a).bitwiseAND((1 << w) - 1)
         keys.append(part * len(choices) + t)
-    table = nodes.select(F.explode(F.array(*keys)).alias("key"), "fp", "id")
-    sizes = table.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    table = nodes.select(F.explode(F.array(*keys)).alias("key"), *nodes.columns)
+    live = F.max("live") if "live" in nodes.columns else F.lit(1)
+    sizes = table.groupBy("key").agg(F.count("*").alias("n"), live.alias("any")).where("n > 1 and any > 0").drop("any")
     table = table.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    units = table.select("key", "fp", "id", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")).select(
+    units = table.select("key", *nodes.columns, "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")).select(
         F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
-        "fp",
-        "id",
+        *nodes.columns,
         F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).cast("bigint").alias("side"),
     )
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return units.repartition(n, "unit").sortWithinPartitions("unit", "id").mapInArrow(_compare(radius, segments, choose), "a bigint, b bigint")
+    names = [x.split()[0] for x in schema.split(", ")]
+    return units.repartition(n, "unit").sortWithinPartitions("unit", "id").mapInArrow(_compare(radius, segments, units.columns, names, choose), schema)
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK, shared: int = 2) -> DataFrame:
@@ -244,11 +263,24 @@ def _text_hashes(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return arrays.spans_hash(arrays.window_prefix(words), first[:-1], first[1:], arrays._STEP).view(np.int64)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for chunk in arrays.chunks(batches, size=CHUNK):
-        words, first = _words(*arrays.utf8(chunk.column("text")))
-        fps = [_set_fingerprint(np.unique(words[a:b])) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(_text_hashes(words, first)), pa.array(fps, pa.int64())], names=["doc_id", "tid", "fp"])
+def _shingles(prefix, a: int, b: int, size: int) -> np.ndarray:
+    """The set of hashes of the shingles of words a to b; fewer words than `size` are one shingle."""
+    k = min(size, b - a)
+    return np.unique(arrays.window_hash(prefix, np.arange(a, b - k + 1), k)) if k else np.zeros(0, np.uint64)
+
+
+def _signatures(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in arrays.chunks(batches, size=CHUNK):
+            words, first = _words(*arrays.utf8(chunk.column("text")))
+            prefix, signs = arrays.window_prefix(words), []
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                shingles = _shingles(prefix, a, b, size)
+                signs.append((_set_fingerprint(np.unique(words[a:b])), _set_fingerprint(shingles), len(shingles)))
+            columns = [pa.array(x, pa.int64()) for x in (zip(*signs, strict=True) if signs else [()] * 3)]
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(_text_hashes(words, first)), *columns], names=["doc_id", "tid", "fp", "shingle_fp", "size"])
+
+    return run
 
 
 def _shingle_sets(size: int):
@@ -259,10 +291,8 @@ def _shingle_sets(size: int):
             keep, sets = [], []
             for i, wanted in enumerate(chunk.column("tids").to_pylist()):
                 if int(tids[i]) in wanted:
-                    a, b = int(first[i]), int(first[i + 1])
-                    k = min(size, b - a)
                     keep.append(i)
-                    sets.append(np.unique(arrays.window_hash(prefix, np.arange(a, b - k + 1), k)).view(np.int64) if k else np.zeros(0, np.int64))
+                    sets.append(_shingles(prefix, int(first[i]), int(first[i + 1]), size).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(tids[keep]), pa.array(sets, pa.list_(pa.int64()))], names=["tid", "shingles"])
 
     return run
@@ -279,21 +309,35 @@ def _fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
-def near_texts(docs: DataFrame, signed: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY, radius: int = WORD_RADIUS) -> DataFrame:
-    """(tid): hashes of texts that are near copies of a text of a smaller least doc_id. signed: (doc_id, tid, fp) of docs."""
-    nodes = cut(signed.groupBy("tid", "fp").agg(F.min("doc_id").alias("least")).where("least is not null").groupBy("least").agg(F.min(F.struct("tid", "fp")).alias("t")).select(F.col("least").alias("id"), "t.tid", "t.fp"))
-    n = nodes.count()
-    # more segments in common make longer keys and more tables; the pairs that are found don't depend on it
-    shared = next((k for k in (2, 3) if n <= BLOCK * 2 ** (64 * k // (radius + k))), 4)
-    pairs = cut(_met(nodes.select("fp", "id"), radius, shared, BLOCK, _nearest).distinct())
+def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(id): the ids a of pairs(a, b) whose texts have a Jaccard similarity of at least `similarity`."""
     wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(nodes, "id").select(F.col("id").alias("doc_id"), F.array("tid").alias("tids")))
     sets = _with(docs.select("doc_id", "text"), wanted, "inner").select("text", "tids").mapInArrow(_shingle_sets(shingle), "tid bigint, shingles array<bigint>").dropDuplicates(["tid"])
-    sets = staged(sets.join(nodes.select("id", "tid"), "tid").select("id", "tid", "shingles"))
-    left, right = sets.select(F.col("id").alias("a"), "tid", F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    sets = staged(sets.join(nodes.select("id", "tid"), "tid").select("id", "shingles"))
+    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
-    both = pairs.join(left, "a").join(right, "b").where((small >= similarity * large) & (common >= similarity * (F.size("x") + F.size("y") - common)))
-    return both.select("tid").distinct()
+    both = pairs.join(left, "a").join(right, "b").where(common >= similarity * (F.size("x") + F.size("y") - common))
+    return both.select(F.col("a").alias("id")).distinct()
+
+
+def near_texts(docs: DataFrame, signed: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY, radius: int = WORD_RADIUS, block: int = RANKED_BLOCK) -> DataFrame:
+    """(tid): hashes of texts that are near copies of a text of a smaller least doc_id. signed: (doc_id, tid, fp, shingle_fp, size) of docs."""
+    texts = signed.groupBy("tid", "fp", "shingle_fp", "size").agg(F.min("doc_id").alias("least")).where("least is not null")
+    nodes = cut(texts.groupBy("least").agg(F.min(F.struct("tid", "fp", "shingle_fp", "size")).alias("t")).select(F.col("least").alias("id"), "t.*"))
+    n = nodes.count()
+    # more segments in common make longer keys and more tables; all pairs within the radius have them, so the candidates don't depend on it
+    shared = next((k for k in (2, 3) if n <= BLOCK * 2 ** (64 * k // (radius + k))), 4)
+    entries, found = nodes.select("fp", "id", "shingle_fp", "size"), nodes.select("id").where("false")
+    live, start, stop = None, 0, 1
+    while True:
+        marked = entries.withColumn("live", F.lit(1).cast("bigint")) if live is None else entries.join(live.withColumn("mark", F.lit(1).cast("bigint")), "id", "left").select(*entries.columns, F.coalesce("mark", F.lit(0).cast("bigint")).alias("live"))
+        met = cut(_met(marked, radius, shared, block, _ranked(start, stop, similarity), "a bigint, b bigint, beyond boolean").distinct())
+        new = cut(_similar(docs, nodes, met.where("not beyond").select("a", "b"), shingle, similarity))
+        found = found.union(new)
+        live = cut(met.where("beyond").select(F.col("a").alias("id")).distinct().join(new, "id", "left_anti"))
+        if live.isEmpty():
+            return nodes.join(found, "id", "left_semi").select("tid").distinct()
+        start, stop = stop, GROWTH * stop
 
 
 def deduplicate(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY, radius: int = WORD_RADIUS) -> DataFrame:
@@ -302,7 +346,7 @@ def deduplicate(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMIL
     Texts of the same lower-cased words are copies, empty ones too; of those and of equal rows under one id, one stays. An id that comes with several texts
     stands for the one of the least hash in the search for near copies. Rows with a null id stay, unless a text of an id is the same.
     """
-    signed = cut(docs.select("doc_id", "text").mapInArrow(_signatures, "doc_id bigint, tid bigint, fp bigint"))
+    signed = cut(docs.select("doc_id", "text").mapInArrow(_signatures(shingle), "doc_id bigint, tid bigint, fp bigint, shingle_fp bigint, size bigint"))
     near = near_texts(docs, signed, shingle, similarity, radius)
     named = signed.where("doc_id is not null").select("doc_id", "tid")
     stay = named.groupBy("tid").agg(F.min("doc_id").alias("doc_id")).join(near, "tid", "left_anti").withColumn("stays", F.lit(True))

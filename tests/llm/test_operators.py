@@ -470,6 +470,36 @@ def test_near_copies_go(spark):
     assert rows_of(more.select("doc_id", "text")) == order([(None, "x y"), (None, "x y"), (1, "a b"), (1, "c d")])
 
 
+def test_near_copies_behind_nearer_texts_go(spark):
+    r = random.Random(21)
+    words = [f"w{k}" for k in range(150)]
+    first = [r.choice(words) for _ in range(300)]
+    near = first[:]
+    for at in r.sample(range(2, 298), 4):
+        near[at] = f"new{at}"
+    shuffled = near[:]
+    r.shuffle(shuffled)  # the same words, so the nearest by words, and no copy
+    rows = [(1, " ".join(first)), (2, " ".join(shuffled)), (3, " ".join(near))]
+    for g in range(1, 7):  # forty texts just below the similarity stand beside one above it
+        last = [r.choice(words) + r.choice("abcd") for _ in range(200)]
+        for k in range(41):
+            other = last[:]
+            start = r.randint(5, 20)
+            for at in [start + 44 * j for j in range(4)] if k == 20 else [start + 36 * j for j in range(5)]:
+                other[at] = f"new{g}x{k}x{at}"
+            rows.append((100 * g + k, " ".join(other)))
+        rows.append((100 * g + 99, " ".join(last)))
+    df = frame(spark, rows)
+    signed = df.mapInArrow(simhash._signatures(5), "doc_id bigint, tid bigint, fp bigint, shingle_fp bigint, size bigint")
+    signs = {x.doc_id: x for x in signed.collect()}
+    far = lambda i, j: ((signs[i].fp ^ signs[j].fp) & (2**64 - 1)).bit_count()
+    similar = {(i, j) for i, t in rows for j, u in rows if j < i and jaccard(t, u) >= 0.8}
+    gone = {i for i, j in similar if far(i, j) <= simhash.WORD_RADIUS}  # one of the seven is 9 bits off, so not in the index
+    assert len({i for i, _ in similar}) == 7 and len(gone) == 6
+    assert {x.doc_id for x in simhash.deduplicate(df).collect()} == {i for i, _ in rows} - gone
+    assert {x.tid for x in simhash.near_texts(df, signed, block=7).collect()} == {signs[i].tid for i in gone}
+
+
 @pytest.mark.parametrize("block", [2048, 5])
 def test_simhash_links_connect_like_all_pairs(spark, block):
     r = random.Random(3)
