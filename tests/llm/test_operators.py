@@ -251,6 +251,16 @@ def test_scores(spark, corpus):
     assert mixing.score_documents(frame(spark, [])).count() == 0
 
 
+def test_scores_whatever_the_partitions(spark):
+    r = random.Random(8)
+    rows = [(i, prose(r, r.randint(0, 120))) for i in range(150)] + [(7, "the same row " * 9)] * 30
+    rows += [(200, f"{'x' * 200} y"), (201, f"{'x' * 200} y"), (202, None)]
+    one, other = ({(x.doc_id, x.n_tokens): (x.score, x.base_score) for x in mixing.score_documents(frame(spark, part).repartition(n)).collect()} for part, n in ((rows, 1), (rows[::-1], 7)))
+    assert one.keys() == other.keys()
+    for k, (score, base) in one.items():
+        assert abs(score - other[k][0]) <= 1e-5 * abs(score) and abs(base - other[k][1]) <= 1e-9 * abs(base)
+
+
 def _model(texts, vocabulary=100):
     """Codes, slot bits, packed table and a trained mixer from texts alone, without Spark."""
     import pyarrow as pa
