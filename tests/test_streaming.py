@@ -121,3 +121,27 @@ def test_hourly_volume(spark, tmp_path):
     want = captures.groupBy("source_code", F.date_trunc("hour", "captured_at").alias("hour")).agg(F.count("*").alias("captures"))
     want = [r for r in want.collect() if (last - r.hour).total_seconds() >= 3 * 3600]
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+
+
+def test_events_and_alerts_by_batches(spark, tmp_path):
+    """Micro-batches of captures and beats give what one batch of all gives, without Python for each key; a batch that runs again changes nothing."""
+    from hearthline.streaming import jobs
+
+    captures = spark.sql("select concat('s', id % 3) source_code, cast(id % 7 as string) external_id, timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id as int)) captured_at, if(id % 11 = 0, null, cast(id % 4 as decimal(14,2))) price, id % 5 <> 0 active from range(200)")
+    apply = jobs.capture_events_to(spark, f"{tmp_path}/t", f"{tmp_path}/e", 4)
+    for k, where in enumerate(("day(captured_at) < 20 and month(captured_at) = 1", "month(captured_at) between 1 and 2 and not (day(captured_at) < 20 and month(captured_at) = 1)", "month(captured_at) > 2")):
+        apply(captures.where(where), k)
+        apply(captures.where(where), k)
+    got = spark.read.parquet(f"{tmp_path}/e").drop("batch")
+    assert sorted(map(str, got.collect())) == sorted(map(str, jobs.batch_events(captures).collect())) and got.count()
+    apply(captures.where("month(captured_at) = 1"), 3)  # all older than what is known
+    assert spark.read.parquet(f"{tmp_path}/e").where("batch = 3").count() == 0
+
+    alerts = jobs.stale_alerts_to(spark, f"{tmp_path}/b", f"{tmp_path}/a", 30, 1, 4)
+    beats = lambda *rows: spark.createDataFrame(rows, "search_id long, minute int, status string").selectExpr("search_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, minute) beat_at", "status")
+    alerts(beats((1, 0, "RUNNING"), (2, 0, "RUNNING"), (3, 5, "RUNNING"), (9, 20, "RUNNING")), 0)
+    alerts(beats((2, 10, "COMPLETED"), (9, 33, "RUNNING")), 1)  # event time 32: search 1 is due, 2 is done
+    alerts(beats((1, 34, "RUNNING"), (9, 70, "RUNNING")), 2)  # event time 69: 3 is due, 1 beats again and is due again
+    alerts(beats((9, 71, "RUNNING")), 3)
+    found = spark.read.parquet(f"{tmp_path}/a").selectExpr("batch", "search_id", "minute(last_beat)").collect()
+    assert sorted(map(tuple, found)) == [(1, 1, 0), (2, 1, 34), (2, 3, 5)]
