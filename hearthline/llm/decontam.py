@@ -30,6 +30,8 @@ from .store import staged
 WINDOW = 10
 #: Words of the benchmark that are held in a task at once (about 40 bytes each).
 BLOCK_WORDS = 2_000_000
+#: Bytes of a shard in decontaminate(): its workers hold less, as they serve other stages too.
+SHARD = 1 << 19
 
 _MATCH = "array<struct<start: bigint, end: bigint, item_id: string, item_word: bigint, length: bigint>>"
 
@@ -264,7 +266,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     def keeps(items: Broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bench = _loaded(items, window)
-            for chunk in arrays.chunks(batches):
+            for chunk in arrays.chunks(batches, size=SHARD):
                 _, found = bench.matches(*arrays.utf8(chunk.column("text")))
                 clean = np.ones(chunk.num_rows, bool)
                 clean[found[:, 0]] = False

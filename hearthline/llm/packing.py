@@ -69,7 +69,7 @@ class WordTokenizer:
         ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             ends[i] = token.endswith("</w>")
-        self.ends, self.cache = ends, _Cache()
+        self.ends, self.cache, self.most = ends, _Cache(), CACHED_WORDS
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -104,11 +104,14 @@ class WordTokenizer:
         for w in tailed:
             self.cache[w] = self.cache[w[:-1]] + self.cache[w[-1]]
 
+    def trim(self) -> None:
+        if len(self.cache) > self.most:
+            self.cache.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         cache, again, odd = self.cache, [], []
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
+        self.trim()
         look = cache.__getitem__
         for i, text in enumerate(texts):
             if any(c in text for c in _ODD):
@@ -146,11 +149,12 @@ def tokenizer(name_or_path: str) -> WordTokenizer:
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, copy bigint"
 
 
-def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, cached_words: int = CACHED_WORDS) -> DataFrame:
     """Per document full windows and a rest: doc_id, start, length, ids_crc32, doc_tokens; copy: a number that parts rows of one doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(vocabulary).encode
+        words = tokenizer(vocabulary)
+        words.most, encode = cached_words, words.encode
         end = np.array([END_ID], "<u4").tobytes()
         seen = 0
         for batch in batches:
@@ -163,6 +167,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW)
                     rows += [(doc, a, min(window, total - a), zlib.crc32(raw[4 * a : 4 * (a + window)]), total, seen) for a in range(0, total, window)]
                     seen += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "copy"])
+        words.trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, _PIECES)
 
@@ -263,9 +268,9 @@ def seats(chosen: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["class", "low", "high", "sequence", "seat"])
 
 
-def pack(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, classes: int = CLASSES, depth: int = DEPTH) -> DataFrame:
-    """The op3 rows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    cells = cut(pieces(docs, vocabulary, window))
+def pack(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, classes: int = CLASSES, depth: int = DEPTH, cached_words: int = CACHED_WORDS) -> DataFrame:
+    """The op3 rows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. cached_words: what a Python worker keeps of words with their ids."""
+    cells = cut(pieces(docs, vocabulary, window, cached_words))
     width = window // classes
     full, rests = cells.where(F.col("length") == window), cells.where(F.col("length") < window)
     buckets = max(16, docs.sparkSession.sparkContext.defaultParallelism * 4)

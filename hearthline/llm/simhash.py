@@ -12,9 +12,10 @@ follow by checkpointed star steps over all links.
 
 `deduplicate()` works on texts. Fingerprints of their sets of words are the index (those of shingles are too far apart for texts that share four fifths of their
 five-word shingles). In a group, a text's candidates are the texts of a smaller doc_id within the radius, with as many shingles as the similarity asks
-for, and with fingerprints of shingle sets within `SHINGLE_RADIUS`, nearest first. A pair counts if the sets of five-word shingles have a
-Jaccard similarity of at least 0.8, computed exactly from the whole texts. All candidates are verified in rounds: the nearest of each group, then, for texts without a
-match that have more, the next 7, 56, 448, ... until a match is found or none is left.
+for, and with fingerprints of shingle sets within `SHINGLE_RADIUS`, nearest first; a pair counts in the first bucket alone that it shares. A pair counts if the sets of five-word
+shingles have a Jaccard similarity of at least 0.8, computed exactly from the whole texts. All candidates are verified in the end. Each bucket goes through one shuffle, in blocks that are compared with
+themselves and give each text's `FIRST` nearest (`FEW` if the nearest is as good as a match); these are verified nearest first, until a match is found. Only texts without a match that have more behind those, or stand in a bucket
+of several blocks, go on in rounds through the index: they alone visit the other blocks, so a large group of copies makes no pairs of blocks.
 
 Defined results: null, empty or blank texts have fingerprint zero and link with what is within the radius of it; repeated rows get a row
 each, with their doc_id's smallest reachable id; null doc_ids get a fingerprint and the component of the others that reach them (null
@@ -24,7 +25,7 @@ if none do); an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ BLOCK = 2048
 RANKED_BLOCK = 1024
 #: By what the candidates of a text grow from round to round.
 GROWTH = 8
+#: Candidates of a text in its own block that are verified without another round, and those where shingle fingerprints of the nearest differ in `LIKELY` bits at most.
+FIRST, FEW, LIKELY = 64, 8, 4
 #: Bytes of text whose word and shingle hashes are laid out at once.
 CHUNK = 1 << 18
 #: Rows of (doc_id, list of text hashes) that are broadcast at most, about 50 bytes each; more are joined by a shuffle.
@@ -156,21 +159,39 @@ def _linked(rows: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) ->
     return [ids[moved], ids[label[moved]]]
 
 
-def _ranked(start: int, stop: int, similarity: float):
-    """Rows (id, smaller id, beyond): candidates of each live id from rank `start` to `stop` by distance of shingles; beyond marks one that stands behind these. Ids rise within a group."""
+def _ranked(start: int, stop: int, few: int, similarity: float, segments: list[tuple[int, int]], shared: int):
+    """Rows (id, smaller id, rank, beyond): candidates of each live id from rank `start` to below `stop` by distance of shingles, `few` if the nearest is likely a match. Ids rise within a group.
+
+    beyond: more stand behind these. A row of the id with itself at rank -1, where rows tell (many): its bucket has other blocks.
+    """
+    masks = np.array([sum(1 << i for i in c) for c in combinations(range(len(segments)), shared)], np.int64)
 
     def choose(rows: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> list[np.ndarray]:
         x, y = rows["size"][left], rows["size"][right]
-        far = np.bitwise_count(rows["shingle_fp"][left] ^ rows["shingle_fp"][right])
+        far = np.bitwise_count((rows["shingle_fp"][left] ^ rows["shingle_fp"][right]).view(np.uint64))  # of signed numbers it counts the bits of the absolute value
         fine = (rows["live"][right] > 0) & (far <= SHINGLE_RADIUS) & (np.minimum(x, y) >= similarity * np.maximum(x, y))
         left, right, far = left[fine], right[fine], far[fine]
+        differ = (rows["fp"][left] ^ rows["fp"][right]).view(np.uint64)
+        common, seen = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
+        for i, (a, w) in enumerate(segments):
+            same = ((differ >> np.uint64(a)) & np.uint64((1 << w) - 1) == 0) & (seen < shared)
+            common += same.astype(np.int64) << i
+            seen += same
+        first = common == masks[rows["t"][right]]
+        left, right, far = left[first], right[first], far[first]
         order = np.lexsort((left, far, right))
-        left, right = left[order], right[order]
+        left, right, far = left[order], right[order], far[order]
         new = np.ones(len(right), bool)
         new[1:] = right[1:] != right[:-1]
-        rank = np.arange(len(right)) - np.maximum.accumulate(np.where(new, np.arange(len(right)), 0))
-        out = (rank >= start) & (rank <= stop)
-        return [rows["id"][right[out]], rows["id"][left[out]], rank[out] == stop]
+        nearest = np.maximum.accumulate(np.where(new, np.arange(len(right)), 0))
+        rank = np.arange(len(right)) - nearest
+        end = np.where(far[nearest] <= LIKELY, few, stop)
+        out = (rank >= start) & (rank <= end)
+        many = np.flatnonzero((rows["many"] > 0) & (rows["live"] > 0)) if start == 0 and few < stop else np.zeros(0, np.int64)
+        ids = rows["id"]
+        return [
+            np.concatenate((ids[right[out]], ids[many])), np.concatenate((ids[left[out]], ids[many])), np.concatenate((rank[out], np.full(len(many), -1))), np.concatenate(((rank == end)[out], np.ones(len(many), bool))),
+        ]
 
     return choose
 
@@ -182,6 +203,8 @@ def _compare(radius: int, segments: list[tuple[int, int]], columns: list[str], n
 
         def emit(table: np.ndarray) -> pa.RecordBatch:
             rows = dict(zip(columns, np.ascontiguousarray(table.T), strict=True))
+            if "marks" in rows:
+                rows |= {"t": rows["marks"] >> 4, "many": rows["marks"] >> 3 & 1, "live": rows["marks"] >> 2 & 1, "side": rows["marks"] & 3}
             out = choose(rows, *_near_pairs(rows["unit"], rows["fp"].view(np.uint64), rows["side"], radius, segments))
             return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
 
@@ -203,18 +226,21 @@ def _compare(radius: int, segments: list[tuple[int, int]], columns: list[str], n
     return run
 
 
-def _met(nodes: DataFrame, radius: int, shared: int, block: int, choose, schema: str = "a bigint, b bigint") -> DataFrame:
-    """(a, b, ...): what `choose` makes of the near pairs among nodes(fp, id, ...), group by group; of keys without a live node nothing, where nodes tell."""
-    segments, keys = ring(radius, shared), []
-    choices = list(combinations(segments, shared))
+def _keyed(nodes: DataFrame, radius: int, shared: int) -> DataFrame:
+    """A row of nodes(fp, ...) for each choice of `shared` segments: key tells them and their number (modulo the choices)."""
+    keys, choices = [], list(combinations(ring(radius, shared), shared))
     for t, chosen in enumerate(choices):
         part = F.lit(0).cast("bigint")
         for a, w in chosen:
             part = part * (1 << w) + F.shiftrightunsigned("fp", a).bitwiseAND((1 << w) - 1)
         keys.append(part * len(choices) + t)
-    table = nodes.select(F.explode(F.array(*keys)).alias("key"), *nodes.columns)
-    live = F.max("live") if "live" in nodes.columns else F.lit(1)
-    sizes = table.groupBy("key").agg(F.count("*").alias("n"), live.alias("any")).where("n > 1 and any > 0").drop("any")
+    return nodes.select(F.explode(F.array(*keys)).alias("key"), *nodes.columns)
+
+
+def _met(nodes: DataFrame, radius: int, shared: int, block: int, choose, schema: str = "a bigint, b bigint") -> DataFrame:
+    """(a, b, ...): what `choose` makes of the near pairs among nodes(fp, id, ...), group by group."""
+    segments, table = ring(radius, shared), _keyed(nodes, radius, shared)
+    sizes = table.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     table = table.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     units = table.select("key", *nodes.columns, "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")).select(
         F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
@@ -309,17 +335,52 @@ def _fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
-def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(id): the ids a of pairs(a, b) whose texts have a Jaccard similarity of at least `similarity`."""
+def _few(df: DataFrame) -> DataFrame:
+    """A checkpointed table, broadcast to joins while it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """(id, shingles): the shingle sets of the texts of pairs(a, b)."""
     wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(nodes, "id").select(F.col("id").alias("doc_id"), F.array("tid").alias("tids")))
     sets = _with(docs.select("doc_id", "text"), wanted, "inner").select("text", "tids").mapInArrow(_shingle_sets(shingle), "tid bigint, shingles array<bigint>").dropDuplicates(["tid"])
-    sets = staged(sets.join(nodes.select("id", "tid"), "tid").select("id", "shingles"))
+    return staged(sets.join(nodes.select("id", "tid"), "tid").select("id", "shingles"))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(id): the ids a of pairs(a, b) whose texts have a Jaccard similarity of at least `similarity`."""
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     both = pairs.join(left, "a").join(right, "b").where(common >= similarity * (F.size("x") + F.size("y") - common))
     return both.select(F.col("a").alias("id")).distinct()
 
 
+def _candidates(nodes: DataFrame, live: DataFrame | None, big: DataFrame, radius: int, shared: int, start: int, stop: int, similarity: float) -> DataFrame:
+    """(a, b, rank, beyond) of live(id), or of all in their own blocks. big: (key, blocks) of buckets of several blocks."""
+    table, segments = _keyed(nodes, radius, shared), ring(radius, shared)
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    unit = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", "block"))
+    if live is None:
+        table = table.withColumn("live", F.lit(1).cast("bigint"))
+    else:
+        marked = nodes.join(_few(live.withColumn("mark", F.lit(1).cast("bigint"))), "id", "left").select(*nodes.columns, F.coalesce("mark", F.lit(0).cast("bigint")).alias("live"))
+        asked = cut(_keyed(marked.where("live > 0").select("fp"), radius, shared).distinct().select("key").distinct())
+        table = _keyed(marked, radius, shared).join(_few(asked), "key", "left_semi")
+    table = table.join(_few(big), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("bigint"))) if not big.isEmpty() else table.withColumn("blocks", F.lit(1).cast("bigint"))
+    units = table.withColumn("block", own).withColumn("side", F.lit(2).cast("bigint"))
+    if live is not None and not big.isEmpty():
+        # of a bucket of several blocks, live rows visit the other ones
+        visits = units.where("live > 0 and blocks > 1").withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).where("other <> block")
+        units = units.union(visits.withColumn("block", F.col("other")).withColumn("side", F.lit(0).cast("bigint")).drop("other"))
+    tables = len(list(combinations(segments, shared)))
+    marks = F.pmod("key", F.lit(tables)) * 16 + F.when(F.col("blocks") > 1, 8).otherwise(0) + F.col("live") * 4 + F.col("side")
+    units = units.select(unit.alias("unit"), *nodes.columns, marks.alias("marks"))
+    choose = _ranked(start, stop, FEW if live is None else stop, similarity, segments, shared)
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = "a bigint, b bigint, rank bigint, beyond boolean"
+    return units.repartition(n, "unit").sortWithinPartitions("unit", "id").mapInArrow(_compare(radius, segments, units.columns, ["a", "b", "rank", "beyond"], choose), schema)
+
+
 def near_texts(docs: DataFrame, signed: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY, radius: int = WORD_RADIUS, block: int = RANKED_BLOCK) -> DataFrame:
     """(tid): hashes of texts that are near copies of a text of a smaller least doc_id. signed: (doc_id, tid, fp, shingle_fp, size) of docs."""
     texts = signed.groupBy("tid", "fp", "shingle_fp", "size").agg(F.min("doc_id").alias("least")).where("least is not null")
@@ -328,16 +389,24 @@ def near_texts(docs: DataFrame, signed: DataFrame, shingle: int = WORDS, similar
     # more segments in common make longer keys and more tables; all pairs within the radius have them, so the candidates don't depend on it
     shared = next((k for k in (2, 3) if n <= BLOCK * 2 ** (64 * k // (radius + k))), 4)
     entries, found = nodes.select("fp", "id", "shingle_fp", "size"), nodes.select("id").where("false")
-    live, start, stop = None, 0, 1
-    while True:
-        marked = entries.withColumn("live", F.lit(1).cast("bigint")) if live is None else entries.join(live.withColumn("mark", F.lit(1).cast("bigint")), "id", "left").select(*entries.columns, F.coalesce("mark", F.lit(0).cast("bigint")).alias("live"))
-        met = cut(_met(marked, radius, shared, block, _ranked(start, stop, similarity), "a bigint, b bigint, beyond boolean").distinct())
-        new = cut(_similar(docs, nodes, met.where("not beyond").select("a", "b"), shingle, similarity))
-        found = found.union(new)
-        live = cut(met.where("beyond").select(F.col("a").alias("id")).distinct().join(new, "id", "left_anti"))
+    sizes = _keyed(nodes.select("fp"), radius, shared).groupBy("key").agg(F.count("*").alias("n"))
+    big = cut(sizes.where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).alias("blocks")))
+    live, start, stop = None, 0, FIRST
+    for turn in count():
+        met = staged(_candidates(entries, live, big, radius, shared, start, stop, similarity))
+        pairs = cut(met.where("not beyond").groupBy("a", "b").agg(F.min("rank").alias("rank")))
+        if not pairs.isEmpty():
+            sets, low = _sets(docs, nodes, pairs, shingle), 0
+            for high in (1, GROWTH, stop) if live is None else (stop,):
+                step = cut(pairs.where((F.col("rank") >= low) & (F.col("rank") < high)).select("a", "b").join(found.select(F.col("id").alias("a")), "a", "left_anti"))
+                if not step.isEmpty():
+                    found = cut(found.union(_similar(step, sets, similarity)))
+                low = high
+        live = cut(met.where("beyond").select(F.col("a").alias("id")).distinct().join(found, "id", "left_anti"))
         if live.isEmpty():
             return nodes.join(found, "id", "left_semi").select("tid").distinct()
-        start, stop = stop, GROWTH * stop
+        if turn:  # the second round takes in the other blocks
+            start, stop = stop, GROWTH * stop
 
 
 def deduplicate(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY, radius: int = WORD_RADIUS) -> DataFrame:

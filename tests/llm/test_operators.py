@@ -510,6 +510,35 @@ def test_near_copies_behind_nearer_texts_go(spark):
     assert {x.tid for x in simhash.near_texts(df, signed, block=7).collect()} == {signs[i].tid for i in gone}
 
 
+def test_large_groups_of_near_copies_make_no_pairs_of_blocks(spark, monkeypatch):
+    r = random.Random(31)
+    first = [f"w{r.randint(0, 999)}" for _ in range(240)]
+    rows = [(0, " ".join(first))]
+    for i in range(1, 60):
+        other = first[:]
+        other[r.randrange(5, 235)] = f"new{i}"
+        rows.append((i, " ".join(other)))
+    df = frame(spark, rows)
+    signed = df.mapInArrow(simhash._signatures(5), "doc_id bigint, tid bigint, fp bigint, shingle_fp bigint, size bigint").localCheckpoint()
+    rounds, candidates = [], simhash._candidates
+
+    def noted(*args):
+        rounds.append(candidates(*args))
+        return rounds[-1]
+
+    monkeypatch.setattr(simhash, "_candidates", noted)
+    near = {x.tid for x in simhash.near_texts(df, signed, block=8).collect()}
+    signs = {x.doc_id: x.tid for x in signed.collect()}
+    far = {x.doc_id: x.fp for x in signed.collect()}
+    within = lambda i, j: ((far[i] ^ far[j]) & (2**64 - 1)).bit_count() <= simhash.WORD_RADIUS
+    assert near == {signs[i] for i, t in rows if any(j < i and within(i, j) and jaccard(t, u) >= 0.8 for j, u in rows)}
+    plan = rounds[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan  # rows of the first round are those of the index, whatever the groups
+    # without large buckets one round does
+    rounds.clear()
+    assert {x.tid for x in simhash.near_texts(df, signed).collect()} == near and len(rounds) == 1
+
+
 @pytest.mark.parametrize("block", [2048, 5])
 def test_simhash_links_connect_like_all_pairs(spark, block):
     r = random.Random(3)

@@ -9,6 +9,22 @@ import pytest
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
+def test_packing_keeps_few_words_in_a_worker():
+    from hearthline.llm import packing
+
+    words = packing.tokenizer(packing.VOCABULARY)
+    text = " ".join(f"word{chr(97 + i)}" for i in range(20))
+    whole, most = words.encode([text]), words.most
+    try:
+        words.most = 5
+        assert words.encode([text]) == whole
+        words.trim()
+        assert len(words.cache) <= 5 and words.encode([text]) == whole
+    finally:
+        words.most = most
+    assert corpus_pipeline.CACHED_WORDS < packing.CACHED_WORDS
+
+
 def test_stages(spark, tmp_path):
     r = random.Random(3)
     words = {"en": ["the", "thing", "and", "with", "shall", "over"], "de": ["der", "und", "schön", "nicht", "auch", "über"]}
