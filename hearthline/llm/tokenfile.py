@@ -304,16 +304,24 @@ def id_width(vocabulary: str, end_id: int) -> int:
     return 2 if size <= 1 << 16 else 4
 
 
+def joined(column: pa.Array, width: int) -> np.ndarray:
+    """The ids of all rows of a binary column without nulls, end to end."""
+    column = column.cast(pa.large_binary())
+    _, places, data = column.buffers()
+    ends = np.frombuffer(places, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    first, n = int(ends[0]), int(ends[-1] - ends[0]) // width
+    return np.frombuffer(data, f"<u{width}", n, first) if n else np.zeros(0, f"<u{width}")
+
+
 def frequencies(rows: DataFrame, width: int) -> DataFrame:
     """(id, n) over all rows' ids: a row for each id that a task has, then one for each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw in batch.column(0):
-                n = np.bincount(np.frombuffer(raw.as_buffer(), f"<u{width}"), minlength=len(total))
-                n[: len(total)] += total
-                total = n
+            n = np.bincount(joined(batch.column(0), width), minlength=len(total))  # once a batch: it is as long as the vocabulary
+            n[: len(total)] += total
+            total = n
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 

@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hearthline.llm import alignment, ranked, tokenfile
@@ -53,6 +54,15 @@ def plain_ids(texts):
     return [e.ids + [tokenfile.END_ID] for e in byte_tokenizer(tokenfile.VOCABULARY, plain_specials=False).encode_batch(texts, add_special_tokens=False)]
 
 
+def test_frequencies_count_batches_end_to_end():
+    raw = [np.array(x, "<u2").tobytes() for x in ([1, 2, 2], [], [7], [65535, 2])]
+    column = pa.array(raw, pa.binary())
+    assert tokenfile.joined(column, 2).tolist() == [1, 2, 2, 7, 65535, 2]
+    assert tokenfile.joined(column.slice(1, 2), 2).tolist() == [7]
+    assert tokenfile.joined(column.slice(2), 2).tolist() == [7, 65535, 2]
+    assert tokenfile.joined(column.slice(1, 1), 2).tolist() == tokenfile.joined(column.slice(0, 0), 2).tolist() == tokenfile.joined(pa.array([], pa.binary()), 4).tolist() == []
+
+
 @pytest.mark.parametrize("shard_ids", [1 << 23, 2000])
 def test_token_files_give_back_the_ids(spark, tmp_path, monkeypatch, shard_ids):
     rows = mixed(400)
