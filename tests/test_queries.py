@@ -83,6 +83,12 @@ def test_every_search_has_its_rows(spark, name, rows):
     assert entry.queries()[name](spark, SF).count() == rows * spark.read.parquet(f"{SF}/orders.parquet").count()
 
 
+def test_consolidated_search_answers_every_search(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables here")
+    assert entry.queries()["consolidated_search"](spark, SF).where("search_id % 20 <> 0").count() > 0
+
+
 def test_every_text_is_cleaned(spark, tmp_path):
     texts = ["a &amp; b", "R&D", "&lt;b&gt;bold&lt;/b&gt; x", "caf&eacute;&nbsp; &#8364;5", "<p>plain</p>\n text", "&amp;lt; twice", "  ", "", None, None]
     rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[3])]
