@@ -15,7 +15,8 @@ five-word shingles). In a group, a text's candidates are the texts of a smaller
 for, and with fingerprints of shingle sets within `SHINGLE_RADIUS`, nearest first; a pair counts in the first bucket alone that it shares. A pair counts if the sets of five-word
 shingles have a Jaccard similarity of at least 0.8, computed exactly from the whole texts. All candidates are verified in the end. Each bucket goes through one shuffle, in blocks that are compared with
 themselves and give each text's `FIRST` nearest (`FEW` if the nearest is as good as a match); these are verified nearest first, until a match is found. Only texts without a match that have more behind those, or stand in a bucket
-of several blocks, go on in rounds through the index: they alone visit the other blocks, so a large group of copies makes no pairs of blocks.
+of several blocks, go on in rounds through the index: they alone visit the other blocks, so a large group of copies makes no pairs of blocks. In those rounds rows carry sketches (how many shingles fall in each of some parts), and a pair whose
+sketches differ in more shingles than the similarity allows leaves no row: texts that are merely alike aren't verified by the square of their number.
 
 Defined results: null, empty or blank texts have fingerprint zero and link with what is within the radius of it; repeated rows get a row
 each, with their doc_id's smallest reachable id; null doc_ids get a fingerprint and the component of the others that reach them (null
@@ -47,7 +48,9 @@ RANKED_BLOCK = 1024
 #: By what the candidates of a text grow from round to round.
 GROWTH = 8
 #: Candidates of a text in its own block that are verified without another round, and those where shingle fingerprints of the nearest differ in `LIKELY` bits at most.
-FIRST, FEW, LIKELY = 64, 8, 4
+FIRST, FEW, LIKELY = 8, 4, 4
+#: Shingles to a part of a sketch, about.
+PART = 4
 #: Bytes of text whose word and shingle hashes are laid out at once.
 CHUNK = 1 << 18
 #: Rows of (doc_id, list of text hashes) that are broadcast at most, about 50 bytes each; more are joined by a shuffle.
@@ -130,23 +133,35 @@ def _forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def _near_pairs(group: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int, segments: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Places (left, right) of near fingerprints within each run of equal `group`. side: 0 or 1 are blocks to compare with each other, 2 a block with itself."""
+def _near_pairs(group: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int, segments: list[tuple[int, int]], size: np.ndarray | None = None, similarity: float = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Places (left, right) of near fingerprints within each run of equal `group`. side: 0 or 1 are blocks to compare with each other, 2 a block with itself.
+
+    size: sizes, rising within a run; pairs of sets that can't be similar for their sizes are passed over.
+    """
     n = len(fp)
     lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     at, shift = np.arange(n), 1
     last = np.concatenate((np.flatnonzero(group[1:] != group[:-1]), [n - 1]))
-    stop = last[np.searchsorted(last, at)]
+    run = np.searchsorted(last, at)
+    stop = last[run]
+    if size is not None and n:
+        width = int(size.max()) + 1
+        most = np.minimum(np.floor(size / similarity + 1e-9).astype(np.int64), width - 1)
+        stop = np.searchsorted(run * width + size, run * width + most, "right") - 1
     while True:
         at = at[at + shift <= stop[at]]
         if not len(at):
             break
         pair = at[(side[at] == 2) | (side[at] != side[at + shift])]
         x = fp[pair] ^ fp[pair + shift]
-        fine = chain_viable(x, radius, segments)
-        fine[fine] = np.bitwise_count(x[fine]) <= radius
-        lefts.append(pair[fine])
-        rights.append(pair[fine] + shift)
+        if size is None:
+            fine = chain_viable(x, radius, segments)
+            fine[fine] = np.bitwise_count(x[fine]) <= radius
+        else:  # all bits at once are one step for each pair, where chains take a hundred
+            fine = np.bitwise_count(x) <= radius
+        pair = pair[fine]
+        lefts.append(pair)
+        rights.append(pair + shift)
         shift += 1
     return np.concatenate(lefts), np.concatenate(rights)
 
@@ -160,13 +175,15 @@ def _linked(rows: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) ->
 
 
 def _ranked(start: int, stop: int, few: int, similarity: float, segments: list[tuple[int, int]], shared: int):
-    """Rows (id, smaller id, rank, beyond): candidates of each live id from rank `start` to below `stop` by distance of shingles, `few` if the nearest is likely a match. Ids rise within a group.
+    """Rows (id, smaller id, rank, beyond): candidates of each live id from rank `start` to below `stop` by distance of shingles, `few` if the nearest is likely a match.
 
     beyond: more stand behind these. A row of the id with itself at rank -1, where rows tell (many): its bucket has other blocks.
     """
     masks = np.array([sum(1 << i for i in c) for c in combinations(range(len(segments)), shared)], np.int64)
 
     def choose(rows: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> list[np.ndarray]:
+        turned = rows["id"][left] > rows["id"][right]
+        left, right = np.where(turned, right, left), np.where(turned, left, right)
         x, y = rows["size"][left], rows["size"][right]
         far = np.bitwise_count((rows["shingle_fp"][left] ^ rows["shingle_fp"][right]).view(np.uint64))  # of signed numbers it counts the bits of the absolute value
         fine = (rows["live"][right] > 0) & (far <= SHINGLE_RADIUS) & (np.minimum(x, y) >= similarity * np.maximum(x, y))
@@ -179,7 +196,10 @@ def _ranked(start: int, stop: int, few: int, similarity: float, segments: list[t
             seen += same
         first = common == masks[rows["t"][right]]
         left, right, far = left[first], right[first], far[first]
-        order = np.lexsort((left, far, right))
+        if "sketch" in rows:
+            fine = _possible(rows["sketch"], rows["size"], left, right, similarity)
+            left, right, far = left[fine], right[fine], far[fine]
+        order = np.lexsort((rows["id"][left], far, right))
         left, right, far = left[order], right[order], far[order]
         new = np.ones(len(right), bool)
         new[1:] = right[1:] != right[:-1]
@@ -196,36 +216,67 @@ def _ranked(start: int, stop: int, few: int, similarity: float, segments: list[t
     return choose
 
 
-def _compare(radius: int, segments: list[tuple[int, int]], columns: list[str], names: list[str], choose):
+def _compare(radius: int, segments: list[tuple[int, int]], columns: list[str], names: list[str], choose, similarity: float = 0):
+    """similarity: rows have sizes, which rise within a unit."""
+    numbers, sketched = [c for c in columns if c != "sketch"], "sketch" in columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        sketches: list[bytes] = []
         size = 0
 
-        def emit(table: np.ndarray) -> pa.RecordBatch:
-            rows = dict(zip(columns, np.ascontiguousarray(table.T), strict=True))
+        def emit(table: np.ndarray, sketches: list[bytes]) -> pa.RecordBatch:
+            rows = dict(zip(numbers, np.ascontiguousarray(table.T), strict=True))
             if "marks" in rows:
                 rows |= {"t": rows["marks"] >> 4, "many": rows["marks"] >> 3 & 1, "live": rows["marks"] >> 2 & 1, "side": rows["marks"] & 3}
-            out = choose(rows, *_near_pairs(rows["unit"], rows["fp"].view(np.uint64), rows["side"], radius, segments))
+            if sketched:
+                rows["sketch"] = sketches
+            out = choose(rows, *_near_pairs(rows["unit"], rows["fp"].view(np.uint64), rows["side"], radius, segments, rows["size"] if similarity else None, similarity))
             return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.column_stack([batch.column(c).to_numpy() for c in columns]).astype(np.int64)
+            rows = np.column_stack([batch.column(c).to_numpy() for c in numbers]).astype(np.int64)
             held.append(rows)
+            if sketched:
+                sketches += batch.column("sketch").to_pylist()
             size += len(rows)
             if size >= 4 * BLOCK:
                 rows = np.concatenate(held)
                 cut_at = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last group may go on
                 if cut_at:
-                    yield emit(rows[:cut_at])
-                held, size = [rows[cut_at:].copy()], len(rows) - cut_at
+                    yield emit(rows[:cut_at], sketches[:cut_at])
+                held, sketches, size = [rows[cut_at:].copy()], sketches[cut_at:], len(rows) - cut_at
         if size:
-            yield emit(np.concatenate(held))
+            yield emit(np.concatenate(held), sketches)
 
     return run
 
 
+def _sketch(shingles: np.ndarray) -> bytes:
+    """How many shingles fall in each of 2**k parts, 255 at most; about PART a part."""
+    parts = 1 << max(6, (len(shingles) // PART).bit_length())
+    return np.minimum(np.bincount((shingles & np.uint64(parts - 1)).astype(np.int64), minlength=parts), 255).astype(np.uint8).tobytes()
+
+
+def _possible(sketches: list[bytes], size: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sets of each pair can be similar: they differ in as many shingles at least as the counts of their parts do. No similar pair fails."""
+    fine, parts = np.ones(len(left), bool), np.fromiter(map(len, sketches), np.int64, len(sketches))
+    least = np.minimum(parts[left], parts[right])
+    for n in np.unique(least).tolist():
+        at = np.flatnonzero(least == n)
+        used, place = np.unique(np.concatenate((left[at], right[at])), return_inverse=True)
+        # parts of the finer one are added up
+        table = np.stack([np.minimum(np.frombuffer(sketches[u], np.uint8).reshape(-1, n).sum(axis=0, dtype=np.int32), 255) for u in used.tolist()]).astype(np.int16)
+        x, y = place[: len(at)], place[len(at) :]
+        for a in range(0, len(at), step := max(1, (1 << 20) // n)):
+            i, j = x[a : a + step], y[a : a + step]
+            both = size[used[i]] + size[used[j]]
+            fine[at[a : a + step]] = (both - np.abs(table[i] - table[j]).sum(axis=1, dtype=np.int64)) / 2 >= similarity * both / (1 + similarity) - 1e-6
+    return fine
+
+
 def _keyed(nodes: DataFrame, radius: int, shared: int) -> DataFrame:
     """A row of nodes(fp, ...) for each choice of `shared` segments: key tells them and their number (modulo the choices)."""
     keys, choices = [], list(combinations(ring(radius, shared), shared))
@@ -292,19 +343,30 @@ def _text_hashes(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _shingles(prefix, a: int, b: int, size: int) -> np.ndarray:
     """The set of hashes of the shingles of words a to b; fewer words than `size` are one shingle."""
     k = min(size, b - a)
-    return np.unique(arrays.window_hash(prefix, np.arange(a, b - k + 1), k)) if k else np.zeros(0, np.uint64)
+    return _distinct(arrays.window_hash(prefix, np.arange(a, b - k + 1), k)) if k else np.zeros(0, np.uint64)
+
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """As np.unique, which takes longer on arrays as short as these."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
 
-def _signatures(size: int):
+
+def _signatures(size: int, sketched: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in arrays.chunks(batches, size=CHUNK):
             words, first = _words(*arrays.utf8(chunk.column("text")))
-            prefix, signs = arrays.window_prefix(words), []
+            prefix, signs, sketches = arrays.window_prefix(words), [], []
+            grams = arrays.window_hash(prefix, np.arange(max(0, len(words) - size + 1)), size)
             for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                shingles = _shingles(prefix, a, b, size)
-                signs.append((_set_fingerprint(np.unique(words[a:b])), _set_fingerprint(shingles), len(shingles)))
-            columns = [pa.array(x, pa.int64()) for x in (zip(*signs, strict=True) if signs else [()] * 3)]
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(_text_hashes(words, first)), *columns], names=["doc_id", "tid", "fp", "shingle_fp", "size"])
+                shingles = _distinct(grams[a : b - size + 1]) if b - a >= size else _shingles(prefix, a, b, size)
+                signs.append((_set_fingerprint(_distinct(words[a:b])), _set_fingerprint(shingles), len(shingles)))
+                if sketched:
+                    sketches.append(_sketch(shingles))
+            columns = [pa.array(x, pa.int64()) for x in (zip(*signs, strict=True) if signs else [()] * 3)] + [pa.array(sketches, pa.binary())] * sketched
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(_text_hashes(words, first)), *columns], names=["doc_id", "tid", "fp", "shingle_fp", "size", *["sketch"] * sketched])
 
     return run
 
@@ -347,6 +409,20 @@ def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int) ->
     return staged(sets.join(nodes.select("id", "tid"), "tid").select("id", "shingles"))
 
 
+def _sifted(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs(a, b, rank) whose sketches allow the similarity: a small part of those whose sets would be moved to be compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            size = np.concatenate([batch.column(c).to_numpy() for c in ("m", "n")])
+            fine = _possible(batch.column("x").to_pylist() + batch.column("y").to_pylist(), size, np.arange(n), np.arange(n, 2 * n), similarity)
+            yield batch.select(["a", "b", "rank"]).filter(pa.array(fine))
+
+    left, right = nodes.select(F.col("id").alias("a"), F.col("sketch").alias("x"), F.col("size").alias("m")), nodes.select(F.col("id").alias("b"), F.col("sketch").alias("y"), F.col("size").alias("n"))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint, rank bigint")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(id): the ids a of pairs(a, b) whose texts have a Jaccard similarity of at least `similarity`."""
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
@@ -378,26 +454,29 @@ def _candidates(nodes: DataFrame, live: DataFrame | None, big: DataFrame, radius
     choose = _ranked(start, stop, FEW if live is None else stop, similarity, segments, shared)
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "a bigint, b bigint, rank bigint, beyond boolean"
-    return units.repartition(n, "unit").sortWithinPartitions("unit", "id").mapInArrow(_compare(radius, segments, units.columns, ["a", "b", "rank", "beyond"], choose), schema)
+    return units.repartition(n, "unit").sortWithinPartitions("unit", "size").mapInArrow(_compare(radius, segments, units.columns, ["a", "b", "rank", "beyond"], choose, similarity), schema)
 
 
 def near_texts(docs: DataFrame, signed: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY, radius: int = WORD_RADIUS, block: int = RANKED_BLOCK) -> DataFrame:
-    """(tid): hashes of texts that are near copies of a text of a smaller least doc_id. signed: (doc_id, tid, fp, shingle_fp, size) of docs."""
-    texts = signed.groupBy("tid", "fp", "shingle_fp", "size").agg(F.min("doc_id").alias("least")).where("least is not null")
-    nodes = cut(texts.groupBy("least").agg(F.min(F.struct("tid", "fp", "shingle_fp", "size")).alias("t")).select(F.col("least").alias("id"), "t.*"))
+    """(tid): hashes of texts that are near copies of a text of a smaller least doc_id. signed: (doc_id, tid, fp, shingle_fp, size) of docs, and sketch, where later rounds are to use them."""
+    sketch = [c for c in signed.columns if c == "sketch"]
+    texts = signed.groupBy("tid", "fp", "shingle_fp", "size").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in sketch]).where("least is not null")
+    nodes = cut(texts.groupBy("least").agg(F.min(F.struct("tid", "fp", "shingle_fp", "size", *sketch)).alias("t")).select(F.col("least").alias("id"), "t.*"))
     n = nodes.count()
     # more segments in common make longer keys and more tables; all pairs within the radius have them, so the candidates don't depend on it
     shared = next((k for k in (2, 3) if n <= BLOCK * 2 ** (64 * k // (radius + k))), 4)
     entries, found = nodes.select("fp", "id", "shingle_fp", "size"), nodes.select("id").where("false")
     sizes = _keyed(nodes.select("fp"), radius, shared).groupBy("key").agg(F.count("*").alias("n"))
     big = cut(sizes.where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).alias("blocks")))
+    sketched = nodes.select("fp", "id", "shingle_fp", "size", *sketch)
     live, start, stop = None, 0, FIRST
     for turn in count():
-        met = staged(_candidates(entries, live, big, radius, shared, start, stop, similarity))
-        pairs = cut(met.where("not beyond").groupBy("a", "b").agg(F.min("rank").alias("rank")))
+        met = staged(_candidates(entries if live is None else sketched, live, big, radius, shared, start, stop, similarity))
+        pairs = met.where("not beyond").groupBy("a", "b").agg(F.min("rank").alias("rank"))
+        pairs = cut(_sifted(pairs, nodes, similarity) if sketch and live is None else pairs)
         if not pairs.isEmpty():
             sets, low = _sets(docs, nodes, pairs, shingle), 0
-            for high in (1, GROWTH, stop) if live is None else (stop,):
+            for high in (1, stop) if live is None else (stop,):
                 step = cut(pairs.where((F.col("rank") >= low) & (F.col("rank") < high)).select("a", "b").join(found.select(F.col("id").alias("a")), "a", "left_anti"))
                 if not step.isEmpty():
                     found = cut(found.union(_similar(step, sets, similarity)))
@@ -405,8 +484,8 @@ def near_texts(docs: DataFrame, signed: DataFrame, shingle: int = WORDS, similar
         live = cut(met.where("beyond").select(F.col("a").alias("id")).distinct().join(found, "id", "left_anti"))
         if live.isEmpty():
             return nodes.join(found, "id", "left_semi").select("tid").distinct()
-        if turn:  # the second round takes in the other blocks
-            start, stop = stop, GROWTH * stop
+        # the second round takes in the other blocks
+        start, stop = stop if turn else 0, GROWTH * stop
 
 
 def deduplicate(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY, radius: int = WORD_RADIUS) -> DataFrame:
@@ -415,7 +494,7 @@ def deduplicate(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMIL
     Texts of the same lower-cased words are copies, empty ones too; of those and of equal rows under one id, one stays. An id that comes with several texts
     stands for the one of the least hash in the search for near copies. Rows with a null id stay, unless a text of an id is the same.
     """
-    signed = cut(docs.select("doc_id", "text").mapInArrow(_signatures(shingle), "doc_id bigint, tid bigint, fp bigint, shingle_fp bigint, size bigint"))
+    signed = cut(docs.select("doc_id", "text").mapInArrow(_signatures(shingle, True), "doc_id bigint, tid bigint, fp bigint, shingle_fp bigint, size bigint, sketch binary"))
     near = near_texts(docs, signed, shingle, similarity, radius)
     named = signed.where("doc_id is not null").select("doc_id", "tid")
     stay = named.groupBy("tid").agg(F.min("doc_id").alias("doc_id")).join(near, "tid", "left_anti").withColumn("stays", F.lit(True))

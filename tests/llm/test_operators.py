@@ -729,3 +729,36 @@ def test_words_and_windows():
     v = np.random.default_rng(1).integers(0, 1 << 62, 200).astype(np.uint64) << np.uint64(1)
     assert arrays.sliding_first_min(v, 7).tolist() == [i + int((v[i : i + 7] >> np.uint64(28)).argmin()) for i in range(194)]
     assert json.dumps([x.tolist() for x in arrays.runs(np.array([0, 1, 1, 0, 1], bool))]) == "[[1, 4], [3, 5]]"
+
+
+def test_sketches_pass_every_similar_pair_and_stop_those_merely_alike(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    for n in (30, 400, 3000):
+        base = r.integers(1, 2**63, n, dtype=np.uint64)
+        sets = [np.unique(np.concatenate((base[: int(n * keep)], r.integers(1, 2**63, n - int(n * keep), dtype=np.uint64)))) for keep in (1, 0.95, 0.9, 0.89, 0.7, 0.5, 0)]
+        left, right = (np.array(x) for x in zip(*[(i, j) for i in range(len(sets)) for j in range(i)], strict=True))
+        common = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(left, right, strict=True)])
+        size = np.array([len(s) for s in sets])
+        similar = common >= 0.8 * (size[left] + size[right] - common)
+        fine = simhash._possible([simhash._sketch(s) for s in sets], size, left, right, 0.8)
+        assert fine[similar].all() and similar.any() and not fine[common < size[left] * 0.55].any()
+    # texts that are alike, none similar to another: their pairs aren't written
+    rnd = random.Random(41)
+    first = [f"w{rnd.randint(0, 999)}" for _ in range(300)]
+    rows = []
+    for i in range(60):
+        other = first[:]
+        for at in range(rnd.randrange(30), 300, 30):
+            other[at] = f"new{i}x{at}"
+        rows.append((i, " ".join(other)))
+    written, candidates = [], simhash._candidates
+
+    def noted(*args):
+        got = candidates(*args).localCheckpoint()
+        written.append(got.where("a <> b and not beyond").count())
+        return got
+
+    monkeypatch.setattr(simhash, "_candidates", noted)
+    assert max(jaccard(t, u) for i, t in rows for j, u in rows if j < i) < 0.8
+    assert simhash.deduplicate(frame(spark, rows)).count() == 60
+    assert sum(written[1:]) < 60 and len(written) > 1
