@@ -81,8 +81,8 @@ class Pairing:
         tailed = {u: (u[:-1], u[-1]) for u in units if _TAILED.fullmatch(u)}
         bases = [w for w, _ in tailed.values()] + [u for u in units if u not in tailed]
         known = {u: n for u in bases if (n := self.units.known.get(u[1:] if u[0] == " " else u)) is not None}
-        new = [u for u in dict.fromkeys(bases) if u not in known]
-        known.update(zip(new, self._aligned(new), strict=True))
+        if new := [u for u in dict.fromkeys(bases) if u not in known]:
+            known.update(zip(new, self._aligned(new), strict=True))
         if tails := sorted({t for _, t in tailed.values()} - self.tails.keys()):
             self.tails.update(zip(tails, self._aligned(tails, "a"), strict=True))
         return [self._both(known[tailed[u][0]], self.tails[tailed[u][1]]) if u in tailed else known[u] for u in units]

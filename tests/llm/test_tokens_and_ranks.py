@@ -243,3 +243,11 @@ def test_search_query_against_sql(spark):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     rows = sorted(map(tuple, entry.queries()["op12_ranked_search"](spark, SF).collect()))
     assert rows and rows == sorted(c.sql(f"select item_id, rank, doc_id, score from ({entry.oracle_sql()['op12_ranked_search']})").fetchall())
+
+
+def test_known_words_with_a_new_stop_are_aligned_without_new_words():
+    later, once = (alignment.Pairing(alignment.A_VOCABULARY, alignment.B_MODEL) for _ in range(2))
+    later.units.values(["house tree"])
+    texts = ["house. tree,"]  # all that is lacking are stops behind words that are known
+    plain = lambda p: [(x[0], x[1], x[2].tolist(), x[3].tolist()) for x in map(p.document, p.units.values(texts))]
+    assert plain(later) == plain(once)
