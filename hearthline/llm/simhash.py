@@ -48,7 +48,7 @@ RANKED_BLOCK = 1024
 #: By what the candidates of a text grow from round to round.
 GROWTH = 8
 #: Candidates of a text in its own block that are verified without another round, and those where shingle fingerprints of the nearest differ in `LIKELY` bits at most.
-FIRST, FEW, LIKELY = 8, 4, 4
+FIRST, FEW, LIKELY = 5, 3, 4
 #: Shingles to a part of a sketch, about.
 PART = 4
 #: Bytes of text whose word and shingle hashes are laid out at once.
